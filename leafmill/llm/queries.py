@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup import op6_simhash
 from .packing import op3_best_fit_packing
 from .sentencepieces import op10_sentencepiece
 from .sharding import op1_sharding
+from .vectors import OP9_SQL, op2_permutation_index, op9_maxscore
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_permutation_index": op2_permutation_index,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_simhash": op6_simhash,
+        "op9_maxscore": op9_maxscore,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_maxscore": OP9_SQL}
