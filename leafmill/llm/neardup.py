@@ -142,7 +142,8 @@ def forest(nodes: list[int], prints: list[bytes], radius: int) -> list[tuple[int
 
 class Bands:
     """Shard keys of fingerprints. exact: the bits not yet used are cut into radius + 1 parts, of which fingerprints
-    within the radius share one. Otherwise ``count`` bands of ``width`` bits; below a band, every other band divides."""
+    within the radius share one. Otherwise ``count`` bands of ``width`` bits; below a band, the next ``FAN`` divide, so
+    that rows don't multiply from level to level: near copies share about one band in three."""
 
     def __init__(self, bits: int, radius: int, count: int = 0, width: int = 0):
         self.bits, self.radius, self.count, self.width = bits, radius, count, width
@@ -152,7 +153,9 @@ class Bands:
         """(number, bit positions) of the parts that divide what shares the parts of path."""
         if path not in self.cuts:
             if self.count:
-                parts = [(k, list(range(k * self.width, (k + 1) * self.width))) for k in range(self.count) if k not in path]
+                rest = [k % self.count for k in range(path[-1] + 1, path[-1] + self.count)] if path else range(self.count)
+                some = [k for k in rest if k not in path][: FAN if path else None]
+                parts = [(k, list(range(k * self.width, (k + 1) * self.width))) for k in some]
             else:
                 free = list(range(self.bits))
                 for k in path:
@@ -329,6 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 #: For deduplication: bits of the print, and of the key in bands. Two sets of Jaccard similarity s have an angle
 #: arccos(2s / (1 + s)) and differ in that share of pi of the bits.
+FAN = 3
 PRINT_WORDS, KEY_WORDS, BAND_COUNT, BAND_WIDTH = 8, 4, 12, 20
 
 
