@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import op5_content_chunks
+from .extraction import op4_block_rules
 from .neardup import op6_simhash
 from .packing import op3_best_fit_packing
 from .sentencepieces import op10_sentencepiece
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_permutation_index": op2_permutation_index,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_block_rules": op4_block_rules,
+        "op5_content_chunks": op5_content_chunks,
         "op6_simhash": op6_simhash,
         "op9_maxscore": op9_maxscore,
         "op10_sentencepiece": op10_sentencepiece,
