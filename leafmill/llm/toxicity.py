@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def stems(word: str) -> list[str]:
     return [word[:5], word[:6], word[:7], word[:8], word[-5:], word[-6:], word[-7:], word[-8:]]
 
 
-def telling(documents: list[set[str]], labels: list[int], most: int) -> list[tuple[str, float]]:
+def telling(documents: Iterable[set[str]], labels: list[int], most: int) -> list[tuple[str, float]]:
     """(feature, strength) of the features that tell most: smoothed log-odds of the label, less where few documents, which may be
     copies of each other, have the feature."""
     seen, bad = Counter(), Counter()
@@ -73,11 +74,15 @@ def telling(documents: list[set[str]], labels: list[int], most: int) -> list[tup
 class ToxicityModel:
     def __init__(self, rows: list[tuple[str, int]], seed: int = 11):
         random = np.random.default_rng(seed)
-        documents = [TOKEN.findall(text.lower()) for text, _ in rows]
+        once: dict[str, str] = {}  # a word is held once
+        documents = [[once.setdefault(x, x) for x in TOKEN.findall(text.lower())] for text, _ in rows]
         labels = np.array([y for _, y in rows], np.int64)
         many, few = int(labels.sum()), int(len(labels) - labels.sum())
-        known = telling([set(d) for d in documents], labels.tolist(), VOCABULARY)
-        parts = telling([{x for w in set(d) for x in stems(w)} for d in documents], labels.tolist(), VOCABULARY)
+        known = telling((set(d) for d in documents), labels.tolist(), VOCABULARY)
+        each: dict[str, float] = {}
+        for k in range(len(stems(""))):  # one sort of stems at a time
+            each |= dict(telling(({stems(w)[k] for w in set(d)} for d in documents), labels.tolist(), VOCABULARY))
+        parts = sorted(each.items(), key=lambda f: (-abs(f[1]), f[0]))[:VOCABULARY]
         parts.sort(key=lambda f: (-f[1], f[0]))  # of a word's, the first is taken
         self.numbers = {w: i + 2 for i, (w, _) in enumerate(known)}
         self.stems = {x: i + 1 for i, (x, _) in enumerate(parts)}
