@@ -15,6 +15,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from .common import ship, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches whose segmentation is kept, per worker; the store is emptied when full.
-KEPT = 300_000
+KEPT = 400_000
+NO_PAIR = 1 << 40
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -130,6 +132,19 @@ class Model:
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.kept: dict[str, tuple] = {}
+        self.joined: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.by_rank = np.array(sorted(self.ids.values(), key=lambda i: (-self.scores[i], i)), np.int64)
+        rank = {self.pieces[i]: k for k, i in enumerate(self.by_rank.tolist())}
+        self.characters = np.full(0x110000, -1, np.int64)
+        pairs = []
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.characters[ord(p)] = i
+            pairs += [(self.ids[p[:k]] * len(self.pieces) + self.ids[p[k:]], rank[p]) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        pairs.sort()
+        self.pairs, self.ranks = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int64)
+        self.number_texts, self.surfaces = [str(i) for i in range(len(self.pieces))], [p.replace(SPACE, " ") for p in self.pieces]
         self.parts: dict[str, list] = {}
 
     def normalize(self, text: str) -> tuple[str, list[int] | None]:
@@ -243,12 +258,11 @@ class Model:
         return [s for s in symbols if s]
 
     def segment(self, stretch: str) -> tuple:
-        """(ids joined by a space, how many, ids, pieces, decoded) of a stretch, kept for the next time."""
+        """(ids, pieces) of a stretch, kept for the next time."""
         found = self.kept.get(stretch)
         if found is None:
             merged = self.merge(stretch)
-            ids = [i for _, i in merged]
-            found = " ".join(map(str, ids)), len(ids), ids, [p for p, _ in merged], self._decode(ids)
+            found = [i for _, i in merged], [p for p, _ in merged]
             if len(stretch) <= 64:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
@@ -257,24 +271,83 @@ class Model:
 
     def encode(self, text: str, end: bool = False) -> list[int]:
         normal, _ = self.normalize(text)
-        ids = [i for s in self.stretch.findall(normal) for i in self.segment(s)[2]]
+        ids = [i for s in self.stretch.findall(normal) for i in self.segment(s)[0]]
         if not self.bytes:  # neighbouring unknown characters are one piece
             ids = [i for k, i in enumerate(ids) if not (k and i == ids[k - 1] == self.unknown)]
         return ids + [self.end] * end
 
-    def round_trip(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by a space, end id included; how many; their decoded text), by stretches: no character's bytes
-        lie in two, so each decodes by itself."""
+    def round_trips(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """Of each text: its ids joined by a space, the end id included; how many; their decoded text. It goes by stretches: no
+        character's bytes lie in two, so each decodes by itself. Stretches not met before are merged together."""
         if not self.bytes:
-            ids = self.encode(text, end=True)
-            return " ".join(map(str, ids)), len(ids), self.decode(ids)
-        normal, _ = self.normalize(text)
-        kept, segment = self.kept, self.segment
-        found = [kept.get(s) or segment(s) for s in self.stretch.findall(normal)]
-        decoded = "".join([f[4] for f in found])
-        if found and (self.prefix or self.trims) and found[0][3][0].startswith(SPACE):
-            decoded = decoded[1:]
-        return " ".join([*[f[0] for f in found], str(self.end)]), sum([f[1] for f in found]) + 1, decoded
+            every = [self.encode(t, end=True) for t in texts]
+            return [(" ".join(map(str, ids)), len(ids), self.decode(ids)) for ids in every]
+        split = [self.stretch.findall(self.normalize(t)[0]) for t in texts]
+        if len(self.joined) > KEPT:
+            self.joined.clear()
+            self.decoded.clear()
+        new = set().union(*split) - self.joined.keys()
+        if new:
+            self.segment_many(list(new))
+        ids, decoded, out = self.joined.__getitem__, self.decoded.__getitem__, []
+        for stretches in split:
+            joined = " ".join([*map(ids, stretches), str(self.end)])
+            text = "".join(map(decoded, stretches))
+            if stretches and (self.prefix or self.trims) and text.startswith(" "):
+                text = text[1:]  # the sign put before the text
+            out.append((joined, joined.count(" ") + 1, text))
+        return out
+
+    def segment_many(self, stretches: list[str]) -> None:
+        """Put the stretches' ids and decoded texts into the store. Those of up to 20 known characters are merged in step, a row
+        each: the best pair of every row merges, its neighbours are looked up anew, until no row has a pair."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        symbols = self.characters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        known = np.minimum.reduceat(symbols, starts) >= 0
+        low = 0
+        for high in (8, 12, 20):
+            at = np.flatnonzero(known & (sizes > low) & (sizes <= high))
+            low = high
+            columns = np.arange(high)
+            held = columns < sizes[at, None]
+            rows = np.full((len(at), high), -1, np.int64)
+            rows[held] = symbols[(starts[at, None] + columns)[held]]
+            ranks = self.pair_ranks(rows[:, :-1], rows[:, 1:])
+            alive = np.arange(len(at))
+            while len(alive):
+                r = ranks[alive]
+                j = r.argmin(axis=1)
+                best = r[np.arange(len(alive)), j]
+                some = best < NO_PAIR
+                alive, j, best, r = alive[some], j[some], best[some], r[some]
+                if not len(alive):
+                    break
+                i = np.arange(len(alive))
+                s = np.take_along_axis(rows[alive], np.minimum(columns + (columns > j[:, None]), high - 1), axis=1)
+                s[:, -1] = -1
+                s[i, j] = self.by_rank[best]
+                r = np.take_along_axis(r, np.minimum(columns[:-1] + (columns[:-1] >= j[:, None]), high - 2), axis=1)
+                r[:, -1] = NO_PAIR
+                r[i, j] = self.pair_ranks(s[i, j], s[i, j + 1])
+                k = np.flatnonzero(j)
+                r[k, j[k] - 1] = self.pair_ranks(s[k, j[k] - 1], s[k, j[k]])
+                rows[alive], ranks[alive] = s, r
+            counts = (rows >= 0).sum(axis=1).tolist()
+            numbers, surfaces = self.number_texts, self.surfaces
+            for n, row, count in zip(at.tolist(), rows.tolist(), counts, strict=True):
+                row = row[:count]
+                self.joined[stretches[n]] = " ".join([numbers[x] for x in row])
+                self.decoded[stretches[n]] = "".join([surfaces[x] for x in row])
+        for n in np.flatnonzero(~known | (sizes > low)).tolist():
+            ids = [i for _, i in self.merge(stretches[n])]
+            self.joined[stretches[n]], self.decoded[stretches[n]] = " ".join(map(str, ids)), self._decode(ids)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the piece that two pieces join to, the highest score first; NO_PAIR if they don't, or one is -1."""
+        wanted = a * len(self.pieces) + b
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == wanted) & (a >= 0) & (b >= 0), self.ranks[at], NO_PAIR)
 
     def spans(self, text: str) -> list[tuple[int, str, int, int]]:
         """(id, piece, begin, end) of every piece in bytes of the original text; each byte of a character that is spelled in bytes
@@ -291,7 +364,7 @@ class Model:
         for s in self.stretch.findall(normal):
             run = self.segment(s)
             spelled = 0
-            for i, piece in zip(run[2], run[3], strict=True):
+            for i, piece in zip(run[0], run[1], strict=True):
                 size = len(piece.encode())
                 out.append((i, piece, source[at], source[at + size]))
                 if self.kinds[i] == BYTE:
@@ -358,8 +431,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         model = shared(path)
         for batch in batches:
             counts, first, second = [], [], []
-            for text in batch.column(1):
-                ids, count, decoded = model.round_trip(text.as_py() or "")
+            for ids, count, decoded in model.round_trips([t or "" for t in batch.column(1).to_pylist()]):
                 counts.append(count)
                 first.append(hashlib.sha256(ids.encode()).hexdigest())
                 second.append(hashlib.sha256(decoded.encode()).hexdigest())
