@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stage, table
+from .common import hidden, ship, stage, table
 
 #: Mean bytes between boundaries; bytes without a word's end after which a boundary falls inside a word; words that a passage
 #: must repeat to be cut out.
@@ -186,7 +186,7 @@ def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_key, n, places, firsts) of each of a block's documents with repeated chunks."""
+    """(row_key, n, places, firsts) of each of a block's documents, also of those without repeated chunks."""
     for rows in _groups(batches):
         far = [r for r in rows if r[3] is None]
         docs = sorted((r for r in rows if r[3] is not None), key=lambda r: r[4])
@@ -197,9 +197,8 @@ def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         out: list[list] = [[], [], [], []]
         for r, x, y in zip(docs, cuts, cuts[1:], strict=False):
             places, firsts = np.concatenate([_numbers([r[1]], "<i4"), index[x:y] - r[4]]), np.concatenate([_numbers([r[2]], "<i8"), where[x:y]])
-            if len(places):
-                for column, value in zip(out, (r[3], len(places), places.astype("<i4").tobytes(), firsts.tobytes()), strict=True):
-                    column.append(value)
+            for column, value in zip(out, (r[3], len(places), places.astype("<i4").tobytes(), firsts.tobytes()), strict=True):
+                column.append(value)
         yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["row_key", "n", "places", "firsts"])
 
 
@@ -215,7 +214,7 @@ def repeated_chunks(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
     own = rows.where("bucket is null").select("block", F.col("places").alias("a"), "firsts", "row_key", "start")
     both = later.select("block", F.col("indexes").alias("a"), "firsts", none.cast("long").alias("row_key"), none.cast("int").alias("start")).unionByName(own)
     found = both.repartition("block").sortWithinPartitions("block").mapInArrow(back_to_documents, "row_key long, n long, places binary, firsts binary")
-    return found.groupBy("row_key").agg(F.min(F.struct("n", "places", "firsts")).alias("found")).select("row_key", "found.places", "found.firsts")
+    return found.groupBy("row_key").agg(F.min(F.struct("n", "places", "firsts")).alias("found")).where("found.n > 0").select("row_key", "found.places", "found.firsts")
 
 
 def spans(text: bytes, cuts: list[int], repeated: dict[int, int], min_words: int) -> list[tuple[int, int, list[int]]]:
@@ -237,15 +236,18 @@ def cut_repeats(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WO
 
     A passage counts where ``min_words`` words of neighbouring chunks stand in another document, or further up, before; and a whole
     text that does, however short. Rows that repeat doc_id and text keep a row each with the same result. A null text stays null and an
-    empty one empty; a text of white space only is a chunk like any other. The other columns are kept.
+    empty one empty; a text of white space only is a chunk like any other. The other columns are kept, but for such as are
+    named n_removed or removed.
     """
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text").where("text is not null and text <> ''")
     found = stage(repeated_chunks(keyed, mean))
-    others = [c for c in docs.columns if c != "text"]
-    joined = docs.withColumn("_key", _row_key()).join(found, F.col("_key") == found["row_key"], "left")
-    packed = joined.select("text", "places", "firsts", *others)
+    full, names = hidden(docs)
+    own = F.xxhash64(F.col(names["doc_id"]).cast("long"), F.coalesce(F.col(names["text"]), F.lit("")))
+    joined = full.withColumn("_key", own).join(found, F.col("_key") == found["row_key"], "left")
+    others = [c for c in full.columns if c != names["text"]]
+    packed = joined.select(names["text"], "places", "firsts", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,12 +277,12 @@ def cut_repeats(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WO
                 counts.append(len(text) - len(texts[-1]))
                 removed.append(shown)
             arrays = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, kind)]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=["text", "n_removed", "removed", *others])
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=[names["text"], "n_removed", "removed", *others])
 
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("first_doc_ids", pa.list_(pa.int64()))]))
-    rest = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[3:])
-    result = packed.mapInArrow(run, "text string, n_removed long, removed array<struct<begin: long, end: long, first_doc_ids: array<long>>>" + rest)
-    return result.select(*docs.columns, "n_removed", "removed")
+    rest = "".join(f", {f.name} {f.dataType.simpleString()}" for f in packed.schema.fields[3:])
+    result = packed.mapInArrow(run, f"{names['text']} string, n_removed long, removed array<struct<begin: long, end: long, first_doc_ids: array<long>>>" + rest)
+    return result.select(*(F.col(new).alias(old) for old, new in names.items() if old not in ("n_removed", "removed")), "n_removed", "removed")
 
 
 def op5_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1 and so on, so that none clashes with an operator's own, and the new name of each."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str, spread: list[Column], buckets: int, small: bool) -> DataFrame:
     """Add ``out``, a gapless rank from 0 within each group.
 

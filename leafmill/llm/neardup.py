@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, ship, stage, table
+from .common import components, hidden, ship, stage, table
 
 #: Fingerprints in a shard; a larger shard is divided by further bits.
 SHARD_ROWS = 1024
@@ -358,14 +358,15 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     bands = Bands(64 * KEY_WORDS, 0, BAND_COUNT, BAND_WIDTH)
     named = labelled(prints, bands, radius_of(similarity, 64 * PRINT_WORDS), check=lambda edges, nodes: similar(edges, nodes, rows, shingle, similarity))
     first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_kept"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_kept"))
-    found = docs.join(kept, same, "left_semi")
-    twins = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twins.isEmpty():
-        return found
-    order = Window.partitionBy("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")))).orderBy(F.lit(0))
-    return found.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    chosen = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_chosen"))
+    full, names = hidden(docs)
+    own, same_text = F.col(names["doc_id"]).cast("long"), F.unhex(F.md5(F.coalesce(F.col(names["text"]), F.lit(""))))
+    found = full.join(chosen, own.eqNullSafe(F.col("_id")) & (same_text == F.col("_chosen")), "left_semi")
+    twins = docs.groupBy("doc_id").count().where("count > 1")
+    if not twins.isEmpty():
+        order = Window.partitionBy(own, same_text).orderBy(F.lit(0))
+        found = found.withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return found.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

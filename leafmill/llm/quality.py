@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table
-from .training import Adam, report, sample, scored, sigmoid
+from .training import Adam, kept, report, sample, sigmoid
 
 DIMENSIONS, NONZERO, REACH, VOCABULARY, HIDDEN = 64, 6, 2, 8000, 32
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.003, 1e-4
@@ -129,7 +129,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score reaches the threshold, with all columns."""
     ship(docs.sparkSession)
-    return scored(docs, train(docs, labels).score).where(f"_score >= {THRESHOLD}").select(docs.columns)
+    return kept(docs, train(docs, labels).score, f"_score >= {THRESHOLD}")
 
 
 def op7_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table
-from .training import Adam, report, sample, scored, sigmoid
+from .training import Adam, kept, report, sample, sigmoid
 
 WORDS, STRIDE = 32, 16
 WORD_SIZE, STEM_SIZE, CHAR_SIZE, CHAR_TABLE, HIDDEN, ATTENTION = 8, 8, 8, 2048, 8, 8
@@ -295,7 +295,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score stays below the threshold, with all columns."""
     ship(docs.sparkSession)
-    return scored(docs, train(docs, labels).score).where(f"_score < {THRESHOLD}").select(docs.columns)
+    return kept(docs, train(docs, labels).score, f"_score < {THRESHOLD}")
 
 
 def op8_gated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

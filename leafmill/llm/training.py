@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hidden
+
 #: Labelled rows that a classifier is fitted on, and bytes of a text above which a row isn't sampled: what the driver
 #: holds for training stays below their product, whatever the corpus. Scoring has no such bounds.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 4000, 32_000
@@ -47,22 +49,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """docs with ``_score`` (double) added: score(texts of a batch). A null text counts as an empty one; the columns of docs are kept."""
-    rows = docs.select(F.col("text").alias("_text"), *docs.columns)
+def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray]) -> tuple[DataFrame, dict[str, str]]:
+    """(docs under hidden names with ``_score`` added, those names): score(texts of a batch). A null text counts as an empty one."""
+    rows, names = hidden(docs)
+    columns = rows.columns
+    at = columns.index(names["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = score([t or "" for t in batch.column(0).to_pylist()]) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(found, np.float64), pa.float64()), *batch.columns[1:]], names=["_score", *names])
+            found = score([t or "" for t in batch.column(at).to_pylist()]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(found, np.float64), pa.float64()), *batch.columns], names=["_score", *columns])
+
+    schema = ", ".join(["_score double", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)])
+    return rows.mapInArrow(run, schema), names
+
 
-    names = docs.columns
-    schema = ", ".join(["_score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)])
-    return rows.mapInArrow(run, schema)
+def kept(docs: DataFrame, score: Callable[[list[str]], np.ndarray], condition: str) -> DataFrame:
+    """The documents, with all their columns, whose ``_score`` meets the condition."""
+    found, names = scored(docs, score)
+    return found.where(condition).select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def report(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scored(rows, score)
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    found, names = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), score)
+    return found.withColumnRenamed(names["doc_id"], "doc_id").select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
