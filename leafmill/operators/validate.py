@@ -22,6 +22,8 @@ MARKUP_RULES = (
 #: How references are spelled, and internal ids that must not be seen.
 REFERENCE = r"(?U)\bimage\d+\b|第\d+段"
 INTERNAL_ID = r"\b(?:p\d+_[ci]\d+|ts\d+)\b"
+#: Fixed value: signs between the two languages of a bilingual text.
+SEPARATORS = "：:/／|｜"
 #: Pixels by which content may exceed its box, offending texts in a report, and clipped texts in a summary.
 TOLERANCE, MOST_TEXTS, SUMMARY_ITEMS = 1, 40, 3
 
@@ -86,31 +88,29 @@ def coverage_appendix(notes: Column, missing: Column) -> Column:
 
 def allowed_fragment(fragment: str, pool: str, squeezed: str) -> bool:
     """Whether a fragment stands in the allowed text: as it is; without white space and case; without leading bullets; or, of a bilingual
-    one, both sides of its first colon, slash or bar. squeezed: the pool without white space, in lower case."""
+    one, both sides of the first colon, slash or bar of any kind. A colon belongs to what it ends. squeezed: the pool without
+    white space, in lower case."""
     import re
 
-    while True:
-        fragment = re.sub(r"[\s ]+", " ", fragment or "").strip()
-        if not fragment or (len(fragment) <= 2 and re.fullmatch(r"[\s\d\W]+", fragment)) or fragment in pool:
+    def stands(t: str) -> bool:
+        return t in pool or re.sub(r"\s+", "", t).lower() in squeezed
+
+    t = " ".join(fragment.split()) if fragment else ""
+    bare = re.sub(r"^[\s•·●⚫\-–—]+", "", t)
+    if not t or stands(t) or (bare and stands(bare)) or (len(t) <= 2 and re.fullmatch(r"[\s\d\W]+", t)):
+        return True
+    if not re.search("[一-鿿]", t) or not re.search("[A-Za-z]", t):
+        return False
+    for at in sorted({t.find(sign) for sign in SEPARATORS} - {-1}):
+        left, right = t[:at].strip(), t[at + 1 :].strip()
+        if left and right and allowed_fragment(left + t[at] * (t[at] in "：:"), pool, squeezed) and allowed_fragment(right, pool, squeezed):
             return True
-        if re.sub(r"\s+", "", fragment).lower() in squeezed:
-            return True
-        bare = re.sub(r"^[\s•·●⚫\-–—]+", "", fragment)
-        if bare != fragment and bare and (bare in pool or re.sub(r"\s+", "", bare).lower() in squeezed):
-            return True
-        if not (re.search("[一-鿿]", fragment) and re.search("[A-Za-z]", fragment)):
-            return False
-        cut = re.search("[：:/／|｜]", fragment)
-        if not cut:
-            return False
-        left, right = fragment[: cut.end() if cut.group() in "：:" else cut.start()], fragment[cut.end() :]
-        if not left.strip() or not right.strip() or not allowed_fragment(left, pool, squeezed):
-            return False
-        fragment = right
+    return False
 
 
 def extra_text(fragments: DataFrame, pools: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, extra: the distinct fragments of a page that its allowed text doesn't have, in order, up to 40.
+    """page, extra: the distinct fragments of a page that its allowed text doesn't have, in order, up to 40. A page without allowed
+    text isn't checked.
 
     fragments: page, pos, text; pools: page, pool. Only what nearly every fragment passes is checked in the JVM; the bilingual rule is
     recursive and runs on the few others, in Arrow batches."""
@@ -118,7 +118,7 @@ def extra_text(fragments: DataFrame, pools: DataFrame, page: str = "page_id") ->
     squeezed = F.lower(text.squeeze(pool))
     bare = text.normalize(F.col("text"))
     plain = (bare == "") | text.is_trivial(bare) | F.contains(pool, bare) | F.contains(squeezed, F.lower(text.squeeze(bare)))
-    rest = fragments.join(pools, page, "left").where(~plain).select(page, "pos", F.col("text"), pool.alias("pool"), squeezed.alias("squeezed"))
+    rest = fragments.join(pools, page).where((text.strip(pool) != "") & ~plain).select(page, "pos", F.col("text"), pool.alias("pool"), squeezed.alias("squeezed"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
