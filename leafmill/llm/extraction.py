@@ -54,7 +54,9 @@ STOP_WORDS = frozenset(
     au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tu un une vous""".split()
 )
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(>|$)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*?)(/?)(>|$)", re.S)
+#: A tag with a quotation mark too many, or with signs in its attributes that belong to markup, ends at the next ">".
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*?)(/?)(>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 WORD = re.compile(r"\w+")
 
@@ -116,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
                 linked += len(page[at:cut].strip())
         if cut == size:
             break
-        tag = TAG.match(page, cut)
+        tag = TAG.match(page, cut) or LOOSE.match(page, cut)
         if not tag:
             held.append("<")
             at = cut + 1

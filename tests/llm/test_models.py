@@ -164,6 +164,8 @@ def test_extraction():
     assert extraction.main_text(PAGE) == "The & title\nFirst paragraph of the text, with a link — and more.\nShort. Line"
     assert extraction.main_text(None) == "" and extraction.main_text("") == "" and extraction.main_text("<p") == ""
     assert extraction.main_text("<p>a < b and the c") == "a < b and the c"
+    assert extraction.main_text('<p class="x>one</p><p title="a<b">two</p><p>three</p>') == "one\ntwo\nthree"
+    assert extraction.main_text('<a "' * 20000 + "<p>end</p>") == ""  # one long tag of a link
     long = "<p>" + "The words of this paragraph are the words that a reader of the page came for. " * 5 + "</p>"
     plain = f"<body><div><a href=a>one</a> <a href=b>two</a></div>{long}<p>Short one.</p>{long}<div><a href=c>three</a></div></body>"
     assert extraction.main_text(plain).split("\n")[1] == "Short one." and "two" not in extraction.main_text(plain)
