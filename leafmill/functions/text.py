@@ -21,14 +21,14 @@ LEADING_BULLETS = r"(?U)^[\s•·●⚫\-–—]+"
 KIND_SIZES = (("title", 40.0, False), ("heading", 30.0, False), ("subheading", 22.0, True), ("label", 20.0, True))
 #: Stage names in a log line, with the progress and the message that they stand for.
 PROGRESS = (
-    ("render_pages_png.py", 5, "Rendering pages"),
-    ("extract_ref_html.py", 15, "Extracting reference HTML"),
-    ("build_plan.py", 25, "Building plan"),
-    ("translate_text.py", 40, "Translating text"),
-    ("describe_images.py", 50, "Describing images"),
-    ("generate_layout_notes.py", 60, "Generating layout notes"),
-    ("generate_html.py", 75, "Generating HTML"),
-    ("qa_repair_export.py", 90, "QA and export"),
+    ("render_pages", 5, "Rendering pages"),
+    ("extract_ref", 15, "Extracting reference HTML"),
+    ("build_plan", 25, "Building plan"),
+    ("translate_text", 40, "Translating text"),
+    ("describe_images", 50, "Describing images"),
+    ("layout_notes", 60, "Generating layout notes"),
+    ("generate_html", 75, "Generating HTML"),
+    ("qa_repair", 90, "QA and export"),
 )
 
 

@@ -532,7 +532,7 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAIL_SQL = """
 SELECT user_id AS job_id, event_id AS seq,
-  CASE event_type WHEN 'view' THEN 'run render_pages_png.py' WHEN 'click' THEN 'run build_plan.py' WHEN 'signup' THEN 'run describe_images.py' WHEN 'purchase' THEN 'exit: 0' ELSE 'exit: 1' END AS line
+  CASE event_type WHEN 'view' THEN 'run render_pages' WHEN 'click' THEN 'run build_plan' WHEN 'signup' THEN 'run describe_images' WHEN 'purchase' THEN 'exit: 0' ELSE 'exit: 1' END AS line
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3
 """
 

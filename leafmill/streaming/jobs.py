@@ -23,7 +23,7 @@ FIRST_PROGRESS, NO_RESULT_PROGRESS = 1, 99
 def event_lines(events: DataFrame) -> DataFrame:
     """Events as log lines (job_id, seq, line): kinds of events stand for stages and exits."""
     kind = F.col("event_type")
-    line = F.when(kind == "view", "run render_pages_png.py").when(kind == "click", "run build_plan.py").when(kind == "signup", "run describe_images.py").when(kind == "purchase", "exit: 0").otherwise("exit: 1")
+    line = F.when(kind == "view", "run render_pages").when(kind == "click", "run build_plan").when(kind == "signup", "run describe_images").when(kind == "purchase", "exit: 0").otherwise("exit: 1")
     return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), line.alias("line"))
 
 

@@ -76,7 +76,7 @@ def test_character_references(spark):
 
 
 def test_log_lines(spark):
-    rows = [("run build_plan.py now",), ("hello",), ("exit: 0",), ("run_dir: /a: b",)]
+    rows = [("run build_plan now",), ("hello",), ("exit: 0",), ("run_dir: /a: b",)]
     got = values(spark, rows, "s string", text.progress_hint(F.col("s")), text.keyed_value(F.col("s"), "run_dir"))
     assert [(h.progress if h else None, v) for h, v in got] == [(25, None), (None, None), (None, None), (None, "/a: b")]
 

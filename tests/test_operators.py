@@ -246,7 +246,7 @@ def test_shrink_scale():
 
 # ---- Jobs
 
-LINES = [(1, 1, "run render_pages_png.py"), (1, 2, "run describe_images.py"), (1, 3, "run build_plan.py"), (2, 1, "hello"), (3, 1, "run generate_html.py"), (3, 2, "exit: 0"), (4, 1, "run qa_repair_export.py"), (4, 2, "exit: 3")]
+LINES = [(1, 1, "run render_pages"), (1, 2, "run describe_images"), (1, 3, "run build_plan"), (2, 1, "hello"), (3, 1, "run generate_html"), (3, 2, "exit: 0"), (4, 1, "run qa_repair"), (4, 2, "exit: 3")]
 STATES = {1: ("running", 50, 3, 3), 2: ("running", 1, 1, 1), 3: ("done", 100, 2, 2), 4: ("error", 90, 2, 2)}
 
 
