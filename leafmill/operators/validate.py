@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 
-#: Markup that a page must not have, by the name of its warning.
+#: Markup that a page must not have, by its warning.
 MARKUP_RULES = (
-    ("absolute_position", r"(?i)position\s*:\s*absolute"),
-    ("edge_offset", r"(?i)(?<![-\w])(?:top|left)\s*:"),
-    ("style_element", r"(?i)<style\b"),
-    ("stylesheet_link", r"(?i)<link\b[^>]*stylesheet"),
-    ("background_image", r"(?i)background-image|url\("),
-    ("scrolling", r"(?i)overflow(?:-[xy])?\s*:\s*(?:auto|scroll)"),
+    ("forbidden_css: position:absolute", r"(?i)position\s*:\s*absolute"),
+    ("forbidden_css: top/left", r"(?i)(?<![-\w])(?:top|left)\s*:"),
+    ("forbidden_tag: style", r"(?i)<style\b"),
+    ("forbidden_tag: link[rel=stylesheet] inside page block", r"(?i)<link\b[^>]*rel=[\"']stylesheet[\"']"),
+    ("forbidden_css: url()/background-image (use <img> instead)", r"(?i)url\s*\(|background-image\s*:"),
+    ("forbidden_css: overflow auto/scroll", r"(?i)overflow(?:-[xy])?\s*:\s*(?:auto|scroll)\b"),
 )
 #: How references are spelled, and internal ids that must not be seen.
+IMAGE_REFERENCE, PARAGRAPH_REFERENCE = r"(?U)\bimage\d+\b", r"(?U)第\d+段"
 REFERENCE = r"(?U)\bimage\d+\b|第\d+段"
-INTERNAL_ID = r"\b(?:p\d+_[ci]\d+|ts\d+)\b"
+INTERNAL_ID = r"(?U)\b(?:p\d+_[A-Za-z_]+\d*|floating:[A-Za-z_]+)\b"
+#: Items in a warning of ids and of references, and what stands before a checklist.
+ID_ITEMS, REFERENCE_ITEMS = 20, 30
+CHECKLIST = "Coverage checklist (for validation):\n"
 #: Fixed value: signs between the two languages of a bilingual text.
 SEPARATORS = "：:/／|｜"
 #: Pixels by which content may exceed its box, offending texts in a report, and clipped texts in a summary.
@@ -68,7 +72,7 @@ def mentioned(notes: Column) -> Column:
 
 
 def attribute_values(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'data-ref="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r'data-ref\s*=\s*"([^"]+)"'), F.lit(1))
 
 
 def internal_ids(text_: Column) -> Column:
@@ -76,14 +80,64 @@ def internal_ids(text_: Column) -> Column:
 
 
 def markup_warnings(html: Column) -> Column:
-    """The names of the rules that the markup breaks, in order."""
+    """The warnings of the rules that the markup breaks, in order."""
     return F.array_compact(F.array(*(F.when(html.rlike(pattern), F.lit(name)) for name, pattern in MARKUP_RULES)))
 
 
-def coverage_appendix(notes: Column, missing: Column) -> Column:
-    """Notes with a checklist of the references that they leave out."""
-    lines = F.array_join(F.transform(missing, lambda r: F.concat(F.lit("- "), r)), "\n")
-    return F.when(F.size(missing) > 0, F.concat(notes, F.lit("\n\nCoverage checklist\n"), lines)).otherwise(notes)
+def quoted_list(items: Column, most: int) -> Column:
+    """A list as text, quoted, with " ..." behind it if it has more than ``most`` items."""
+    quoted = F.transform(F.slice(items, 1, most), lambda x: F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"), F.when(F.size(items) > most, " ...").otherwise(""))
+
+
+def _warning(name: str, items: Column, most: int) -> Column:
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), quoted_list(items, most)))
+
+
+def id_warnings(missing: Column, duplicate: Column, unknown: Column) -> Column:
+    """The warnings of an answer's ids, as ``id_coverage`` finds them."""
+    named = (("missing_ids", missing), ("duplicate_ids", duplicate), ("unknown_ids", unknown))
+    return F.array_compact(F.array(*(_warning(name, items, ID_ITEMS) for name, items in named)))
+
+
+def page_warnings(required: Column, html: Column) -> Column:
+    """The warnings of a page's markup: references without or beyond those required, internal ids, forbidden markup. Null as empty."""
+    html, required = F.coalesce(html, F.lit("")), _references(required)
+    found = (
+        _warning("missing_data_ref", uncovered_attributes(required, html), REFERENCE_ITEMS),
+        _warning("unknown_data_ref", unknown_references(attribute_values(html), required), REFERENCE_ITEMS),
+        _warning("forbidden_internal_ids", internal_ids(html), REFERENCE_ITEMS),
+    )
+    return F.concat(F.array_compact(F.array(*found)), markup_warnings(html))
+
+
+def notes_warnings(required: Column, notes: Column) -> Column:
+    """The warnings of layout notes; blank ones have one warning only."""
+    notes, required = text.strip(F.coalesce(notes, F.lit(""))), _references(required)
+
+    def unknown(pattern: str) -> Column:
+        return unknown_references(F.regexp_extract_all(notes, F.lit(f"({pattern})"), F.lit(1)), required)
+
+    found = (
+        _warning("missing_required_refs", uncovered_references(required, notes), REFERENCE_ITEMS),
+        _warning("forbidden_internal_ids", internal_ids(notes), REFERENCE_ITEMS),
+        _warning("unknown_image_refs", unknown(IMAGE_REFERENCE), REFERENCE_ITEMS),
+        _warning("unknown_paragraph_refs", unknown(PARAGRAPH_REFERENCE), REFERENCE_ITEMS),
+    )
+    return F.when(notes == "", F.array(F.lit("layout_notes_missing_or_empty"))).otherwise(F.array_compact(F.array(*found)))
+
+
+def _references(required: Column) -> Column:
+    return F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda r: F.coalesce(r, F.lit("")) != "")
+
+
+def coverage_appendix(notes: Column, required: Column) -> Column:
+    """Notes, with all required references below as a JSON list if one isn't mentioned."""
+    notes, required = F.coalesce(notes, F.lit("")), _references(required)
+    spelled = F.transform(required, lambda r: F.regexp_replace(F.to_json(F.array(r)), r"^\[|\]$", ""))
+    listed = F.concat(F.lit("[\n  "), F.array_join(spelled, ",\n  "), F.lit("\n]"))
+    above = F.when(notes == "", "").otherwise(F.concat(notes, F.lit("\n\n")))
+    return F.when(F.size(uncovered_references(required, notes)) > 0, F.concat(above, F.lit(CHECKLIST), listed)).otherwise(notes)
 
 
 def allowed_fragment(fragment: str, pool: str, squeezed: str) -> bool:
@@ -135,26 +189,44 @@ def overflows(scroll: Column, client: Column) -> Column:
 
 
 def page_report(measured: DataFrame, extra: DataFrame) -> DataFrame:
-    """page, ok, overflow, clipped (arrays), extra and summary of measured pages and elements.
+    """page, ok, overflow, clipped (arrays), extra and summary (empty if ok) of measured pages and elements.
 
-    measured: page, kind ("page" or "element"), ref, scroll_w, client_w, scroll_h, client_h, text; extra: page, extra."""
+    measured: page, kind ("page" or "element"), ref, tag and cls (either may be lacking), scroll_w, client_w, scroll_h, client_h, text;
+    extra: page, extra. Clipped elements stand in order of the height by which they exceed their box, the largest first."""
+    for column in ("tag", "cls"):
+        if column not in measured.columns:
+            measured = measured.withColumn(column, F.lit(None).cast("string"))
     out = overflows(F.col("scroll_w"), F.col("client_w")) | overflows(F.col("scroll_h"), F.col("client_h"))
-    over = F.col("scroll_h") - F.col("client_h")
-    item = F.struct((-over).alias("o"), F.col("ref").alias("ref"), over.alias("delta"))
+    sizes = [F.col(c) for c in ("scroll_h", "client_h", "scroll_w", "client_w")]
+    element = F.struct((F.col("client_h") - F.col("scroll_h")).alias("o"), "ref", "tag", "cls", *sizes)
     clipped = (F.col("kind") == "element") & out & (F.length(text.strip(F.coalesce("text", F.lit("")))) > 0)
     agg = measured.groupBy("page").agg(
-        F.array_sort(F.collect_list(F.when((F.col("kind") == "page") & out, F.col("ref")))).alias("overflow"),
-        F.transform(F.array_sort(F.collect_list(F.when(clipped, item))), lambda s: F.struct(s["ref"].alias("ref"), s["delta"].alias("delta"))).alias("clipped"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") == "page") & out, F.struct("ref", *sizes)))).alias("overflow"),
+        F.transform(F.array_sort(F.collect_list(F.when(clipped, element))), lambda s: s.dropFields("o")).alias("clipped"),
     )
     joined = agg.join(extra, "page", "left").withColumn("extra", F.coalesce("extra", F.array().cast("array<string>")))
     ok = (F.size("overflow") == 0) & (F.size("clipped") == 0) & (F.size("extra") == 0)
-    shown = F.array_join(F.transform(F.slice("clipped", 1, SUMMARY_ITEMS), lambda c: F.concat(c["ref"], F.lit("+"), c["delta"].cast("string"))), ",")
-    summary = F.concat_ws(
+    return joined.select("page", ok.alias("ok"), "overflow", "clipped", "extra", report_summary().alias("summary"))
+
+
+def report_summary() -> Column:
+    """What a report's row says in one line: the first overflow, the most clipped elements, and the number of extra texts."""
+    page = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(" "))
+
+    def height(x: Column) -> Column:
+        return F.concat(F.lit("h "), x["scroll_h"].cast("string"), F.lit("/"), x["client_h"].cast("string"))
+
+    def shown(x: Column) -> Column:
+        names = F.slice(F.filter(F.split(text.normalize(x["cls"]), " "), lambda c: c != ""), 1, 2)
+        classes = F.when(F.size(names) > 0, F.concat(F.lit("."), F.array_join(names, "."))).otherwise("")
+        ref = F.when(text.strip(F.coalesce(x["ref"], F.lit(""))) != "", F.concat(F.lit(' ref="'), text.strip(x["ref"]), F.lit('"'))).otherwise("")
+        return F.concat(page, F.lit("clipped: "), F.coalesce(x["tag"], F.lit("")), classes, ref, F.lit(" "), height(x))
+
+    first = F.get("overflow", F.lit(0))
+    width = F.concat(F.lit(", w "), first["scroll_w"].cast("string"), F.lit("/"), first["client_w"].cast("string"))
+    return F.concat_ws(
         " | ",
-        F.concat(F.lit("page "), F.col("page").cast("string")),
-        F.when(ok, "ok"),
-        F.when(F.size("overflow") > 0, F.concat(F.lit("overflow "), F.size("overflow").cast("string"))),
-        F.when(F.size("clipped") > 0, F.concat(F.lit("clipped "), F.size("clipped").cast("string"), F.lit(": "), shown)),
-        F.when(F.size("extra") > 0, F.concat(F.lit("extra text "), F.size("extra").cast("string"))),
+        F.when(F.size("overflow") > 0, F.concat(page, F.lit("overflow: "), height(first), width)),
+        F.transform(F.slice("clipped", 1, SUMMARY_ITEMS), shown),
+        F.when(F.size("extra") > 0, F.concat(page, F.lit("extra_text: "), F.size("extra").cast("string"))),
     )
-    return joined.select("page", ok.alias("ok"), "overflow", "clipped", "extra", summary.alias("summary"))

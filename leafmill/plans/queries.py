@@ -397,12 +397,12 @@ def html_rule_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HTML_RULES_SQL = r"""
 SELECT page_id, concat_ws(',',
-  CASE WHEN regexp_matches(html, '(?i)position\s*:\s*absolute') THEN 'absolute_position' END,
-  CASE WHEN regexp_matches(html, '(?i)(^|[^-\w])(top|left)\s*:') THEN 'edge_offset' END,
-  CASE WHEN regexp_matches(html, '(?i)<style\b') THEN 'style_element' END,
-  CASE WHEN regexp_matches(html, '(?i)<link\b[^>]*stylesheet') THEN 'stylesheet_link' END,
-  CASE WHEN regexp_matches(html, '(?i)background-image|url\(') THEN 'background_image' END,
-  CASE WHEN regexp_matches(html, '(?i)overflow(-[xy])?\s*:\s*(auto|scroll)') THEN 'scrolling' END) AS warnings
+  CASE WHEN regexp_matches(html, '(?i)position\s*:\s*absolute') THEN 'forbidden_css: position:absolute' END,
+  CASE WHEN regexp_matches(html, '(?i)(^|[^-\w])(top|left)\s*:') THEN 'forbidden_css: top/left' END,
+  CASE WHEN regexp_matches(html, '(?i)<style\b') THEN 'forbidden_tag: style' END,
+  CASE WHEN regexp_matches(html, '(?i)<link\b[^>]*rel=["'']stylesheet["'']') THEN 'forbidden_tag: link[rel=stylesheet] inside page block' END,
+  CASE WHEN regexp_matches(html, '(?i)url\s*\(|background-image\s*:') THEN 'forbidden_css: url()/background-image (use <img> instead)' END,
+  CASE WHEN regexp_matches(html, '(?i)overflow(-[xy])?\s*:\s*(auto|scroll)\b') THEN 'forbidden_css: overflow auto/scroll' END) AS warnings
 FROM pages
 """
 
@@ -469,7 +469,7 @@ VERBATIM_ANTI_SQL = "SELECT item_id, length(text) AS chars FROM benchmark b WHER
 def reference_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that notes lack, mention without need, and internal ids in them; the notes are made of order numbers."""
     o = F.col("o_orderkey")
-    notes = F.concat(F.lit("see image"), (o % 13).cast("string"), F.lit(" and 第"), (o % 5).cast("string"), F.lit("段 in ts"), (o % 3).cast("string"))
+    notes = F.concat(F.lit("see image"), (o % 13).cast("string"), F.lit(" and 第"), (o % 5).cast("string"), F.lit("段 in p3_c"), (o % 3).cast("string"))
     required = F.array(F.concat(F.lit("image"), (o % 7).cast("string")), F.concat(F.lit("第"), (o % 4).cast("string"), F.lit("段")))
     rows = tables.table(spark, sf_dir, "orders").select("o_orderkey", notes.alias("notes"), required.alias("required"))
     return rows.select(
@@ -482,11 +482,11 @@ def reference_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REFERENCE_SQL = """
 WITH r AS (SELECT o_orderkey, o_orderkey % 13 AS a, o_orderkey % 5 AS b, o_orderkey % 3 AS c, o_orderkey % 7 AS ra, o_orderkey % 4 AS rb FROM orders),
-s AS (SELECT *, concat('see image', a, ' and 第', b, '段 in ts', c) AS notes FROM r)
+s AS (SELECT *, concat('see image', a, ' and 第', b, '段 in p3_c', c) AS notes FROM r)
 SELECT o_orderkey,
   concat_ws(',', CASE WHEN NOT contains(notes, concat('image', ra)) THEN concat('image', ra) END, CASE WHEN NOT contains(notes, concat('第', rb, '段')) THEN concat('第', rb, '段') END) AS missing,
   concat_ws(',', CASE WHEN a <> ra THEN concat('image', a) END, CASE WHEN b <> rb THEN concat('第', b, '段') END) AS strange,
-  concat('ts', c) AS internal
+  concat('p3_c', c) AS internal
 FROM s
 """
 
@@ -509,7 +509,7 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of pages whose boxes are measured elements: a box must keep within 300 by 200."""
     rows = _boxes(spark, sf_dir)
     ref = F.concat(F.lit("e"), F.col("ord").cast("string"))
-    measured = rows.select(F.col("page_id").alias("page"), F.lit("element").alias("kind"), ref.alias("ref"), F.col("w").cast("long").alias("scroll_w"), F.lit(300).cast("long").alias("client_w"), F.round("h").cast("long").alias("scroll_h"), F.lit(200).cast("long").alias("client_h"), F.col("fill").alias("text"))
+    measured = rows.select(F.col("page_id").alias("page"), F.lit("element").alias("kind"), F.lit("div").alias("tag"), ref.alias("ref"), F.col("w").cast("long").alias("scroll_w"), F.lit(300).cast("long").alias("client_w"), F.round("h").cast("long").alias("scroll_h"), F.lit(200).cast("long").alias("client_h"), F.col("fill").alias("text"))
     none = spark.createDataFrame([], "page long, extra array<string>")
     found = validate.page_report(measured, none)
     return found.select("page", "ok", F.size("clipped").cast("long").alias("clipped"), "summary")
@@ -517,10 +517,9 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QA_SQL = f"""
 WITH {BOXES_SQL}, m AS (SELECT page_id AS page, concat('e', ord) AS ref, CAST(trunc(w) AS BIGINT) AS sw, CAST(round(h) AS BIGINT) AS sh FROM boxes),
-c AS (SELECT page, ref, sh - 200 AS delta, row_number() OVER (PARTITION BY page ORDER BY sh DESC, ref) AS n FROM m WHERE sw > 301 OR sh > 201),
-s AS (SELECT page, count(*) AS clipped, string_agg(concat(ref, '+', delta), ',' ORDER BY n) FILTER (WHERE n <= 3) AS shown FROM c GROUP BY page)
-SELECT p.page, s.page IS NULL AS ok, coalesce(s.clipped, 0) AS clipped,
-       CASE WHEN s.page IS NULL THEN concat('page ', p.page, ' | ok') ELSE concat('page ', p.page, ' | clipped ', s.clipped, ': ', s.shown) END AS summary
+c AS (SELECT page, ref, sh, row_number() OVER (PARTITION BY page ORDER BY sh DESC, ref) AS n FROM m WHERE sw > 301 OR sh > 201),
+s AS (SELECT page, count(*) AS clipped, string_agg(concat('p', page, ' clipped: div ref="', ref, '" h ', sh, '/200'), ' | ' ORDER BY n) FILTER (WHERE n <= 3) AS shown FROM c GROUP BY page)
+SELECT p.page, s.page IS NULL AS ok, coalesce(s.clipped, 0) AS clipped, coalesce(s.shown, '') AS summary
 FROM (SELECT DISTINCT page FROM m) p LEFT JOIN s ON s.page = p.page
 """
 

@@ -146,12 +146,12 @@ def test_coverage(spark):
 
 
 def test_references_and_markup(spark):
-    df = spark.createDataFrame([("see image10 and 第2段 in ts4", ["image1", "第1段"])], "n string, r array<string>")
+    df = spark.createDataFrame([("see image10 and 第2段 in p1_c4", ["image1", "第1段"])], "n string, r array<string>")
     got = df.select(validate.uncovered_references(F.col("r"), F.col("n")), validate.unknown_references(validate.mentioned(F.col("n")), F.col("r")), validate.internal_ids(F.col("n"))).first()
-    assert tuple(got) == (["第1段"], ["image10", "第2段"], ["ts4"])
+    assert tuple(got) == (["第1段"], ["image10", "第2段"], ["p1_c4"])
     rows = [("margin-top:3px",), ("top: 1px",), ("overflow-x: scroll",), ('<div data-ref="image1" style="position:absolute">',), ("<style>x</style>",)]
     html = spark.createDataFrame(rows, "h string")
-    assert [r[0] for r in html.select(validate.markup_warnings(F.col("h"))).collect()] == [[], ["edge_offset"], ["scrolling"], ["absolute_position"], ["style_element"]]
+    assert [r[0] for r in html.select(validate.markup_warnings(F.col("h"))).collect()] == [[], ["forbidden_css: top/left"], ["forbidden_css: overflow auto/scroll"], ["forbidden_css: position:absolute"], ["forbidden_tag: style"]]
     assert html.select(validate.uncovered_attributes(F.array(F.lit("image1"), F.lit("image")), F.col("h"))).collect()[3][0] == ["image"]
     arrays = spark.createDataFrame([(["a"], ["b"], [["t1"]]), (["a"], [], [["t1"]]), (None, [], [])], "z array<string>, e array<string>, s array<array<string>>")
     assert [r[0] for r in arrays.select(validate.parallel_arrays(F.col("z"), F.col("e"), F.col("s"))).collect()] == [None, "unequal lengths", "missing array"]
@@ -165,10 +165,38 @@ def test_extra_text(spark):
 
 
 def test_page_report(spark):
-    schema = "page long, kind string, ref string, scroll_w long, client_w long, scroll_h long, client_h long, text string"
-    rows = [(1, "page", "p", 101, 100, 100, 100, None), (1, "element", "e1", 10, 10, 12, 10, "x"), (1, "element", "e2", 10, 10, 30, 10, "x"), (1, "element", "e3", 10, 10, 30, 10, " "), (2, "page", "p", 100, 100, 101, 100, None)]
-    got = {r.page: (r.ok, r.overflow, [c.ref for c in r.clipped], r.summary) for r in validate.page_report(spark.createDataFrame(rows, schema), spark.createDataFrame([], "page long, extra array<string>")).collect()}
-    assert got == {1: (False, [], ["e2", "e1"], "page 1 | clipped 2: e2+20,e1+2"), 2: (True, [], [], "page 2 | ok")}
+    schema = "page long, kind string, ref string, tag string, cls string, scroll_w long, client_w long, scroll_h long, client_h long, text string"
+    rows = [
+        (1, "page", "p", "div", "page", 101, 100, 100, 100, None),
+        (1, "element", "e1", "p", " a  b c", 10, 10, 12, 10, "x"),
+        (1, "element", None, "h1", None, 10, 10, 30, 10, "x"),
+        (1, "element", "e3", "p", None, 10, 10, 30, 10, " "),
+        (2, "page", "p", "div", "page", 100, 100, 101, 100, None),
+        (3, "page", "p", "div", "page", 130, 100, 102, 100, None),
+    ]
+    extra = spark.createDataFrame([(3, ["u", "v"])], "page long, extra array<string>")
+    got = {r.page: (r.ok, [o.ref for o in r.overflow], [c.tag for c in r.clipped], r.summary) for r in validate.page_report(spark.createDataFrame(rows, schema), extra).collect()}
+    assert got == {
+        1: (False, [], ["h1", "p"], 'p1 clipped: h1 h 30/10 | p1 clipped: p.a.b ref="e1" h 12/10'),
+        2: (True, [], [], ""),
+        3: (False, ["p"], [], "p3 overflow: h 102/100, w 130/100 | p3 extra_text: 2"),
+    }
+
+
+def test_warnings(spark):
+    many = [f"t{i}" for i in range(21)]
+    df = spark.createDataFrame([(["image1", "第1段", "", None], "image1 image2 第9段 floating:body p1_img", '<p data-ref = "image1"> <i data-ref="x">', many), (None, "  ", None, [])], "r array<string>, n string, h string, m array<string>")
+    none = F.array().cast("array<string>")
+    rows = df.select(validate.notes_warnings(F.col("r"), F.col("n")), validate.page_warnings(F.col("r"), F.col("h")), validate.id_warnings(F.col("m"), none, none)).collect()
+    assert rows[0][0] == ["missing_required_refs: ['第1段']", "forbidden_internal_ids: ['floating:body', 'p1_img']", "unknown_image_refs: ['image2']", "unknown_paragraph_refs: ['第9段']"]
+    assert rows[0][1] == ["missing_data_ref: ['image1', '第1段']", "unknown_data_ref: ['x']"]
+    assert rows[0][2] == ["missing_ids: " + repr(many[:20]) + " ..."]
+    assert tuple(rows[1]) == (["layout_notes_missing_or_empty"], [], [])
+    listed = df.select(validate.quoted_list(F.array(F.lit("it's"), F.lit('a"b')), 5)).first()[0]
+    assert listed == repr(["it's", 'a"b'])
+    df = spark.createDataFrame([("see image1", ["image1"]), ("see", ["image1", 'a"b']), ("", ["第1段"])], "n string, r array<string>")
+    got = [r[0] for r in df.select(validate.coverage_appendix(F.col("n"), F.col("r"))).collect()]
+    assert got == ["see image1", 'see\n\nCoverage checklist (for validation):\n[\n  "image1",\n  "a\\"b"\n]', 'Coverage checklist (for validation):\n[\n  "第1段"\n]']
 
 
 # ---- Markup
