@@ -31,6 +31,31 @@ PROGRESS = (
     ("qa_repair", 90, "QA and export"),
 )
 
+#: Weights by the last part of a font's name.
+FONT_WEIGHTS = (("black", 900), ("extrabold", 800), ("ultrabold", 800), ("bold", 700), ("semibold", 600), ("medium", 500), ("light", 300), ("extralight", 200), ("thin", 100))
+#: The sections of layout notes that matter, how those on the layout's intent begin, what a line there must have, and
+#: the most lines.
+NOTE_SECTIONS = (
+    "Content checklist (by reference name)",
+    "What the page is conveying (one sentence)",
+    "Layout contract",
+    "Decorations / parameters",
+    "内容清单（按名称/编号）",
+    "页面要表达什么（一句话）",
+    "排版意图（可执行，必须引用 第N段 / imageN）",
+    "排版意图（可执行，必须引用 第N段）",
+    "版式契约",
+    "装饰与参数",
+)
+INTENT = "排版意图"
+STRUCTURE = (
+    r"(?U)\bimage\d+\b|第\d+段|[左右上下]|两栏|两列|分栏|网格|标题|色带"
+    r"|(?i)\b(?:left|right|top|bottom|center|two[- ]column|two[- ]col|column|columns|grid|card|band|title|header|whitespace|align|stack|row)\b"
+    r"|(?i)\b(?:bilingual|english|chinese|80%|50%)\b"
+)
+NOTE_LINES = 60
+LINE_ENDS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
 
 def present(c: Column) -> Column:
     """The value, or null for an empty string."""
@@ -156,8 +181,51 @@ def safe_filename(name: Column) -> Column:
 
 
 def mime_extension(mime: Column) -> Column:
-    m = F.lower(strip(F.coalesce(mime, F.lit(""))))
-    return F.when(m.isin("image/jpeg", "image/jpg"), ".jpg").when(m == "image/png", ".png").when(m == "image/gif", ".gif").when(m == "image/webp", ".webp").when(m == "image/svg+xml", ".svg").otherwise(".bin")
+    """The file extension of an image's mime type, with or without "image/" before it."""
+    m = F.regexp_replace(F.lower(strip(F.coalesce(mime, F.lit("")))), "^image/", "")
+    return F.when(m.isin("jpeg", "jpg"), ".jpg").when(m.isin("png", "webp", "gif"), F.concat(F.lit("."), m)).when(m.isin("svg+xml", "svg"), ".svg").otherwise(".bin")
+
+
+def font_face(name: Column) -> Column:
+    """struct(family, weight, style) that a font's name tells by its last part: "Noto Sans-Bold" is Noto Sans, 700, normal. A name without
+    a known end weighs 400; italic or oblique anywhere slants it."""
+    end = F.lower(F.regexp_extract(name, r"(?i)[-\s]([a-z]+)$", 1))
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in FONT_WEIGHTS for x in pair)), end), F.lit(400))
+    stem = strip(F.regexp_replace(name, r"(?i)[-\s](?:" + "|".join([*(w for w, _ in FONT_WEIGHTS), "italic", "oblique"]) + ")$", ""))
+    style = F.when(name.rlike("(?i)italic|oblique"), "italic").otherwise("normal")
+    return F.when(name.isNotNull(), F.struct(F.coalesce(present(stem), name).alias("family"), weight.alias("weight"), style.alias("style")))
+
+
+def choice(value: Column, options: tuple[str, ...], default: str) -> Column:
+    """The option that a value names in any case; the default for null or blank; an error for anything else."""
+    v = F.lower(strip(F.coalesce(value, F.lit(""))))
+    return F.when(v == "", default).when(v.isin(*options), v).otherwise(F.raise_error(F.concat(F.lit("unknown choice: "), v)))
+
+
+def capped(c: Column, most: int, note: str) -> Column:
+    """The trimmed text, or its first ``most`` code points and a note that it was cut. Null as empty."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(note))).otherwise(t)
+
+
+def condensed_notes(notes: Column) -> Column:
+    """The lines of layout notes that direct a page's structure, at most 60; null as empty.
+
+    A line without a leading dash and full-width colon, of at most 60 characters, begins a section. Listed sections stay; of those on
+    the layout's intent only lines with a reference or a word on structure or language. Without a listed section: the first 60 lines."""
+    lines = F.filter(F.transform(F.split(strip(F.coalesce(notes, F.lit(""))), LINE_ENDS), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("listed"), F.lit(False).alias("intent"))
+
+    def step(state: Column, line: Column) -> Column:
+        t = strip(line)
+        heading = ~F.startswith(t, F.lit("-")) & ~F.contains(t, F.lit("：")) & (F.length(t) <= 60)
+        listed = F.when(heading, t.isin(*NOTE_SECTIONS)).otherwise(state["listed"])
+        intent = F.when(heading, F.startswith(t, F.lit(INTENT))).otherwise(state["intent"])
+        keep = listed & (heading | ~intent | t.rlike(STRUCTURE))
+        return F.struct(F.when(keep, F.concat(state["kept"], F.array(t))).otherwise(state["kept"]).alias("kept"), listed.alias("listed"), intent.alias("intent"))
+
+    kept = F.aggregate(lines, start, step, lambda state: state["kept"])
+    return strip(F.array_join(F.slice(F.when(F.size(kept) > 0, kept).otherwise(lines), 1, NOTE_LINES), "\n"))
 
 
 def unfenced(raw: Column) -> Column:
@@ -205,25 +273,20 @@ def keyed_value(line: Column, key: str) -> Column:
 
 
 def decoded_character_references(c: Column) -> Column:
-    """Numeric references to characters from U+0080 to U+10FFFF decoded, hexadecimal ones first; all others stay.
+    """Numeric references to characters from U+0080 to U+10FFFF decoded, hexadecimal ones first; all others stay, those of over six
+    hexadecimal or seven decimal digits and those of surrogates too.
 
     References are cut out once each, so every kind of them is replaced by a fold over the text's distinct ones."""
 
-    def code(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
-        hexadecimal = ref.rlike(r"^&#[xX]")
-        short = F.length(F.regexp_replace(digits, "^0+", "")) <= 7
-        return F.when(short, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"))
-
-    def character(ref: Column) -> Column:
-        n = code(ref)
+    def character(ref: Column, base: int) -> Column:
+        n = F.conv(F.regexp_extract(ref, r"&#x?([0-9a-fA-F]+);", 1), base, 10).try_cast("long")
         ok = (n >= 0x80) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(ref)
 
     out = c
-    for pattern in (r"(&#[xX][0-9a-fA-F]+;)", r"(&#[0-9]+;)"):
+    for pattern, base in ((r"(&#x[0-9a-fA-F]{1,6};)", 16), (r"(&#[0-9]{1,7};)", 10)):
         found = F.array_distinct(F.regexp_extract_all(out, F.lit(pattern), F.lit(1)))
-        out = F.aggregate(found, out, lambda text, ref: F.replace(text, ref, character(ref)))
+        out = F.aggregate(found, out, lambda text, ref: F.replace(text, ref, character(ref, base)))
     return out
 
 

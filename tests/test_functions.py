@@ -108,3 +108,29 @@ def test_sizes_and_colors(spark):
     rows = [(1.0, 0.5, 0.0), (2.0, -1.0, 0.1), (None, 0.0, 0.0)]
     assert values(spark, rows, "r double, g double, b double", geometry.hex_color(F.col("r"), F.col("g"), F.col("b"))) == ["#ff8000", "#ff001a", None]
     assert values(spark, [(0.0, 0.0)], "x double, y double", geometry.placement_of_corner(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0))) == ["middle_center"]
+
+
+def test_font_face(spark):
+    rows = [("Noto Sans-Bold",), ("X ExtraLight",), ("Y-BoldItalic",), ("Z-Oblique",), ("-Black",), ("Plain",), ("Semibold",), (None,)]
+    got = values(spark, rows, "s string", text.font_face(F.col("s")))
+    assert [tuple(g) if g else None for g in got] == [("Noto Sans", 700, "normal"), ("X", 200, "normal"), ("Y-BoldItalic", 400, "italic"), ("Z", 400, "italic"), ("-Black", 900, "normal"), ("Plain", 400, "normal"), ("Semibold", 400, "normal"), None]
+
+
+def test_choice_and_caps(spark):
+    assert values(spark, [(" Mixed ",), ("",), (None,)], "s string", text.choice(F.col("s"), ("single", "mixed"), "single")) == ["mixed", "single", "single"]
+    with pytest.raises(Exception, match="unknown choice"):
+        values(spark, [("other",)], "s string", text.choice(F.col("s"), ("single", "mixed"), "single"))
+    assert values(spark, [(" abcd ",), ("abc",), (None,)], "s string", text.capped(F.col("s"), 3, "…cut")) == ["abc…cut", "abc", ""]
+
+
+def test_condensed_notes(spark):
+    listed = "Layout contract\n- a\n\n  - b  \nOther\n- c\nDecorations / parameters\r\n- d：e"
+    intent = "排版意图（可执行，必须引用 第N段）\n- put image1 there\n- nothing\n- 第2段 first\n- BILINGUAL text\n- left\n- upright\n- 标题"
+    plain = "\n".join(f"- line {i}" for i in range(70))
+    long = "Layout contract\n" + "\n".join(f"- {i}" for i in range(70))
+    got = values(spark, [(listed,), (intent,), (plain,), (long,), (" \n ",), (None,)], "s string", text.condensed_notes(F.col("s")))
+    assert got[0] == "Layout contract\n- a\n- b\nDecorations / parameters\n- d：e"
+    assert got[1] == "排版意图（可执行，必须引用 第N段）\n- put image1 there\n- 第2段 first\n- BILINGUAL text\n- left\n- 标题"
+    assert got[2].split("\n") == [f"- line {i}" for i in range(60)]
+    assert got[3].split("\n") == ["Layout contract", *(f"- {i}" for i in range(59))]
+    assert got[4:] == ["", ""]
