@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -10,8 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import text
 from leafmill.functions.geometry import DEFAULT_PAGE
 
+#: Fixed value: an attribute that holds an image; and the folder that such images are written to.
+DATA_IMAGE = r"(?i)\b(src|href)=([\"'])data:image/([^;]+);base64,([A-Za-z0-9+/=\s]++)\2"
+ASSETS = "assets"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,27 +115,123 @@ def visible_text(pages: DataFrame, key: str, html: str, within: str | None = Non
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos long, text string")
 
 
-def page_divs(documents: DataFrame, key: str, html: str) -> DataFrame:
-    """key, page (from 0) and div of each element <div id="page<n>">, found by the depth of div tags; one left open is an error."""
+def page_divs(documents: DataFrame, key: str, html: str, *others: str) -> DataFrame:
+    """key, page (from 0) and div of each element <div id="page<n>">, found by the depth of div tags; one left open is an error.
+    others: further columns of text to keep."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tags, begins = re.compile(r"<div\b|</div\s*>", re.I), re.compile(r"<div\b[^>]*\bid=\"page(\d+)\"[^>]*>", re.I)
         for b in batches:
             rows = []
-            for k, page in zip(b[key], b[html], strict=True):
+            for k, page, *rest in zip(b[key], b[html], *(b[c] for c in others), strict=True):
                 for begin in begins.finditer(page or ""):
                     depth = 0
                     for tag in tags.finditer(page, begin.start()):
                         depth += -1 if tag[0][1] == "/" else 1
                         if not depth:
-                            rows.append((k, int(begin[1]), page[begin.start() : tag.end()]))
+                            rows.append((k, int(begin[1]), page[begin.start() : tag.end()], *rest))
                             break
                     else:
                         raise ValueError(f"page {begin[1]} isn't closed")
-            yield pd.DataFrame(rows, columns=[key, "page", "div"])
+            yield pd.DataFrame(rows, columns=[key, "page", "div", *others])
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(key, html).mapInPandas(run, f"{key} {kind}, page long, div string")
+    return documents.select(key, html, *others).mapInPandas(run, ", ".join([f"{key} {kind}, page long, div string", *(f"{c} string" for c in others)]))
+
+
+def page_chunks(documents: DataFrame, key: str, html: str) -> DataFrame:
+    """key, page (from 1), name and html: a file of its own for each page of a document, with the document's head and a base that leads
+    out of the chunks' folder, unless the head has one. A document without pages has no rows."""
+    head = F.coalesce(text.present(F.regexp_extract(html, r"(?is)<head>.*?</head>", 0)), F.lit("<head></head>"))
+    based = F.when(F.contains(F.lower(head), F.lit("<base")), head).otherwise(F.regexp_replace(head, r"(?is)^<head>", '<head>\n<base href="../">'))
+    rows = page_divs(documents.select(key, F.col(html).alias("_html"), based.alias("_head")), key, "_html", "_head")
+    page = F.col("page") + 1
+    name = F.concat(F.lit("chunk_"), text.numbered(page), F.lit("_"), text.numbered(page), F.lit(".html"))
+    return rows.select(key, page.alias("page"), name.alias("name"), document(F.col("_head"), page_block(F.col("div"))).alias("html"))
+
+
+def page_block(div: Column) -> Column:
+    """A page's element between page markers."""
+    return F.concat(F.lit("<!-- PAGE_START -->\n"), div, F.lit("\n<!-- PAGE_END -->"))
+
+
+def document(head: Column, body: Column) -> Column:
+    return F.concat_ws("\n", F.lit("<!doctype html>"), F.lit('<html lang="zh">'), head, F.lit("<body>"), body, F.lit("</body>"), F.lit("</html>"))
+
+
+def styled_document(block: Column, title: Column, base: str, sheet: str = "css_library.css") -> Column:
+    """A page block as a document by itself, with a base ("./" if empty) and a style sheet."""
+    base = (base or "").strip() or "./"
+    head = F.concat_ws(
+        "\n",
+        F.lit("<head>"),
+        F.lit(f'<base href="{base.rstrip("/")}/">'),
+        F.lit('<meta charset="utf-8" />'),
+        F.lit('<meta name="viewport" content="width=device-width, initial-scale=1" />'),
+        F.concat(F.lit("<title>"), F.coalesce(title, F.lit("")), F.lit("</title>")),
+        F.lit(f'<link rel="stylesheet" href="{sheet}" />'),
+        F.lit("</head>"),
+    )
+    return F.concat(document(head, text.strip(F.coalesce(block, F.lit("")))), F.lit("\n"))
+
+
+def base_href(start: str, to: str) -> str:
+    """How one folder is reached from another."""
+    found = posixpath.relpath(to.replace("\\", "/"), start.replace("\\", "/"))
+    return "./" if found == "." else found
+
+
+def external_images(documents: DataFrame, key: str, html: str) -> tuple[DataFrame, DataFrame]:
+    """(documents whose embedded images are links to files, the files (name, content), each content once).
+
+    A file is named by its content. Images that aren't valid base64 stay where they are."""
+
+    def part(attribute: Column, i: int) -> Column:
+        return F.regexp_extract(attribute, DATA_IMAGE, i)
+
+    def content(attribute: Column) -> Column:
+        packed = text.squeeze(part(attribute, 4))
+        return F.when(F.length(packed) % 4 == 0, F.try_to_binary(packed, F.lit("base64")))
+
+    def name(attribute: Column) -> Column:
+        return F.concat(F.lit("embedded_"), F.substring(F.sha1(content(attribute)), 1, 16), text.mime_extension(part(attribute, 3)))
+
+    def link(attribute: Column) -> Column:
+        quote = part(attribute, 2)
+        linked = F.concat(part(attribute, 1), F.lit("="), quote, F.lit(f"{ASSETS}/"), name(attribute), quote)
+        return F.coalesce(linked, attribute)
+
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(DATA_IMAGE), F.lit(0)))
+    linked = documents.withColumn(html, F.aggregate(found, F.col(html), lambda t, attribute: F.replace(t, attribute, link(attribute))))
+    images = documents.select(F.explode(found).alias("_a")).select(name(F.col("_a")).alias("name"), content(F.col("_a")).alias("content"))
+    return linked, images.where("name is not null").dropDuplicates(["name"])
+
+
+def page_range(pages: DataFrame, first: int, last: int = 0, number: str = "page") -> DataFrame:
+    """Pages from first to last, counted from 1; a last that isn't positive means the end. Pages beyond the end aren't missed."""
+    if first < 1 or 0 < last < first:
+        raise ValueError(f"no pages from {first} to {last}")
+    return pages.where(F.col(number) >= first) if last <= 0 else pages.where(F.col(number).between(first, last))
+
+
+def uploads(files: DataFrame, suffix: str = ".pdf", most_mb: int = 50) -> DataFrame:
+    """Files (path, length) of spark.read.format("binaryFile") that may be processed, by their suffix in any case and their size."""
+    return files.where(F.endswith(F.lower("path"), F.lit(suffix)) & (F.col("length") <= most_mb * 1024 * 1024))
+
+
+def image_texts(images: DataFrame, described: DataFrame) -> DataFrame:
+    """page_id, name and content of the files of a page's images: a description, or a note that there is none. images: page_id, id, once
+    each; described: page_id, pos, id, text; of a repeated id the last counts."""
+    last = described.groupBy("page_id", "id").agg(F.max_by(text.strip(F.col("text")), "pos").alias("_text"))
+    has = F.coalesce(F.col("_text"), F.lit("")) != ""
+    name = F.concat(F.col("id"), F.when(has, ".text.txt").otherwise(".missing.txt"))
+    content = F.concat(F.when(has, F.col("_text")).otherwise("missing description for this image id"), F.lit("\n"))
+    return images.select("page_id", "id").join(last, ["page_id", "id"], "left").select("page_id", name.alias("name"), content.alias("content"))
+
+
+def back_up(pages: DataFrame, path: str, turn: int) -> None:
+    """Pages before a round of repairs overwrites them; a round's first copy stays."""
+    pages.write.mode("ignore").parquet(f"{path.rstrip('/')}/round={turn}")
 
 
 def page_markup(answers: DataFrame, key: str, raw: str) -> DataFrame:

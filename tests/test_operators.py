@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafmill.operators import assemble, blocks, boxes, validate
-from leafmill.plans import external
+from leafmill.plans import external, prompts
 from leafmill.sources import tables
 from leafmill.streaming import jobs
 
@@ -293,3 +293,72 @@ def test_stream_ends_in_the_batch_states(spark, tmp_path):
     query.awaitTermination(120)
     last = {r.job_id: (r.status, r.progress, r.lines, r.last_seq) for _, r in sorted(out, key=lambda x: x[0])}
     assert last == STATES
+
+
+def test_page_chunks(spark):
+    whole = '<html><head><title>$1</title></head><body><div id="page0"><div>a</div></div><div id="page999">b\\1</div></body>'
+    df = spark.createDataFrame([(1, whole), (2, '<head><BASE href="x"></head><div id="page1">c</div>'), (3, None), (4, '<div id="page0">d</div>')], "k long, h string")
+    got = {(r.k, r.page): (r.name, r.html) for r in tables.page_chunks(df, "k", "h").collect()}
+    assert set(got) == {(1, 1), (1, 1000), (2, 2), (4, 1)}
+    head = '<head>\n<base href="../"><title>$1</title></head>'
+    assert got[1, 1] == ("chunk_001_001.html", f'<!doctype html>\n<html lang="zh">\n{head}\n<body>\n<!-- PAGE_START -->\n<div id="page0"><div>a</div></div>\n<!-- PAGE_END -->\n</body>\n</html>')
+    assert got[1, 1000][0] == "chunk_1000_1000.html" and 'b\\1</div>' in got[1, 1000][1]
+    assert '\n<head><BASE href="x"></head>\n' in got[2, 2][1] and '<head>\n<base href="../"></head>' in got[4, 1][1]
+    styled = df.limit(1).select(tables.styled_document(F.lit(" <p>x</p> "), F.lit("t"), "a/b")).first()[0]
+    assert styled.splitlines()[3] == '<base href="a/b/">' and styled.endswith("<body>\n<p>x</p>\n</body>\n</html>\n")
+    assert [tables.base_href("/a/b", "/a/c"), tables.base_href("/a", "/a"), tables.base_href("/a/b", "/a")] == ["../c", "./", ".."]
+
+
+def test_external_images(spark):
+    import base64
+    import hashlib
+
+    data = bytes(range(50))
+    code = base64.b64encode(data).decode()
+    name = "embedded_" + hashlib.sha1(data).hexdigest()[:16]
+    page = f'<img src="data:image/PNG;base64,{code}"><a HREF=\'data:image/jpeg;base64,{code[:30]}\n{code[30:]}\'><img src="data:image/png;base64,abc"><img src="x.png">'
+    df = spark.createDataFrame([(1, page), (2, page), (3, None), (4, "")], "k long, h string")
+    linked, files = tables.external_images(df, "k", "h")
+    want = f'<img src="assets/{name}.png"><a HREF=\'assets/{name}.jpg\'><img src="data:image/png;base64,abc"><img src="x.png">'
+    assert [r.h for r in linked.orderBy("k").collect()] == [want, want, None, ""]
+    assert sorted((r.name, bytes(r.content)) for r in files.collect()) == [(f"{name}.jpg", data), (f"{name}.png", data)]
+
+
+def test_ranges_uploads_and_texts(spark, tmp_path):
+    pages = spark.range(1, 6).withColumnRenamed("id", "page")
+    assert [tables.page_range(pages, *r).count() for r in ((1,), (4, 0), (2, 3), (4, 99), (9, 9))] == [5, 2, 2, 2, 0]
+    for bad in ((0,), (3, 2)):
+        with pytest.raises(ValueError):
+            tables.page_range(pages, *bad)
+    files = spark.createDataFrame([("a.PDF", 1), ("b.pdf", 51 << 20), ("c.txt", 1)], "path string, length long")
+    assert [r.path for r in tables.uploads(files).collect()] == ["a.PDF"]
+    images = spark.createDataFrame([(1, "i0"), (1, "i1"), (2, "i0")], "page_id long, id string")
+    described = spark.createDataFrame([(1, 0, "i0", "old"), (1, 1, "i0", " new "), (2, 0, "i0", " ")], "page_id long, pos long, id string, text string")
+    got = sorted((r.page_id, r.name, r.content) for r in tables.image_texts(images, described).collect())
+    missing = "missing description for this image id\n"
+    assert got == [(1, "i0.text.txt", "new\n"), (1, "i1.missing.txt", missing), (2, "i0.missing.txt", missing)]
+    for n in (1, 2):
+        tables.back_up(spark.range(n), str(tmp_path / "b"), 1)
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1
+
+
+def test_prompts(spark):
+    import json
+
+    size = "scroll_h long, client_h long, scroll_w long, client_w long"
+    schema = f"p struct<page: int, required: array<string>>, a string, r struct<overflow: array<struct<ref: string, {size.replace(' long', ': long')}>>, clipped: array<struct<ref: string, tag: string, cls: string, {size.replace(' long', ': long')}>>, extra: array<string>>"
+    clipped = [(f"image{i}", "p", None, 30 - i, 10, 5, 5) for i in range(9)]
+    df = spark.createDataFrame([((1, ["第1段"]), "x" * 20000, ([("page", 9, 8, 7, 7)], clipped, [f't"{i}' for i in range(20)])), ((2, []), None, ([], [], []))], schema)
+    asked, translated, formatted, noted, repaired = (
+        prompts.request(F.col("p")),
+        prompts.translation_repair(F.col("p"), F.col("a"), F.lit("missing_ids: ['t1']")),
+        prompts.format_repair(prompts.request(F.col("p")), F.col("a")),
+        prompts.notes_request(F.col("p"), F.col("p.required")),
+        prompts.page_repair(F.col("p"), F.col("a"), F.col("r"), F.lit("notes"), F.lit(".card")),
+    )
+    one, two = df.select(asked, translated, formatted, noted, repaired).collect()
+    assert json.loads(one[0].removeprefix("Input JSON:\n")) == {"page": 1, "required": ["第1段"]}
+    assert [one[i].count("x" * n) for i, n in ((1, 6000), (2, 1500), (4, 18000))] == [1, 1, 1] and all("...(truncated)..." in one[i] for i in (1, 2, 4))
+    assert "missing_ids: ['t1']" in one[1] and "第1段" in one[3] and "refused answer" not in two[2]
+    assert "- Page overflow: h 9/8, w 7/7\n- Clipped text: tag=p data-ref=image0 h 30/10, w 5/5\n" in one[4]
+    assert (one[4].count("- Clipped text"), one[4].count("- Text that isn't")) == (6, 12) and "Problems:\nnone\n" in two[4]
