@@ -49,6 +49,15 @@ def test_labels_of_held_out_rows_are_not_learned(labelled, spark):
     assert training.sample(docs, labels, "quality") == training.sample(docs, flipped, "quality")
 
 
+def test_sample_is_bounded_by_ids(labelled, spark):
+    docs, labels, _ = labelled
+    once = training.sample(docs, labels, "quality")
+    copies = spark.range(50).select("id")
+    many = docs.unionByName(docs.where("doc_id < 5").crossJoin(copies).select("doc_id", "text"))
+    assert training.sample(many, labels.unionByName(labels), "quality") == once
+    assert len(training.sample(many, labels, "quality", rows=3)) == 3
+
+
 @pytest.mark.parametrize("score,keep", [(quality.score_quality, quality.keep_quality), (toxicity.score_toxicity, toxicity.drop_toxic)])
 def test_classifiers_take_odd_rows(labelled, spark, score, keep):
     _, labels, _ = labelled
