@@ -395,14 +395,29 @@ def html_rule_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.array_join(validate.markup_warnings(F.col("html")), ",").alias("warnings"))
 
 
-HTML_RULES_SQL = r"""
-SELECT page_id, concat_ws(',',
+#: The rules' warnings, for SQL.
+RULES_SQL = r"""
   CASE WHEN regexp_matches(html, '(?i)position\s*:\s*absolute') THEN 'forbidden_css: position:absolute' END,
   CASE WHEN regexp_matches(html, '(?i)(^|[^-\w])(top|left)\s*:') THEN 'forbidden_css: top/left' END,
   CASE WHEN regexp_matches(html, '(?i)<style\b') THEN 'forbidden_tag: style' END,
   CASE WHEN regexp_matches(html, '(?i)<link\b[^>]*rel=["'']stylesheet["'']') THEN 'forbidden_tag: link[rel=stylesheet] inside page block' END,
   CASE WHEN regexp_matches(html, '(?i)url\s*\(|background-image\s*:') THEN 'forbidden_css: url()/background-image (use <img> instead)' END,
-  CASE WHEN regexp_matches(html, '(?i)overflow(-[xy])?\s*:\s*(auto|scroll)\b') THEN 'forbidden_css: overflow auto/scroll' END) AS warnings
+  CASE WHEN regexp_matches(html, '(?i)overflow(-[xy])?\s*:\s*(auto|scroll)\b') THEN 'forbidden_css: overflow auto/scroll' END"""
+
+HTML_RULES_SQL = f"SELECT page_id, concat_ws(',', {RULES_SQL}) AS warnings FROM pages"
+
+
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All warnings of pages that have one reference and need another one, or the same."""
+    rows = tables.table(spark, sf_dir, "pages")
+    required = F.array(F.concat(F.lit("image"), (F.col("page_id") % 3).cast("string")))
+    html = F.concat("html", F.lit('<img data-ref="image1">'))
+    return rows.select("page_id", F.array_join(validate.page_warnings(required, html), " | ").alias("warnings"))
+
+
+PAGE_WARNINGS_SQL = f"""
+SELECT page_id, concat_ws(' | ', CASE WHEN page_id % 3 <> 1 THEN concat('missing_data_ref: [''image', page_id % 3, ''']') END,
+  CASE WHEN page_id % 3 <> 1 THEN 'unknown_data_ref: [''image1'']' END, {RULES_SQL}) AS warnings
 FROM pages
 """
 
@@ -548,11 +563,64 @@ SELECT conv_id, length(h) AS chars, md5(h) AS digest FROM (SELECT conv_id, strin
 """
 
 
+def condensed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as layout notes, condensed: each fifth line is one of three headings, all others are items."""
+    heads = F.array(*map(F.lit, ("Layout contract", "Other", "排版意图（可执行，必须引用 第N段）")))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    notes = F.transform(lines, lambda v, i: F.when(i % 5 == 0, F.get(heads, ((i / 5).cast("long") + F.col("doc_id")).cast("int") % 3)).otherwise(F.concat(F.lit("- "), v)))
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id", text.condensed_notes(F.array_join(notes, "\n")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
+
+
+CONDENSED_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(a))) AS i, unnest(a) AS v FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+h AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN (i // 5 + doc_id) % 3 END AS s, trim('- ' || v) AS item FROM l),
+r AS (SELECT doc_id, i, s, last_value(s IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS section,
+        CASE s WHEN 0 THEN 'Layout contract' WHEN 1 THEN 'Other' WHEN 2 THEN '排版意图（可执行，必须引用 第N段）' ELSE item END AS t FROM h),
+k AS (SELECT *, section = 0 OR (section = 2 AND (s IS NOT NULL OR regexp_matches(t, '\bimage\d+\b|第\d+段|[左右上下]|两栏|两列|分栏|网格|标题|色带')
+        OR regexp_matches(t, '(?i)\b(left|right|top|bottom|center|two[- ]column|two[- ]col|column|columns|grid|card|band|title|header|whitespace|align|stack|row)\b')
+        OR regexp_matches(t, '(?i)\b(bilingual|english|chinese|80%|50%)\b'))) AS keep FROM r),
+n AS (SELECT *, bool_or(keep) OVER (PARTITION BY doc_id) AS hit FROM k),
+c AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM n WHERE keep OR NOT hit),
+j AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS t FROM c WHERE n <= 60 GROUP BY doc_id)
+SELECT doc_id, length(t) AS chars, md5(t) AS digest FROM j
+"""
+
+
+def external_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in place of images embedded in markup, written as files: the file that each part's markup links to."""
+    kind = F.when(F.col("p_partkey") % 2 == 0, "png").otherwise("jpeg")
+    html = F.concat(F.lit('<img src="data:image/'), kind, F.lit(";base64,"), F.base64(F.encode("p_name", "UTF-8")), F.lit('">'))
+    linked, files = tables.external_images(tables.table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+    linked = linked.withColumn("name", F.regexp_extract("html", 'src="assets/([^"]+)"', 1))
+    return linked.join(files, "name").select("p_partkey", "name", F.md5("content").alias("digest"))
+
+
+EXTERNAL_SQL = """
+SELECT p_partkey, concat('embedded_', substr(sha1(p_name), 1, 16), CASE WHEN p_partkey % 2 = 0 THEN '.png' ELSE '.jpg' END) AS name, md5(p_name) AS digest FROM part
+"""
+
+
+def font_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as font names with six ends."""
+    end = F.get(F.array(*map(F.lit, ("-Bold", " light", "-Italic", "", " Black", "-BoldItalic"))), F.col("p_partkey").cast("int") % 6)
+    rows = tables.table(spark, sf_dir, "part").select("p_partkey", text.font_face(F.concat("p_brand", end)).alias("f"))
+    return rows.select("p_partkey", "f.family", F.col("f.weight").cast("long").alias("weight"), "f.style")
+
+
+FONT_SQL = """
+SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN concat(p_brand, '-BoldItalic') ELSE p_brand END AS family,
+  CAST(CASE p_partkey % 6 WHEN 0 THEN 700 WHEN 1 THEN 300 WHEN 4 THEN 900 ELSE 400 END AS BIGINT) AS weight, CASE WHEN p_partkey % 6 IN (2, 5) THEN 'italic' ELSE 'normal' END AS style
+FROM part
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         norm_lines, page_range_scan, block_class, placement_size, box_filter_dedupe, point_in_box, nearest_box, palette_topk, floating_buckets, run_merge, paragraph_fold, bullet_fold,
         frag_union_ids, source_coverage, kind_hint, ordered_merge, featured_argmax, text_stats, priority_coalesce, interval_containment, html_rule_battery, html_visible_text,
         style_dictionary, content_hash_dedupe, verbatim_semi, verbatim_anti, reference_coverage, log_state_machine, qa_report, tail_lines, assembled_pages,
+        page_warnings, condensed_notes, external_images, font_faces,
     )
     return {f.__name__: f for f in listed}
 
@@ -589,4 +657,8 @@ def oracle_sql() -> dict[str, str]:
         "qa_report": QA_SQL,
         "tail_lines": TAIL_SQL,
         "assembled_pages": ASSEMBLED_SQL,
+        "page_warnings": PAGE_WARNINGS_SQL,
+        "condensed_notes": CONDENSED_SQL,
+        "external_images": EXTERNAL_SQL,
+        "font_faces": FONT_SQL,
     }
