@@ -225,7 +225,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
     part = rows.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}  # fewer rows than capacity
     runs = spark.createDataFrame(places(pack(histogram, capacity)), "length long, _first long, _count long, _sequence long, _each long, _offset long")
-    part = ranked(part, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_place", [F.col("doc_id")], 64, small=True)
+    part = ranked(part, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_place", [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], 64, small=True)
     # The runs are as many as lengths in patterns: bounded by the capacity, not by the corpus.
     at = F.col("_place") - F.col("_first")
     part = part.join(F.broadcast(runs), "length").where((at >= 0) & (at < F.col("_count")))
