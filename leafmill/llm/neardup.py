@@ -3,8 +3,9 @@
 A fingerprint has a bit where over half of the features' hashes have it. Fingerprints that share a band of bits share a
 shard; the shard's BK-tree keeps children by their integer Hamming distance to the parent, and a search follows
 only edges within the radius. Trees over all fingerprints would grow with the corpus and may not be broadcast, so
-each shard's tree is built in the task that the shard's rows are dealt to. A shard above ``SHARD_ROWS`` is divided by more
-bits until it is small, which bounds every tree whatever the data: no task gets a large group of copies whole.
+each shard's tree is built in the task that the shard's rows are dealt to. A shard above ``SHARD_ROWS`` is divided, which bounds
+every tree whatever the data: by more bits where that is exact, else into blocks of which each two meet in some task.
+No task gets a large group of copies whole, and no two rows of a shard miss each other.
 A shard gives a spanning forest of its links, not all pairs; that leaves the components as they are.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import components, hidden, ship, stage, table
 
-#: Fingerprints in a shard; a larger shard is divided by further bits.
+#: Fingerprints in a shard; a larger shard is divided.
 SHARD_ROWS = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -142,8 +143,8 @@ def forest(nodes: list[int], prints: list[bytes], radius: int) -> list[tuple[int
 
 class Bands:
     """Shard keys of fingerprints. exact: the bits not yet used are cut into radius + 1 parts, of which fingerprints
-    within the radius share one. Otherwise ``count`` bands of ``width`` bits; below a band, the next ``FAN`` divide, so
-    that rows don't multiply from level to level: near copies share about one band in three."""
+    within the radius share one. Otherwise ``count`` bands of ``width`` bits, which nothing divides further: near copies share
+    about one band in three, so each band that they share must let them meet."""
 
     def __init__(self, bits: int, radius: int, count: int = 0, width: int = 0):
         self.bits, self.radius, self.count, self.width = bits, radius, count, width
@@ -153,9 +154,7 @@ class Bands:
         """(number, bit positions) of the parts that divide what shares the parts of path."""
         if path not in self.cuts:
             if self.count:
-                rest = [k % self.count for k in range(path[-1] + 1, path[-1] + self.count)] if path else range(self.count)
-                some = [k for k in rest if k not in path][: FAN if path else None]
-                parts = [(k, list(range(k * self.width, (k + 1) * self.width))) for k in some]
+                parts = [(k, list(range(k * self.width, (k + 1) * self.width))) for k in range(self.count)]
             else:
                 free = list(range(self.bits))
                 for k in path:
@@ -200,6 +199,14 @@ def _keyed(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.select(names).mapInArrow(run, "shard long, path array<int>, node long, key binary, print binary")
 
 
+def _met(rows: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
+    """rows under new shards: one for each two blocks of half ``shard_rows`` rows that a large shard (shard, count) is cut into."""
+    blocks = F.ceil(F.col("count") / F.lit(max(1, shard_rows // 2))).cast("long")
+    cut = rows.join(large, "shard").withColumn("_of", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_of")))
+    both = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1))).where("_own <> _other")
+    return both.withColumn("shard", F.xxhash64("shard", F.least("_own", "_other"), F.greatest("_own", "_other"))).select(rows.columns)
+
+
 def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) that span every shard's links. nodes: (node long, key binary, print binary), staged, prints differ;
     keys choose the shards and prints are compared."""
@@ -236,16 +243,16 @@ def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_R
     found = []
     while True:
         rows = _keyed(rows, bands)
-        large = stage(rows.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard"))
+        large = stage(rows.groupBy("shard").count().where(F.col("count") > shard_rows))
         if large.isEmpty():
             found.append(rows)
             break
         rows = stage(rows)
         found.append(rows.join(large, "shard", "left_anti"))
-        rows = rows.join(large, "shard", "left_semi")
-        if bands.count and bands.count == len(found):
-            found.append(rows)  # no band is left to divide by
+        if bands.count:
+            found.append(_met(rows, large, shard_rows))
             break
+        rows = rows.join(large, "shard", "left_semi")
     edges = None
     for part in found:
         each = part.select("shard", "node", "print").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long")
@@ -332,7 +339,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 #: For deduplication: bits of the print, and of the key in bands. Two sets of Jaccard similarity s have an angle
 #: arccos(2s / (1 + s)) and differ in that share of pi of the bits.
-FAN = 3
 PRINT_WORDS, KEY_WORDS, BAND_COUNT, BAND_WIDTH = 8, 4, 12, 20
 
 

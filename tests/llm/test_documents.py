@@ -168,6 +168,18 @@ def test_divided_shards_lose_no_link(spark):
     assert [found[i] for i in range(len(rows))] == label
 
 
+def test_crowded_bands_lose_no_link(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(60):  # all share the first band and no other one
+        print_ = r.getrandbits(512)
+        for j, p in enumerate((print_, print_ ^ sum(1 << b for b in r.sample(range(512), 40)))):
+            rows.append((2 * i + j, (r.getrandbits(236) << 20).to_bytes(32, "big"), p.to_bytes(64, "big")))
+    prints = neardup.stage(spark.createDataFrame(rows, "doc_id long, key binary, print binary"))
+    found = {x.doc_id: x.component_id for x in neardup.labelled(prints, neardup.Bands(256, 0, 12, 20), 93, shard_rows=16).collect()}
+    assert found == {i: i - i % 2 for i in range(120)}
+
+
 def test_bk_tree_finds_what_is_near():
     r, tree, before = random.Random(3), neardup.BKTree(), []
     for _ in range(300):
