@@ -262,7 +262,7 @@ def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_R
 
 def labelled(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """prints (doc_id, key, print, staged) and component_id, the smallest doc_id that links reach; null doc_ids count last.
-    check(edges, nodes): keeps the edges that hold."""
+    check(edges, nodes): edges that hold, of pairs that edges join."""
     others = [c for c in prints.columns if c not in ("key", "print")]
     nodes = prints.groupBy("print").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.min(F.struct(*others)).alias("who"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -275,9 +275,90 @@ def labelled(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHA
     return prints.join(names, "print")
 
 
+#: Texts, and bytes of their sets, in a block of a component whose texts are compared; a task holds two blocks.
+MEET_ROWS, MEET_BYTES = 256, 1 << 23
+
+
+def alike_pairs(sets: list[np.ndarray], parts: list[int], sides: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) of this Jaccard similarity at least that join different parts, enough to join all that such pairs join: of
+    side 0 with side 1, or where there is no side 1, of all."""
+    label, sizes, side = np.unique(parts, return_inverse=True)[1], np.array([len(x) for x in sets]), np.array(sides)
+    wanted = side == 1 if side.any() else np.ones(len(sets), bool)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    row = row[order]
+    starts = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0)) if len(flat) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(flat)))
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.repeat(np.arange(len(starts)), counts)
+    ends, out = np.cumsum(sizes), []
+    for i in np.flatnonzero(side == 0).tolist():
+        other = wanted & (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        if not other.any():
+            continue
+        codes = code[ends[i] - sizes[i] : ends[i]]
+        codes = codes[counts[codes] > 1]
+        both, at = np.zeros(len(sets), np.int64), 0
+        total = np.cumsum(counts[codes])
+        while at < len(codes):  # the lists of about a million places at once
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), side="right")))
+            n = counts[codes[at:to]]
+            places = np.repeat(starts[codes[at:to]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both += np.bincount(row[places], minlength=len(sets))
+            at = to
+        for j in np.flatnonzero(other & (both >= similarity * (sizes + sizes[i] - both))).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def left_apart(edges: DataFrame, sure: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of this similarity between nodes that edges join but sure leaves apart: every such pair is compared, whether it is an
+    edge or not. Blocks of a component meet in bounded tasks, and those of one part of sure don't meet. held: (node, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_pair, group = None, []
+
+        def result() -> pa.RecordBatch:
+            found = alike_pairs([np.frombuffer(x[3], np.uint64) for x in group], [x[1] for x in group], [x[0] for x in group], similarity) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([group[x[k]][2] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for pair, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pair != held_pair:
+                    yield result()
+                    held_pair, group = pair, []
+                group.append(rest)
+        yield result()
+
+    groups, parts = components(edges), components(sure).withColumnRenamed("component", "part")
+    rows = groups.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    rows = stage(rows.join(held.select("node", F.octet_length("set").alias("bytes")), "node"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")]
+    cuts = F.ceil(F.greatest(F.col("n") / F.lit(MEET_ROWS), F.col("bytes") / F.lit(MEET_BYTES), F.lit(1.0))).cast("long")
+    apart = rows.groupBy("component").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("component")
+    sizes = stage(rows.join(apart, "component", "left_semi").groupBy("component", "part").agg(*sums).withColumn("cuts", cuts))
+    pools = sizes.where("cuts = 1").groupBy("component").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("component", cuts.alias("pool"))
+    dealt = rows.join(sizes.select("component", "part", "cuts"), ["component", "part"]).join(pools, "component", "left")
+    own = F.when(F.col("cuts") > 1, F.col("part"))  # a large part has blocks to itself, small ones share some
+    block = F.when(F.col("cuts") > 1, F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("cuts")))).otherwise(F.pmod(F.xxhash64("part"), F.col("pool")))
+    dealt = stage(dealt.select("component", "node", "part", own.alias("own"), block.alias("block")))
+    blocks = dealt.select("component", "block", "own").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = x.join(y, F.col("x.component") == F.col("y.component")).where("x.block <= y.block and not coalesce(x.own = y.own, false)")
+    pairs = stage(pairs.select("x.component", F.col("x.block").alias("first"), F.col("y.block").alias("second")).withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("component", F.col("first").alias("block"), "pair", F.lit(0).alias("side")).unionByName(pairs.where("first <> second").select("component", F.col("second").alias("block"), "pair", F.lit(1).alias("side")))
+    met = dealt.join(sides, ["component", "block"]).join(held, "node").select("pair", "side", "part", "node", "set")
+    return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
+
+
 def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose texts' sets of shingles have this Jaccard similarity at least, exactly. docs: (doc_id, _digest, text); a node's
-    text is that of its ``who``."""
+    """Edges that join what pairs of this Jaccard similarity at least of their texts' sets of shingles join, exactly, of all pairs of nodes
+    that edges join over any number of steps. docs: (doc_id, _digest, text); a node's text is that of its ``who``.
+
+    The edges are checked first; a pair may be alike though the edges on the way between its nodes aren't, so then every
+    pair that the edges that hold leave apart is compared as well."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +380,8 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
     texts = docs.join(used, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_who"))).dropDuplicates(["node"])
     held = stage(texts.select("node", "text").mapInArrow(sets, "node long, set binary"))
     pairs = edges.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    sure = stage(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+    return sure.unionByName(left_apart(edges, sure, held, similarity))
 
 
 def fingerprints(docs: DataFrame, columns: list[str], shingle: int, words: int, key_words: int = 0) -> DataFrame:
@@ -353,8 +435,9 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     Texts count as near-duplicates where their sets of five-word shingles have a Jaccard similarity of ``similarity`` at
     least. Candidates differ in no more bits of a 512-bit SimHash of shingles than such texts do; shards come from bands
-    of a SimHash of the distinct words, which changes far less between near copies than one of shingles. Each link
-    of a shard's minimum spanning forest is then checked on the sets themselves. Null and blank texts are copies of
+    of a SimHash of the distinct words, which changes far less between near copies than one of shingles. Spanning
+    forests of the shards join candidates into groups; within a group every pair is decided on the sets themselves, but for such as
+    are known to be joined. Null and blank texts are copies of
     each other. Rows that repeat doc_id and text count as one document. All columns are kept.
     """
     ship(docs.sparkSession)

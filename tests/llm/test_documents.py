@@ -180,6 +180,37 @@ def test_crowded_bands_lose_no_link(spark):
     assert found == {i: i - i % 2 for i in range(120)}
 
 
+def test_links_that_fail_hide_no_pair(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:90])), (2, " ".join(words[40:] + ["x"] * 3)), (3, " ".join(words[5:95]))]
+    nodes = spark.createDataFrame([(i, (i, b"d")) for i, _ in rows], "node long, who struct<doc_id: long, _digest: binary>")
+    docs = spark.createDataFrame([(i, b"d", t) for i, t in rows], "doc_id long, _digest binary, text string")
+    edges = spark.createDataFrame([(0, 2), (1, 2), (3, 2)], "a long, b long")  # the forest left 0-1, 0-3 and 1-3 out
+    found = neardup.components(neardup.similar(edges, nodes, docs, 5, 0.8)).collect()
+    assert {(x.node, x.component) for x in found} == {(0, 0), (1, 0), (3, 0)}
+
+
+def test_alike_pairs_against_brute_force():
+    r = random.Random(8)
+    for _ in range(50):
+        base = [r.sample(range(300), 40) for _ in range(3)]
+        sets = [np.unique(np.array([x for x in r.choice(base) if r.random() < 0.93] + r.sample(range(300), r.randint(0, 3)), np.uint64)) for _ in range(20)]
+        for sides in ([0] * 20, [i % 2 for i in range(20)]):
+            held = [(i, j) for i in range(20) for j in range(i) if sides[i] != sides[j] or not any(sides)]
+            want = [(i, j) for i, j in held if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+            got = neardup.alike_pairs(sets, list(range(20)), sides, 0.8)
+            assert {(max(x), min(x)) for x in got} <= set(want)
+
+            def joined(edges):
+                label = list(range(20))
+                for _ in label:
+                    for i, j in edges:
+                        label[i] = label[j] = min(label[i], label[j])
+                return label
+
+            assert joined(got) == joined(want)
+
+
 def test_bk_tree_finds_what_is_near():
     r, tree, before = random.Random(3), neardup.BKTree(), []
     for _ in range(300):
