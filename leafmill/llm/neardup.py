@@ -11,6 +11,7 @@ A shard gives a spanning forest of its links, not all pairs; that leaves the com
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -208,7 +209,7 @@ def _met(rows: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b) that span every shard's links. nodes: (node long, key binary, print binary), staged, prints differ;
+    """Edges (a, b) that span every shard's links. nodes: (node long, key binary, print binary), staged;
     keys choose the shards and prints are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,18 +262,20 @@ def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_R
 
 
 def labelled(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """prints (doc_id, key, print, staged) and component_id, the smallest doc_id that links reach; null doc_ids count last.
+    """prints (doc_id, key, print, staged) and component_id, the smallest doc_id that links reach; null doc_ids count last. Rows of one
+    print are one node; with a column ``same``, those of one ``same``, and equal prints link like any others.
     check(edges, nodes): edges that hold, of pairs that edges join."""
-    others = [c for c in prints.columns if c not in ("key", "print")]
-    nodes = prints.groupBy("print").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.min(F.struct(*others)).alias("who"))
+    prints = prints if "same" in prints.columns else prints.withColumn("same", F.col("print"))
+    others = [c for c in prints.columns if c not in ("key", "print", "same")]
+    nodes = prints.groupBy("same").agg(F.min("key").alias("key"), F.min("print").alias("print"), F.min("doc_id").alias("first"), F.min(F.struct(*others)).alias("who"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
     edges = links(nodes, bands, radius, shard_rows)
     parts = components(check(edges, nodes) if check else edges)
-    joined = stage(nodes.join(parts, "node").select("print", "first", "component"))
+    joined = stage(nodes.join(parts, "node").select("same", "first", "component"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = joined.join(least, "component").select("print", "component_id")
-    names = nodes.select("print", "first").join(linked, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(names, "print")
+    linked = joined.join(least, "component").select("same", "component_id")
+    names = nodes.select("same", "first").join(linked, "same", "left").select("same", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(names, "same").drop("same")
 
 
 #: Texts, and bytes of their sets, in a block of a component whose texts are compared; a task holds two blocks.
@@ -386,20 +389,26 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, s
 
 def fingerprints(docs: DataFrame, columns: list[str], shingle: int, words: int, key_words: int = 0) -> DataFrame:
     """columns of docs, key and print of every whole text. key_words: the key is a fingerprint of the distinct words, so
-    many times 64 bits wide; 0: the key is the print."""
+    many times 64 bits wide, the print is one of the distinct shingles, and ``same`` is a digest of their set; 0: the key
+    is the print, of shingles with their repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, prints = [], []
+            keys, prints, same = [], [], []
             for text in batch.column(batch.num_columns - 1):
                 split = words_of((text.as_py() or "").encode())
-                prints.append(simhash(shingle_hashes(split, shingle), words))
+                hashes = shingle_hashes(split, shingle)
+                if key_words:
+                    hashes = np.unique(hashes)
+                    same.append(hashlib.md5(hashes.tobytes()).digest())
+                prints.append(simhash(hashes, words))
                 keys.append(simhash(shingle_hashes_distinct(split), key_words) if key_words else prints[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], names=[*columns, "key", "print"])
+            more = [pa.array(x, pa.binary()) for x in ([keys, prints, same] if key_words else [keys, prints])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*columns, *["key", "print", "same"][: len(more)]])
 
     chosen = docs.select(*columns, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, key binary, print binary")
+    return chosen.mapInArrow(run, f"{schema}, key binary, print binary" + (", same binary" if key_words else ""))
 
 
 def shingle_hashes_distinct(words: list[bytes]) -> np.ndarray:
@@ -434,7 +443,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """docs without all but one document, that of the smallest doc_id, of each group of near-duplicates.
 
     Texts count as near-duplicates where their sets of five-word shingles have a Jaccard similarity of ``similarity`` at
-    least. Candidates differ in no more bits of a 512-bit SimHash of shingles than such texts do; shards come from bands
+    least. Texts of one set are one candidate; others differ in no more bits of a 512-bit SimHash of the distinct shingles than such texts do; shards come from bands
     of a SimHash of the distinct words, which changes far less between near copies than one of shingles. Spanning
     forests of the shards join candidates into groups; within a group every pair is decided on the sets themselves, but for such as
     are known to be joined. Null and blank texts are copies of

@@ -230,6 +230,14 @@ def test_deduplicate(docs, none):
     assert kept[40] + kept[41] + kept[42] == 1
 
 
+def test_repeats_within_a_text_neither_link_nor_part(spark):
+    hot = "so " * 300
+    line = " ".join(prose(90, 100).split()[:9])
+    rows = [(0, hot + prose(91, 100)), (1, hot + prose(92, 100)), (2, prose(93, 60) + " " + line * 2), (3, prose(93, 60) + " " + line * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {0, 1, 2}
+
+
 def test_repeated_passages(docs, none):
     assert chunks.cut_repeats(none).count() == 0
     rows = chunks.cut_repeats(docs).collect()
