@@ -1,13 +1,13 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; where it is small the next word begins a chunk. A boundary depends on
-the sixteen bytes before it only, so an insertion moves no boundary but its own. Chunks are compared by a 64-bit digest;
-the first occurrence (smallest doc_id, then place) stays. Later occurrences are cut out where neighbouring chunks
-that all stand elsewhere first add up to ``min_words`` words, so that short common phrases stay, and so that a chance
-collision of one digest cuts nothing.
+the sixteen bytes before it only, so an insertion moves no boundary but its own. What is compared are windows: neighbouring chunks
+that just add up to ``min_words`` words, by a 64-bit digest of their sequence. The first occurrence of a window (smallest
+doc_id, then place) stays, later ones are cut out. So a passage is cut only where the same sequence of chunks stands in one place
+before, and phrases that stand here and there stay.
 
-A task deduplicates blocks of a million chunks by itself first. So a chunk, however common, leaves a block once, and what
-meets by digest is spread evenly; it travels in packed arrays, some ten bytes a chunk.
+A task deduplicates blocks of a million windows by itself first. So a window, however common, leaves a block once, and what
+meets by digest is spread evenly; it travels in packed arrays, some ten bytes a window.
 """
 
 from __future__ import annotations
@@ -72,6 +72,36 @@ def digests(text: bytes, cuts: list[int]) -> np.ndarray:
     return np.fromiter((digest(text[a:b].strip()) for a, b in zip(cuts, cuts[1:], strict=False)), np.uint64, len(cuts) - 1)
 
 
+def windows(text: bytes, cuts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first chunks, ends) in order: from each chunk, and up to each chunk, the fewest chunks that have min_words words. Every longer
+    passage is covered by windows within it. A text of fewer words is one window."""
+    data, n = np.frombuffer(text, np.uint8), len(cuts) - 1
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = np.flatnonzero(~space & np.append(True, space[:-1]))
+    words = np.searchsorted(begins, cuts)  # before each boundary
+    if words[-1] < min_words:
+        return np.array([0]), np.array([n])
+    end = np.searchsorted(words, words[:-1] + min_words)
+    begin = np.searchsorted(words, words[1:] - min_words, side="right") - 1
+    first, last = np.flatnonzero(end <= n), np.flatnonzero(begin >= 0)
+    both = np.unique(np.concatenate([first * (n + 1) + end[first], begin[last] * (n + 1) + last + 1]))
+    return both // (n + 1), both % (n + 1)
+
+
+def window_digests(chunks: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 64-bit digest of each window's sequence of chunk digests: a polynomial modulo 2**64, from sums up to every chunk."""
+    with np.errstate(over="ignore"):
+        base = np.full(len(chunks), 0x9E3779B97F4A7C15, np.uint64)
+        inverse = np.full(len(chunks) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+        inverse[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chunks * np.cumprod(base), dtype=np.uint64)])
+        z = (sums[end] - sums[first]) * np.cumprod(inverse)[first]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(31))
+
+
 def _row_key():
     """Tells rows with the same doc_id apart; rows that repeat doc_id and text are one document."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
@@ -85,10 +115,10 @@ def _rows(columns: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int) -> DataFrame:
-    """Two sorts of rows, from blocks of up to BLOCK_CHUNKS chunks (and a document), numbered in the order of doc_id and place:
+def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -> DataFrame:
+    """Two sorts of rows, from blocks of up to BLOCK_CHUNKS windows (and a document), numbered in the order of doc_id and place:
     with a bucket, the digests of it, each at its first place in the block; without one, a document's numbers in the block and its
-    chunks that stand before in the block. docs: (doc_id, row_key, text)."""
+    windows that stand before in the block. docs: (doc_id, row_key, text)."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +166,8 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int) -> DataFrame:
         for batch in batches:
             for doc_id, row_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = text.as_py().encode()
-                held.append((doc_id, row_key, digests(data, boundaries(data, mean))))
+                cuts = boundaries(data, mean)
+                held.append((doc_id, row_key, window_digests(digests(data, cuts), *windows(data, cuts, min_words))))
                 size += len(held[-1][2])
                 if size >= BLOCK_CHUNKS:
                     yield flush()
@@ -186,7 +217,7 @@ def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_key, n, places, firsts) of each of a block's documents, also of those without repeated chunks."""
+    """(row_key, n, places, firsts) of each of a block's documents, also of those without repeated windows."""
     for rows in _groups(batches):
         far = [r for r in rows if r[3] is None]
         docs = sorted((r for r in rows if r[3] is not None), key=lambda r: r[4])
@@ -202,12 +233,12 @@ def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["row_key", "n", "places", "firsts"])
 
 
-def repeated_chunks(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """(row_key, places, firsts): packed numbers of a document's chunks that stand before it elsewhere, and doc_ids where they do.
+def repeated_windows(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row_key, places, firsts): packed numbers of a document's windows that stand before it elsewhere, and doc_ids where they do.
     docs: (doc_id, row_key, text), texts not empty. Null doc_ids come first. Rows of one row_key are one document: of their results the
     one with the fewest repeats holds."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = stage(blocks_of_chunks(docs, mean, max(32, total // mean // BUCKET_CHUNKS)))
+    rows = stage(blocks_of_chunks(docs, mean, max(32, total // mean // BUCKET_CHUNKS), min_words))
     digests_ = rows.where("bucket is not null").select("bucket", "block", "digests", "docs", "indexes")
     later = digests_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet_by_digest, "block long, indexes binary, firsts binary")
     none = F.lit(None)
@@ -218,31 +249,31 @@ def repeated_chunks(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
 
 
 def spans(text: bytes, cuts: list[int], repeated: dict[int, int], min_words: int) -> list[tuple[int, int, list[int]]]:
-    """(begin, end, doc_ids where it stands) in bytes of each run of repeated chunks that has min_words words."""
-    out, run = [], []
-    for place in [*sorted(repeated), -1]:
-        if run and place != run[-1] + 1:
-            begin, end = cuts[run[0]], cuts[run[-1] + 1]
-            if len(text[begin:end].split()) >= min_words or (begin == 0 and end == len(text)):
-                out.append((begin, end, sorted({repeated[p] for p in run} - {-(1 << 63)})))
-            run = []
-        run.append(place)
-    return out
+    """(begin, end, doc_ids where its windows stand) in bytes of each run of chunks that repeated windows cover."""
+    first, end = windows(text, cuts, min_words)
+    out: list[tuple[int, int, set[int]]] = []
+    for place in sorted(repeated):
+        a, b = cuts[first[place]], cuts[end[place]]
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] | {repeated[place]})
+        else:
+            out.append((a, b, {repeated[place]}))
+    return [(a, b, sorted(ids - {-(1 << 63)})) for a, b, ids in out]
 
 
 def cut_repeats(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with ``text`` less its repeated passages, n_removed (code points) and removed, an array of (begin, end, first_doc_ids)
     in code points of the text before.
 
-    A passage counts where ``min_words`` words of neighbouring chunks stand in another document, or further up, before; and a whole
-    text that does, however short. Rows that repeat doc_id and text keep a row each with the same result. A null text stays null and an
+    A passage counts where neighbouring chunks of ``min_words`` words stand in the same sequence in another document, or further up,
+    before; and a whole text of fewer words that is another's whole text, or a window of it. Rows that repeat doc_id and text keep a row each with the same result. A null text stays null and an
     empty one empty; a text of white space only is a chunk like any other. The other columns are kept, but for such as are
     named n_removed or removed.
     """
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text").where("text is not null and text <> ''")
-    found = stage(repeated_chunks(keyed, mean))
+    found = stage(repeated_windows(keyed, mean, min_words))
     full, names = hidden(docs)
     own = F.xxhash64(F.col(names["doc_id"]).cast("long"), F.coalesce(F.col(names["text"]), F.lit("")))
     joined = full.withColumn("_key", own).join(found, F.col("_key") == found["row_key"], "left")

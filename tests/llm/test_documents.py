@@ -256,6 +256,35 @@ def test_repeated_passages(docs, none):
         assert r.text == (left + text[at:] if text else r.text)
 
 
+def test_phrases_of_many_texts_are_no_passage(spark):
+    text = prose(110, 60).encode()
+    cuts = chunks.boundaries(text)
+    rows = [(i, prose(200 + i, 30) + " " + text[a:b].decode().strip() + " " + prose(300 + i, 30)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    short = b"".join(text[a:b] for a, b in zip(cuts[:3], cuts[1:4], strict=True)).decode()
+    rows += [(2000 + i, text[a:b].decode()) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rows += [(5000, text.decode()), (5001, short.strip()), (5002, text.decode())]
+    found = {r.doc_id: r for r in chunks.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[5000].text == text.decode() and found[5001].text == short.strip() and found[5002].text == ""
+
+
+def test_windows_cover_every_long_passage():
+    r = random.Random(12)
+    for seed in range(30):
+        text = prose(seed, r.randint(1, 150)).encode()
+        cuts = chunks.boundaries(text)
+        first, end = chunks.windows(text, cuts, 20)
+        values = chunks.window_digests(chunks.digests(text, cuts), first, end)
+        n = len(cuts) - 1
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                if len(text[cuts[a] : cuts[b]].split()) >= 20:
+                    assert {i for x, y in zip(first, end, strict=True) if a <= x and y <= b for i in range(x, y)} == set(range(a, b))
+        again = b"Before it. " + text
+        moved = chunks.boundaries(again)
+        other = chunks.window_digests(chunks.digests(again, moved), *chunks.windows(again, moved, 20))
+        assert len(text.split()) < 60 or len(np.intersect1d(values, other)) > 0.5 * len(values)
+
+
 def test_boundaries_resist_insertions():
     text = prose(80, 400).encode()
     moved = b"some new words at the front " + text
