@@ -21,6 +21,8 @@ ROW_BLOCK, QUERY_BLOCK = 4096, 512
 #: Tasks among which the row blocks of a query block are divided.
 SPREAD = 8
 PIVOTS, PREFIX, RERANK = 256, 64, 0.2
+#: Rows are ranked by angle among such as have norms within this factor.
+NORM_STEP = 1.1
 
 
 def valid_vectors(df: DataFrame, zero: bool) -> DataFrame:
@@ -140,11 +142,26 @@ def search(rows: DataFrame, queries: DataFrame, score: Callable, k: int, kind: s
 # ---- Permutation index
 
 
-def augmented(data: np.ndarray, largest: float) -> np.ndarray:
-    """Rows scaled by the largest norm, with the component that makes their norm 1: then the nearest by angle to a query has the
-    largest inner product with it."""
-    data = data / largest
-    return np.hstack([data, np.sqrt(np.maximum(0.0, 1.0 - (data * data).sum(axis=1, keepdims=True)))])
+def norms(data: np.ndarray) -> np.ndarray:
+    largest = np.abs(data).max(axis=1, initial=0.0)
+    scale = np.where(largest > 0, largest, 1.0)
+    return largest * np.sqrt(((data / scale[:, None]) ** 2).sum(axis=1))
+
+
+def directions(data: np.ndarray) -> np.ndarray:
+    """The rows at norm 1: the nearest by angle to a query has the largest inner product with it among rows of one norm."""
+    largest = np.abs(data).max(axis=1, initial=0.0, keepdims=True)
+    data = data / np.where(largest > 0, largest, 1.0)
+    size = np.sqrt((data * data).sum(axis=1, keepdims=True))
+    return data / np.where(size > 0, size, 1.0)
+
+
+def norm_ranges(sizes: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    """(largest norm, rows) of the rows whose norms lie within a factor NORM_STEP, the largest norms first; 1 is amid a range."""
+    number = np.floor(np.log(np.maximum(sizes, 1e-300)) / np.log(NORM_STEP) + 0.5)
+    order = np.argsort(-number, kind="stable")
+    cuts = np.flatnonzero(np.diff(number[order])) + 1
+    return [(float(sizes[rows].max()), rows) for rows in np.split(order, cuts) if len(rows)]
 
 
 def prefixes(points: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -167,47 +184,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
 
     Both are (vec_id, v) as valid_vectors gives them. ``pivots`` vectors (those of the smallest id hashes: a bounded sample) order
     every row by its ``prefix`` nearest pivots. A row block's inverted files post its rows under their pivots; a query's
-    lists add up the footrule distance to its own order, the ``rerank`` share of the block that is nearest by it,
-    and never fewer than 4 k rows, is ranked again by inner products in double precision. Repeated ids are rows of
+    lists add up the footrule distance to its own order. Orders tell angles only, so of every range of norms in the block the
+    ``rerank`` share that is nearest by it, and never fewer than 4 k rows, is ranked again by inner products in
+    double precision; a range is left out where its norms can't lift a row to the k-th best score. Repeated ids are rows of
     their own. A query of another dimension than a row doesn't find it.
     """
     spark = vectors.sparkSession
     ship(spark)
     vectors, queries = stage(vectors), stage(queries)
-    count, asked, norm = vectors.count(), queries.count(), vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    largest = float(norm or 1.0) ** 0.5 or 1.0
+    count, asked = vectors.count(), queries.count()
     sample = vectors.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(pivots).select("v").collect()
     by_dims: dict[int, np.ndarray] = {}
     for dims in {len(r["v"]) for r in sample}:
-        by_dims[dims] = augmented(np.array([r["v"] for r in sample if len(r["v"]) == dims]), largest)
+        by_dims[dims] = directions(np.array([r["v"] for r in sample if len(r["v"]) == dims]))
 
     def indexed(data: np.ndarray) -> dict[str, np.ndarray]:
         own = by_dims.get(data.shape[1])
         if own is None:
             return inverted(np.zeros((len(data), 0), "<u2"), 0)
-        return inverted(prefixes(augmented(data, largest), own, prefix), len(own))
+        return inverted(prefixes(directions(data), own, prefix), len(own))
 
     def score(row: dict, ids: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
         data = np.frombuffer(row["data"], "<f8").reshape(len(ids), -1)
         own = by_dims.get(data.shape[1])
-        keep = len(ids) if own is None else min(len(ids), max(4 * k, int(np.ceil(rerank * len(ids)))))
+        ranges = norm_ranges(norms(data))
+        keeps = [len(rows) if own is None else min(len(rows), max(4 * k, int(np.ceil(rerank * len(rows))))) for _, rows in ranges]
+        lengths = norms(asked_data)
         if own is not None:
             starts = np.frombuffer(row["post_starts"], "<i4")
             post_rows, post_places = np.frombuffer(row["post_rows"], "<u2"), np.frombuffer(row["post_places"], "<u2")
             own_prefix = min(prefix, len(own))
-            orders = prefixes(np.hstack([asked_data, np.zeros((len(asked_data), 1))]), own, own_prefix)
+            orders = prefixes(directions(asked_data), own, own_prefix)
         for i, q in enumerate(asked_data):
-            near = np.arange(len(ids))
-            if keep < len(ids):
+            held, near = best.threshold(i), np.arange(len(ids))
+            reach = [n for n, (norm, _) in enumerate(ranges) if held is None or norm * lengths[i] * (1 + 1e-9) >= held]
+            if not reach:
+                continue
+            if any(keeps[n] < len(ranges[n][1]) for n in reach):
                 saved = np.zeros(len(ids), np.int32)  # footrule distance saved against a row that shares no pivot
                 for place, p in enumerate(orders[i].tolist()):
                     a, b = starts[p], starts[p + 1]
                     at = post_places[a:b].astype(np.int32)
                     saved[post_rows[a:b]] += 2 * own_prefix - np.abs(at - place) - at - place
-                near = np.argpartition(-saved, keep - 1)[:keep]
+                near = np.concatenate([rows if keep == len(rows) else rows[np.argpartition(-saved[rows], keep - 1)[:keep]] for (_, rows), keep in ((ranges[n], keeps[n]) for n in reach)])
+            elif len(reach) < len(ranges):
+                near = np.concatenate([ranges[n][1] for n in reach])
             rough = data[near] @ q
             least = np.partition(rough, -k - 1)[-k - 1] if len(rough) > k + 1 else -np.inf
-            held = best.threshold(i)
             if held is not None:
                 least = max(least, held)
             chosen = near[rough >= least - 1e-9 * max(1.0, abs(least) if np.isfinite(least) else 1.0)]

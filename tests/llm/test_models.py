@@ -157,6 +157,25 @@ def test_permutation_index(embeddings, spark, monkeypatch):
     assert vectors.nearest(none, none).count() == 0
 
 
+@pytest.mark.parametrize("every,factor", [(100, 20.0), (2000, 1e9), (1, None)])
+def test_permutation_index_of_uneven_norms(spark, every, factor):
+    r = np.random.default_rng(9)
+    data = r.normal(0, 1, (2000, 64))
+    data /= np.sqrt((data * data).sum(axis=1, keepdims=True))
+    data[::every] *= factor or r.lognormal(0, 0.5, (2000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, v array<double>")
+    found: dict = {}
+    for x in vectors.nearest(df, df.where("vec_id % 20 = 1")).collect():
+        found.setdefault(x.query_id, set()).add(x.vec_id)
+    recall = []
+    for q in range(1, 2000, 20):
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    print("recall", every, factor, np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
 # ---- Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{margin:0}</style></head><body>
