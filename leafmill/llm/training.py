@@ -22,13 +22,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_TEXT_BYTES) -> list[tuple[str, int]]:
-    """(text, label) of up to ``rows`` labelled documents that aren't held out, those of the smallest id hashes.
+    """(text, label) of up to ``rows`` labelled documents that aren't held out, those of the smallest id hashes of such as docs have with
+    a text of ``most_bytes`` bytes at most.
 
     Rows that repeat a label count once, and so do rows that repeat a doc_id, by their least text: the driver gets no more than
     ``rows`` texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
-    some = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= most_bytes)
+    there = known.distinct().join(texts.select("doc_id"), "doc_id", "left_semi")
+    some = there.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
     found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["_label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["_label"]))]
 

@@ -58,6 +58,14 @@ def test_sample_is_bounded_by_ids(labelled, spark):
     assert len(training.sample(many, labels, "quality", rows=3)) == 3
 
 
+def test_sample_is_drawn_from_what_is_there(labelled, spark):
+    docs, labels, _ = labelled
+    once = training.sample(docs, labels, "quality", rows=20)
+    others = spark.range(100_000, 130_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    long = docs.unionByName(spark.range(100_000, 100_300).selectExpr("id as doc_id", "repeat('long ', 8000) as text"))
+    assert len(once) == 20 and training.sample(long, labels.select("doc_id", "quality", "toxic").unionByName(others), "quality", rows=20) == once
+
+
 @pytest.mark.parametrize("score,keep", [(quality.score_quality, quality.keep_quality), (toxicity.score_toxicity, toxicity.drop_toxic)])
 def test_classifiers_take_odd_rows(labelled, spark, score, keep):
     _, labels, _ = labelled
