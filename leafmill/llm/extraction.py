@@ -21,8 +21,6 @@ from .common import ship, table
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 #: Of the first pass: characters, shares of linked characters and of stop words.
 LONG, SHORT_CHARS, MOST_LINKED, STOP_LOW, STOP_HIGH = 200, 70, 0.35, 0.1, 0.2
-#: Neighbours this many blocks away decide for a short block.
-REACH = 200
 
 #: Elements whose text is no content: the text inside isn't markup (first) or is skipped with its markup.
 RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select button head".split())
@@ -218,8 +216,6 @@ def labelled(blocks: list[Block]) -> list[Block]:
             block.label = own
             continue
         a, b = before[i], after[i]
-        a = a if a is not None and i - a <= REACH else None
-        b = b if b is not None and b - i <= REACH else None
         if not sure or (a is None and b is None):
             block.label = GOOD
         elif a is None or b is None:

@@ -207,6 +207,11 @@ def test_extraction():
     assert extraction.main_text(plain).split("\n")[1] == "Short one." and "two" not in extraction.main_text(plain)
 
 
+def test_long_runs_of_short_blocks_follow_their_neighbours():
+    link = "<div><a href=a>one two three</a></div>"
+    assert extraction.main_text(f"<body>{link}{'<p>Item</p>' * 600}{link}</body>") == ""
+
+
 def test_extract_takes_odd_rows(spark):
     rows = [(1, "u", PAGE, "x", 3), (1, "u", PAGE, "x", 3), (2, None, None, None, None), (None, "v", "", "y", 1), (3, "w", "<div>" * 50000 + "deep", "y", 1)]
     schema = "page_id long, url string, html string, text string, n_chars int"
