@@ -1,15 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-The markup is cut into blocks at block-level tags. The first pass classifies a block by the element that it stands in,
-its link density, length and stop-word density. Blocks too short to tell inherit, in the second pass, the label of the
-nearest decided neighbours.
+The markup is cut into blocks at block-level tags. The first pass classifies a block by stop-word density, length and link
+density; the element that it stands in is one feature more, which moves the thresholds. Blocks too short to tell inherit, in
+the second pass, the label of the nearest decided neighbours, those of the same article first.
+What menus, headers, footers, sidebars, notices, adverts, forms and comments hold is no content whatever it reads like.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
-#: Of the first pass: characters, shares of linked characters and of stop words.
+#: Of the first pass: characters, shares of linked characters and of stop words. In an article prose may have any share of stop words,
+#: as code, tables and languages without a list of them have none.
 LONG, SHORT_CHARS, MOST_LINKED, STOP_LOW, STOP_HIGH = 200, 70, 0.35, 0.1, 0.2
 
 #: Elements whose text is no content: the text inside isn't markup (first) or is skipped with its markup.
@@ -31,8 +34,9 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A new one of these ends an open one.
+#: A new one of these ends an open one, if only such stand between; the others hold them.
 ENDS_ITSELF = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark an element as no content.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
@@ -41,6 +45,11 @@ MARKED = re.compile(
     re.I,
 )
 
+#: Parts of a class that say what an article is about or allows, or how a page is laid out, not what the element is.
+TELLS_NOTHING = re.compile(r"(?:^|\s)(?:(?:category|tag|type|post|format|status|has|with|no|without)-[^\s]*|[^\s]*-(?:open|closed|enabled|disabled|allowed))(?=\s|$)", re.I)
+#: An article is marked by these whole names only.
+MARKED_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments comment-body comment-item reply replies".split())
+
 STOP_WORDS = frozenset(
     # Common function words of English, German, Spanish and French.
     """a about after all also an and any are as at be been but by can could did do for from had has have he her his i if in into is it its just more no not of on one
@@ -63,12 +72,14 @@ WORD = re.compile(r"\w+")
 class Block:
     text: str
     linked: int  # characters inside links
-    inside: str  # GOOD in an article, BAD in boilerplate, else ""
+    article: int  # the number of the article that it is part of, or 0
+    boilerplate: bool  # inside an element that holds no content
     heading: bool
     label: str = ""
 
 
 def no_content(name: str, attributes: str) -> bool:
+    """Whether an element holds no content by its name, its class, id or role, or because it isn't shown."""
     if name in BOILERPLATE:
         return True
     if not attributes or name in ("html", "body"):
@@ -76,7 +87,10 @@ def no_content(name: str, attributes: str) -> bool:
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
-            if MARKED.search(value):
+            if name in CONTENT:
+                if not MARKED_ARTICLE.isdisjoint(value.lower().split()):
+                    return True
+            elif MARKED.search(TELLS_NOTHING.sub(" ", value)):
                 return True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
@@ -85,11 +99,52 @@ def no_content(name: str, attributes: str) -> bool:
     return False
 
 
+class Open:
+    """The open block elements, and what they make of a text inside; every step takes constant time on average."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []  # element, whether it holds no content, article around
+        self.names: Counter = Counter()
+        self.bad = self.headings = self.articles = 0
+
+    def push(self, name: str, bad: bool) -> None:
+        article = self.stack[-1][2] if self.stack else 0
+        if name in CONTENT:
+            self.articles += 1
+            article = self.articles
+        self.stack.append((name, bad, article))
+        self.names[name] += 1
+        self.bad += bad
+        self.headings += name in HEADINGS
+
+    def pop(self) -> str:
+        name, bad, _ = self.stack.pop()
+        self.names[name] -= 1
+        self.bad -= bad
+        self.headings -= name in HEADINGS
+        return name
+
+    def close(self, name: str) -> None:
+        while self.pop() != name:
+            pass
+
+    def close_implied(self, name: str) -> None:
+        """End the open element that a new one of this name ends."""
+        ends, at = ENDS_ITSELF[name], len(self.stack)
+        while at and self.stack[at - 1][0] in ENDS_ITSELF:  # a name stands there once at most
+            at -= 1
+            if self.stack[at][0] in ends:
+                while len(self.stack) > at:
+                    self.pop()
+                return
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text in order. Character references are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (element, what its inside is)
+    open_ = Open()
     held: list[str] = []
+    endless: set[str] = set()  # elements that have no end further down
     linked = 0
     links = 0
 
@@ -98,13 +153,20 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                inside = next((w for _, w in reversed(stack) if w), "")
-                if any(w == BAD for _, w in stack):
-                    inside = BAD
-                out.append(Block(text, min(linked, len(text)), inside, any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _ in stack)))
+                article = open_.stack[-1][2] if open_.stack and not open_.bad else 0
+                out.append(Block(text, min(linked, len(text)), article, open_.bad > 0, open_.headings > 0))
             held.clear()
         linked = 0
 
+    def end_of(name: str, at: int) -> int | None:
+        """Where the element ends; what is looked for in vain is looked for once."""
+        if name in endless:
+            return None
+        end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        if not end:
+            endless.add(name)
+        return end.end() if end else None
+
     at, size = 0, len(page)
     while at < size:
         cut = page.find("<", at)
@@ -130,20 +192,21 @@ def blocks_of(page: str) -> list[Block]:
         if tag[1]:
             if name == "a":
                 links = max(0, links - 1)
-            if name in BLOCK or name in BOILERPLATE:
-                if any(n == name for n, _ in stack):
-                    close_block()
-                    while stack.pop()[0] != name:
-                        pass
+            if open_.names[name]:
+                close_block()
+                open_.close(name)
             continue
         if name in RAW:
             if not tag[4]:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+                end = end_of(name, at)
+                if end is not None:
+                    at = end
                 elif name == "head":  # its end may be left out
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    at = body.start() if body else at
+                    body = re.compile(r"<body\b", re.I).search(page, at) if "body" not in endless else None
+                    if body:
+                        at = body.start()
+                    else:
+                        endless.add("body")
                 else:
                     at = size
             held.append(" ")
@@ -155,68 +218,67 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCK:
             close_block()
             if name in ENDS_ITSELF:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ENDS_ITSELF[name]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
-                        break
+                open_.close_implied(name)
             if name not in VOID and not tag[4]:
-                own = name != "header" or not any(n in CONTENT for n, _ in stack)  # an article's own header has its title
-                stack.append((name, BAD if no_content(name if own else "", tag[3]) else GOOD if name in CONTENT else ""))
-        elif name not in VOID and no_content("", tag[3]):  # an inline element that is hidden or marked
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if end and name in ("span", "small", "label", "ins", "i", "b"):
-                at = end.end()
+                own = name != "header" or not (open_.names["article"] or open_.names["main"])  # an article's own header has its title
+                open_.push(name, no_content(name if own else "", tag[3]))
+        elif name in ("span", "small", "label", "ins", "i", "b") and no_content("", tag[3]):  # an inline element that is hidden or marked
+            at = end_of(name, at) or at
     close_block()
     return out
 
 
-def first_pass(block: Block) -> str:
-    """The block's own label; NEAR: likely, but a neighbour decides; SHORT: too short to tell."""
-    if block.inside == BAD:
-        return BAD
+def stop_words(text: str) -> float:
+    """The share of stop words."""
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block) -> tuple[str, str]:
+    """The block's own label, and what decides it. NEAR: likely, but a neighbour decides; SHORT: too short to tell."""
+    if block.boilerplate:
+        return BAD, "element"
     size = len(block.text)
     if block.linked / size > MOST_LINKED:
-        return BAD
-    if block.inside == GOOD:
-        return GOOD
-    if "©" in block.text and size < LONG:
-        return BAD
+        return BAD, "link density"
+    if "©" in block.text and size < LONG and not block.article:
+        return BAD, "copyright"
     if size < SHORT_CHARS:
-        return SHORT
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOP_HIGH:
-        return GOOD if size > LONG else NEAR
-    if stops >= STOP_LOW:
-        return NEAR
-    return BAD if size < LONG else NEAR
+        return SHORT, ""
+    stops = stop_words(block.text)
+    if stops >= STOP_LOW if block.article else stops >= STOP_HIGH and size > LONG:
+        return GOOD, "stop words"
+    if block.article or stops >= STOP_LOW or size >= LONG:
+        return NEAR, ""
+    return BAD, "stop words"
+
+
+def nearest_decided(first: list[str], articles: list[int]) -> list[tuple[int | None, int | None]]:
+    """For each block the nearest decided ones before and after it; a block of an article sees only that article's."""
+
+    def walk(order: Iterable[int]) -> list[int | None]:
+        out: list[int | None] = [None] * len(first)
+        last: dict[int, int] = {}  # by article, 0 for the page
+        for i in order:
+            out[i] = last.get(articles[i])
+            if first[i] in (GOOD, BAD):
+                last[0] = last[articles[i]] = i
+        return out
+
+    return list(zip(walk(range(len(first))), walk(range(len(first) - 1, -1, -1)), strict=True))
 
 
 def labelled(blocks: list[Block]) -> list[Block]:
-    """Both passes: SHORT and NEAR blocks take the label that the nearest decided blocks before and after them agree on. Where they
-    don't agree, the nearer one decides; of equally near ones, a NEAR block or a heading above content is content."""
-    first = [first_pass(b) for b in blocks]
-    sure = [i for i, x in enumerate(first) if x in (GOOD, BAD)]
-    before: list[int | None] = []
-    last = None
-    for i, x in enumerate(first):
-        before.append(last)
-        if x in (GOOD, BAD):
-            last = i
-    after: list[int | None] = [None] * len(first)
-    last = None
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = last
-        if first[i] in (GOOD, BAD):
-            last = i
-    for i, (block, own) in enumerate(zip(blocks, first, strict=True)):
+    """Both passes: SHORT and NEAR blocks take the label that the nearest decided blocks before and after them agree on. In an article
+    they are content unless both its nearest blocks aren't. Elsewhere, where the two don't agree, the nearer one decides; of
+    equally near ones, a NEAR block or a heading above content is content."""
+    first = [first_pass(b)[0] for b in blocks]
+    for i, (block, own, (a, b)) in enumerate(zip(blocks, first, nearest_decided(first, [b.article for b in blocks]), strict=True)):
         if own in (GOOD, BAD):
             block.label = own
-            continue
-        a, b = before[i], after[i]
-        if not sure or (a is None and b is None):
+        elif block.article:
+            block.label = BAD if a is not None and b is not None and first[a] == first[b] == BAD else GOOD
+        elif a is None and b is None:
             block.label = GOOD
         elif a is None or b is None:
             block.label = first[b if a is None else a] if own == SHORT else GOOD
