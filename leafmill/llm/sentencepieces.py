@@ -9,7 +9,6 @@ kept, so a word is merged once.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import struct
@@ -26,6 +25,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches whose segmentation is kept, per worker; the store is emptied when full.
 KEPT = 400_000
+#: Characters of a stretch above which its segmentation isn't kept.
+LONGEST_KEPT = 64
 NO_PAIR = 1 << 40
 
 
@@ -75,23 +76,40 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if size else ()
         self.replacements = blob[4 + size :] if size else b""
+        #: For each byte, whether a prefix in the map begins with it.
+        self.begins = np.array([bool(self.units) and self._step(self._offset(self.units[0]), b) is not None for b in range(256)])
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def _step(self, place: int, byte: int) -> int | None:
+        """The place of the trie's node below, or None."""
+        place ^= byte
+        return place if self.units[place] & 0x800000FF == byte else None
+
+    def matches(self, data: bytes) -> list[tuple[int, int, bytes]]:
+        """(place, bytes consumed, replacement) of the longest prefixes, from left to right. Only places with a byte that begins one are
+        looked at, and one within a match isn't."""
+        out, after = [], 0
+        for at in np.flatnonzero(self.begins[np.frombuffer(data, np.uint8)]).tolist() if self.units else ():
+            if at >= after and (found := self.longest(data, at)):
+                out.append((at, *found))
+                after = at + found[0]
+        return out
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes consumed, replacement) of the longest prefix in the map."""
         if not self.units:
             return None
         units, found = self.units, None
-
-        def offset(unit: int) -> int:
-            return (unit >> 10) << ((unit & 512) >> 6)
-
-        place = offset(units[0])
+        place: int | None = self._offset(units[0])
         for i in range(at, len(data)):
-            place ^= data[i]
-            unit = units[place]
-            if unit & 0x800000FF != data[i]:
+            place = self._step(place, data[i])
+            if place is None:
                 break
-            place ^= offset(unit)
+            unit = units[place]
+            place ^= self._offset(unit)
             if unit >> 8 & 1:
                 start = units[place] & 0x7FFFFFFF
                 found = i + 1 - at, self.replacements[start : self.replacements.index(b"\0", start)]
@@ -131,9 +149,7 @@ class Model:
             raise ValueError("a piece crosses a word boundary")
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.kept: dict[str, tuple] = {}
-        self.joined: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.kept: dict[str, tuple[bytes, str, bytes]] = {}
         self.by_rank = np.array(sorted(self.ids.values(), key=lambda i: (-self.scores[i], i)), np.int64)
         rank = {self.pieces[i]: k for k, i in enumerate(self.by_rank.tolist())}
         self.characters = np.full(0x110000, -1, np.int64)
@@ -144,25 +160,31 @@ class Model:
             pairs += [(self.ids[p[:k]] * len(self.pieces) + self.ids[p[k:]], rank[p]) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         pairs.sort()
         self.pairs, self.ranks = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int64)
-        self.number_texts, self.surfaces = [str(i) for i in range(len(self.pieces))], [p.replace(SPACE, " ") for p in self.pieces]
+        self.packed, self.surfaces = [struct.pack("<i", i) for i in range(len(self.pieces))], [p.replace(SPACE, " ") for p in self.pieces]
+        self.steps = [struct.pack("<2H", n, n) for n in (len(p.encode()) for p in self.pieces)]
         self.parts: dict[str, list] = {}
 
-    def normalize(self, text: str) -> tuple[str, list[int] | None]:
-        """The normalised text and, for every byte of it and its end, the original byte; None: they're the same but for
-        each space's sign (three bytes for one) and a sign put before the text."""
-        if not self.map.units and not self.trims and self.escapes:
-            return (SPACE + text.replace(" ", SPACE) if self.prefix and text else text.replace(" ", SPACE)), None
-        data, out, source, at = text.encode(), bytearray(), [], 0
-        chunks = []
-        while at < len(data):
-            found = self.map.longest(data, at)
-            if not found:
-                size = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
-                found = size, data[at : at + size]
-            chunks.append((at, *found))
-            at += found[0]
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text and, for every byte of it and its end, the original byte that it stands for. The longest prefix in the
+        character map is replaced at each place; what no prefix begins stands for itself."""
+        data = text.encode()
+        found = self.map.matches(data)
+        if not found and not self.trims and self.escapes:  # spaces become signs, and a sign is put before the text
+            wide = np.where(np.frombuffer(data, np.uint8) == 32, 3, 1)
+            normal, source = text.replace(" ", SPACE), np.append(np.repeat(np.arange(len(data)), wide), len(data))
+            return (SPACE + normal, np.append([0, 0, 0], source)) if self.prefix and text else (normal, source)
+        chunks, at = [], 0
+        for place, size, what in [*found, (len(data), 0, b"")]:
+            while at < place:
+                wide = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
+                chunks.append((at, data[at : at + wide]))
+                at += wide
+            if size:
+                chunks.append((place, what))
+                at = place + size
+        out, source = bytearray(), []
         if self.trims:
-            while chunks and chunks[0][2].strip(b" ") == b"":
+            while chunks and chunks[0][1].strip(b" ") == b"":
                 chunks.pop(0)
         sign = SPACE.encode() if self.escapes else b" "
         end = len(data)
@@ -172,11 +194,11 @@ class Model:
             source.extend([where] * len(what))
 
         if not chunks:
-            return "", [0]
+            return "", np.zeros(1, np.int64)
         if self.prefix:
             put(sign, chunks[0][0])
         blank = self.trims
-        for where, _, what in chunks:
+        for where, what in chunks:
             if blank:
                 what = what.lstrip(b" ")
             for i in range(len(what)):
@@ -187,7 +209,7 @@ class Model:
             while out.endswith(sign) and len(out) >= len(sign):
                 end = source[len(out) - len(sign)]
                 del out[-len(sign) :], source[-len(sign) :]
-        return out.decode(), [*source, end]
+        return out.decode(), np.array([*source, end])
 
     def merge(self, stretch: str) -> list[tuple[str, int]]:
         """(piece, id) of a stretch: the pair of the highest score merges first, the leftmost of equals.
@@ -257,50 +279,50 @@ class Model:
             offer(a, right[a])
         return [s for s in symbols if s]
 
-    def segment(self, stretch: str) -> tuple:
-        """(ids, pieces) of a stretch, kept for the next time."""
-        found = self.kept.get(stretch)
-        if found is None:
-            merged = self.merge(stretch)
-            found = [i for _, i in merged], [p for p, _ in merged]
-            if len(stretch) <= 64:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[stretch] = found
-        return found
-
     def encode(self, text: str, end: bool = False) -> list[int]:
-        normal, _ = self.normalize(text)
-        ids = [i for s in self.stretch.findall(normal) for i in self.segment(s)[0]]
-        if not self.bytes:  # neighbouring unknown characters are one piece
-            ids = [i for k, i in enumerate(ids) if not (k and i == ids[k - 1] == self.unknown)]
-        return ids + [self.end] * end
-
-    def round_trips(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """Of each text: its ids joined by a space, the end id included; how many; their decoded text. It goes by stretches: no
-        character's bytes lie in two, so each decodes by itself. Stretches not met before are merged together."""
-        if not self.bytes:
-            every = [self.encode(t, end=True) for t in texts]
-            return [(" ".join(map(str, ids)), len(ids), self.decode(ids)) for ids in every]
-        split = [self.stretch.findall(self.normalize(t)[0]) for t in texts]
-        if len(self.joined) > KEPT:
-            self.joined.clear()
-            self.decoded.clear()
-        new = set().union(*split) - self.joined.keys()
+        return self.encode_many([text], end)[0][0].tolist()
+
+    def encode_many(self, texts: list[str], end: bool = True) -> list[tuple[np.ndarray, np.ndarray, str]]:
+        """Of each text: its ids, (n, 2) begins and ends of its pieces in bytes of the original text, and the decoded ids. The end id, if
+        wanted, stands at the text's end. Each byte of a character that is spelled in bytes has the span of the character.
+
+        Segmentation goes by stretches: no piece and no character's bytes lie in two. Those not met before are merged together."""
+        normal = [self.normalize(t) for t in texts]
+        split = [self.stretch.findall(t) for t, _ in normal]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = set().union(*split) - self.kept.keys()
         if new:
             self.segment_many(list(new))
-        ids, decoded, out = self.joined.__getitem__, self.decoded.__getitem__, []
-        for stretches in split:
-            joined = " ".join([*map(ids, stretches), str(self.end)])
-            text = "".join(map(decoded, stretches))
-            if stretches and (self.prefix or self.trims) and text.startswith(" "):
+        get, out = self.kept.__getitem__, []
+        for stretches, (_, source) in zip(split, normal, strict=True):
+            parts = list(map(get, stretches))
+            ids = np.frombuffer(b"".join([p[0] for p in parts]), "<i4")
+            steps = np.frombuffer(b"".join([p[2] for p in parts]), "<u2").reshape(-1, 2).astype(np.int64)
+            begin = np.cumsum(steps[:, 1]) - steps[:, 1]
+            ends = begin + steps[:, 0]
+            text = "".join([p[1] for p in parts])
+            if not self.bytes and len(ids):  # neighbouring unknown characters are one piece
+                other = (ids != self.unknown) | np.append(True, ids[:-1] != self.unknown)
+                last = np.append(np.flatnonzero(other)[1:] - 1, len(ids) - 1)
+                ids, begin, ends = ids[other], begin[other], ends[last]
+                text = self._decode(ids.tolist())
+            spans = np.stack([source[begin], source[ends]], axis=1)
+            if end:
+                size = source[-1]
+                ids, spans = np.append(ids, np.int32(self.end)), np.append(spans, [[size, size]], axis=0)
+            if stretches and (self.prefix or self.trims) and stretches[0].startswith(SPACE):
                 text = text[1:]  # the sign put before the text
-            out.append((joined, joined.count(" ") + 1, text))
+            out.append((ids, spans, text))
+        for stretch in new:
+            if len(stretch) > LONGEST_KEPT:
+                del self.kept[stretch]
         return out
 
     def segment_many(self, stretches: list[str]) -> None:
-        """Put the stretches' ids and decoded texts into the store. Those of up to 20 known characters are merged in step, a row
-        each: the best pair of every row merges, its neighbours are looked up anew, until no row has a pair."""
+        """Put the stretches' packed ids, decoded text, and packed steps (of each piece: its bytes, and those up to the next piece) into
+        the store. Those of up to 20 known characters are merged in step, a row each: the best pair of every row merges, its
+        neighbours are looked up anew, until no row has a pair."""
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         symbols = self.characters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
         starts = np.cumsum(sizes) - sizes
@@ -334,14 +356,21 @@ class Model:
                 r[k, j[k] - 1] = self.pair_ranks(s[k, j[k] - 1], s[k, j[k]])
                 rows[alive], ranks[alive] = s, r
             counts = (rows >= 0).sum(axis=1).tolist()
-            numbers, surfaces = self.number_texts, self.surfaces
+            numbers, surfaces, steps = self.packed, self.surfaces, self.steps
             for n, row, count in zip(at.tolist(), rows.tolist(), counts, strict=True):
                 row = row[:count]
-                self.joined[stretches[n]] = " ".join([numbers[x] for x in row])
-                self.decoded[stretches[n]] = "".join([surfaces[x] for x in row])
+                self.kept[stretches[n]] = b"".join([numbers[x] for x in row]), "".join([surfaces[x] for x in row]), b"".join([steps[x] for x in row])
         for n in np.flatnonzero(~known | (sizes > low)).tolist():
-            ids = [i for _, i in self.merge(stretches[n])]
-            self.joined[stretches[n]], self.decoded[stretches[n]] = " ".join(map(str, ids)), self._decode(ids)
+            merged = self.merge(stretches[n])
+            walked, spelled = [], 0
+            for piece, i in merged:
+                size, step = len(piece.encode()), 0
+                spelled = spelled + 1 if self.kinds[i] == BYTE else size
+                if spelled == size:
+                    step, spelled = size, 0
+                walked.append(struct.pack("<2H", size, step))
+            ids = [i for _, i in merged]
+            self.kept[stretches[n]] = b"".join([self.packed[i] for i in ids]), self._decode(ids), b"".join(walked)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the piece that two pieces join to, the highest score first; NO_PAIR if they don't, or one is -1."""
@@ -349,31 +378,10 @@ class Model:
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         return np.where((self.pairs[at] == wanted) & (a >= 0) & (b >= 0), self.ranks[at], NO_PAIR)
 
-    def spans(self, text: str) -> list[tuple[int, str, int, int]]:
-        """(id, piece, begin, end) of every piece in bytes of the original text; each byte of a character that is spelled in bytes
-        has the span of the character."""
-        normal, source = self.normalize(text)
-        if source is None:
-            source, at = [0] * len(SPACE.encode()) * bool(normal and self.prefix), 0
-            for ch in text:
-                size = len(ch.encode())
-                source += [at] * 3 if ch == " " else range(at, at + size)
-                at += size
-            source.append(at)
-        out, at = [], 0
-        for s in self.stretch.findall(normal):
-            run = self.segment(s)
-            spelled = 0
-            for i, piece in zip(run[0], run[1], strict=True):
-                size = len(piece.encode())
-                out.append((i, piece, source[at], source[at + size]))
-                if self.kinds[i] == BYTE:
-                    spelled += 1
-                    if spelled < size:
-                        continue
-                    spelled = 0
-                at += size
-        return out
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of every piece in bytes of the original text."""
+        ids, spans, _ = self.encode_many([text], end=False)[0]
+        return [(i, *s) for i, s in zip(ids.tolist(), spans.tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces vanish, byte pieces join to characters (a bad byte gives U+FFFD), the sign put before the
@@ -420,8 +428,11 @@ def _bytes_to_text(data: bytes) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as an empty one, whose only id is
-    the end. Repeated rows keep a row each; other columns are not read; no documents give no rows."""
+    """One row per document: doc_id, ids array<int> with the end id, spans and decoded, the text that the ids stand for. spans: the begin
+    and end of every id's piece in bytes of the text, packed as little-endian unsigned 32-bit numbers.
+
+    A null text counts as an empty one, whose only id is the end. Repeated rows keep a row each; other columns are not read; no
+    documents give no rows."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -430,15 +441,18 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared(path)
         for batch in batches:
-            counts, first, second = [], [], []
-            for ids, count, decoded in model.round_trips([t or "" for t in batch.column(1).to_pylist()]):
-                counts.append(count)
-                first.append(hashlib.sha256(ids.encode()).hexdigest())
-                second.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = model.encode_many([t or "" for t in batch.column(1).to_pylist()])
+            starts = np.cumsum([0, *(len(ids) for ids, _, _ in found)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _, _ in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+            spans = pa.array([x.astype("<u4").tobytes() for _, x, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, spans, pa.array([t for _, _, t in found], pa.string())], names=["doc_id", "ids", "spans", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, spans binary, decoded string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    """doc_id, n_tokens and the digests of ids and decoded text, and, as a further column, that of the packed spans."""
+    rows = encode_documents(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
