@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, hidden, ship, stage, table
@@ -144,8 +144,8 @@ def forest(nodes: list[int], prints: list[bytes], radius: int) -> list[tuple[int
 
 class Bands:
     """Shard keys of fingerprints. exact: the bits not yet used are cut into radius + 1 parts, of which fingerprints
-    within the radius share one. Otherwise ``count`` bands of ``width`` bits, which nothing divides further: near copies share
-    about one band in three, so each band that they share must let them meet."""
+    within the radius share one. Otherwise ``count`` bands of ``width`` bits, which nothing divides further: a near copy may share one
+    band in five only, so each band that two share must let them meet."""
 
     def __init__(self, bits: int, radius: int, count: int = 0, width: int = 0):
         self.bits, self.radius, self.count, self.width = bits, radius, count, width
@@ -154,15 +154,11 @@ class Bands:
     def below(self, path: tuple[int, ...]) -> list[tuple[int, list[int]]]:
         """(number, bit positions) of the parts that divide what shares the parts of path."""
         if path not in self.cuts:
-            if self.count:
-                parts = [(k, list(range(k * self.width, (k + 1) * self.width))) for k in range(self.count)]
-            else:
-                free = list(range(self.bits))
-                for k in path:
-                    cut = self._cut(free)
-                    free = [p for i, part in enumerate(cut) if i != k for p in part]
-                parts = [(k, part) for k, part in enumerate(self._cut(free)) if part]
-            self.cuts[path] = parts
+            free = list(range(self.bits))
+            for k in path:
+                cut = self._cut(free)
+                free = [p for i, part in enumerate(cut) if i != k for p in part]
+            self.cuts[path] = [(k, part) for k, part in enumerate(self._cut(free)) if part]
         return self.cuts[path]
 
     def _cut(self, free: list[int]) -> list[list[int]]:
@@ -200,6 +196,27 @@ def _keyed(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.select(names).mapInArrow(run, "shard long, path array<int>, node long, key binary, print binary")
 
 
+def shards_of(keys: np.ndarray, bands: Bands) -> np.ndarray:
+    """(n, count) shards of (n, bytes) keys, highest bit first: one for each band."""
+    bits = np.unpackbits(keys, axis=1)[:, ::-1][:, : bands.count * bands.width].reshape(len(keys), bands.count, bands.width)
+    values = bits @ (np.uint64(1) << np.arange(bands.width, dtype=np.uint64))
+    return widen((values + (np.arange(bands.count, dtype=np.uint64) << np.uint64(bands.width))).ravel(), 2)[:, 1].reshape(values.shape).view(np.int64)
+
+
+def _banded(nodes: DataFrame, bands: Bands, columns: list[str]) -> DataFrame:
+    """(shard, columns): each node under the shard of each of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), bands.count))
+                yield pa.RecordBatch.from_arrays([pa.array(shards_of(keys, bands).ravel()), *(c.take(rows) for c in batch.columns[1:])], names=["shard", *columns])
+
+    kinds = dict(nodes.dtypes)
+    return nodes.select("key", *columns).mapInArrow(run, ", ".join(["shard long", *(f"{c} {kinds[c]}" for c in columns)]))
+
+
 def _met(rows: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
     """rows under new shards: one for each two blocks of half ``shard_rows`` rows that a large shard (shard, count) is cut into."""
     blocks = F.ceil(F.col("count") / F.lit(max(1, shard_rows // 2))).cast("long")
@@ -240,20 +257,25 @@ def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_R
 
     spark = nodes.sparkSession
     ship(spark)
-    rows = nodes.select(F.lit(0).cast("long").alias("shard"), F.array().cast("array<int>").alias("path"), "node", "key", "print")
     found = []
-    while True:
-        rows = _keyed(rows, bands)
-        large = stage(rows.groupBy("shard").count().where(F.col("count") > shard_rows))
-        if large.isEmpty():
-            found.append(rows)
-            break
-        rows = stage(rows)
+    if bands.count:
+        sizes = _banded(nodes, bands, []).groupBy("shard").count()
+        large = stage(sizes.where(F.col("count") > shard_rows))
+        rows = _banded(nodes, bands, ["node", "print"])
         found.append(rows.join(large, "shard", "left_anti"))
-        if bands.count:
+        if not large.isEmpty():
             found.append(_met(rows, large, shard_rows))
-            break
-        rows = rows.join(large, "shard", "left_semi")
+    else:
+        rows = nodes.select(F.lit(0).cast("long").alias("shard"), F.array().cast("array<int>").alias("path"), "node", "key", "print")
+        while True:
+            rows = _keyed(rows, bands)
+            large = stage(rows.groupBy("shard").count().where(F.col("count") > shard_rows))
+            if large.isEmpty():
+                found.append(rows)
+                break
+            rows = stage(rows)
+            found.append(rows.join(large, "shard", "left_anti"))
+            rows = rows.join(large, "shard", "left_semi")
     edges = None
     for part in found:
         each = part.select("shard", "node", "print").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long")
@@ -262,8 +284,8 @@ def links(nodes: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_R
 
 
 def labelled(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """prints (doc_id, key, print, staged) and component_id, the smallest doc_id that links reach; null doc_ids count last. Rows of one
-    print are one node; with a column ``same``, those of one ``same``, and equal prints link like any others.
+    """prints (doc_id, key, print, staged), component_id, the smallest doc_id that links reach (null doc_ids count last), and group, a
+    number that tells components apart where doc_ids repeat. Rows of one print are one node; with a column ``same``, those of one ``same``, and equal prints link like any others.
     check(edges, nodes): edges that hold, of pairs that edges join."""
     prints = prints if "same" in prints.columns else prints.withColumn("same", F.col("print"))
     others = [c for c in prints.columns if c not in ("key", "print", "same")]
@@ -273,8 +295,9 @@ def labelled(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHA
     parts = components(check(edges, nodes) if check else edges)
     joined = stage(nodes.join(parts, "node").select("same", "first", "component"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    linked = joined.join(least, "component").select("same", "component_id")
-    names = nodes.select("same", "first").join(linked, "same", "left").select("same", F.coalesce("component_id", "first").alias("component_id"))
+    linked = joined.join(least, "component").select("same", "component_id", "component")
+    names = nodes.select("same", "first", "node").join(linked, "same", "left")
+    names = names.select("same", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "node").alias("group"))
     return prints.join(names, "same").drop("same")
 
 
@@ -430,40 +453,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 #: For deduplication: bits of the print, and of the key in bands. Two sets of Jaccard similarity s have an angle
 #: arccos(2s / (1 + s)) and differ in that share of pi of the bits.
-PRINT_WORDS, KEY_WORDS, BAND_COUNT, BAND_WIDTH = 8, 4, 12, 20
+PRINT_WORDS, KEY_WORDS, BAND_COUNT, BAND_WIDTH = 8, 8, 25, 20
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Bits that differ at this Jaccard similarity, and two standard deviations."""
+    """Bits that differ at this Jaccard similarity, and three standard deviations: one pair in 700 of just this similarity differs in more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one document, that of the smallest doc_id, of each group of near-duplicates.
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, _digest (of the text), component_id and group of every row of docs: the smallest doc_id of its group of near-duplicates, and
+    the group's number.
 
     Texts count as near-duplicates where their sets of five-word shingles have a Jaccard similarity of ``similarity`` at
-    least. Texts of one set are one candidate; others differ in no more bits of a 512-bit SimHash of the distinct shingles than such texts do; shards come from bands
-    of a SimHash of the distinct words, which changes far less between near copies than one of shingles. Spanning
-    forests of the shards join candidates into groups; within a group every pair is decided on the sets themselves, but for such as
-    are known to be joined. Null and blank texts are copies of
-    each other. Rows that repeat doc_id and text count as one document. All columns are kept.
-    """
+    least. Texts of one set are one candidate; others differ in no more bits of a 512-bit SimHash of the distinct shingles than such
+    texts do; shards come from bands of a SimHash of the distinct words, which changes far less between near copies than one of
+    shingles. Spanning forests of the shards join candidates into groups; within a group every pair is decided on the sets
+    themselves, but for such as are known to be joined. Null and blank texts are copies of each other."""
     ship(docs.sparkSession)
     digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("_digest"), "text")
     prints = stage(fingerprints(rows, ["doc_id", "_digest"], shingle, PRINT_WORDS, KEY_WORDS))
     bands = Bands(64 * KEY_WORDS, 0, BAND_COUNT, BAND_WIDTH)
-    named = labelled(prints, bands, radius_of(similarity, 64 * PRINT_WORDS), check=lambda edges, nodes: similar(edges, nodes, rows, shingle, similarity))
-    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_chosen"))
+    return labelled(prints, bands, radius_of(similarity, 64 * PRINT_WORDS), check=lambda edges, nodes: similar(edges, nodes, rows, shingle, similarity))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but one document, that of the smallest doc_id, of each group of near-duplicates as ``near_groups`` finds them.
+
+    Rows that repeat doc_id and text count as one document: the one stays whose columns come first as JSON text. All columns
+    are kept."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "_digest"))
+    chosen = near_groups(docs, shingle, similarity).groupBy("group").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._digest").alias("_chosen"))
     full, names = hidden(docs)
     own, same_text = F.col(names["doc_id"]).cast("long"), F.unhex(F.md5(F.coalesce(F.col(names["text"]), F.lit(""))))
     found = full.join(chosen, own.eqNullSafe(F.col("_id")) & (same_text == F.col("_chosen")), "left_semi")
     twins = docs.groupBy("doc_id").count().where("count > 1")
     if not twins.isEmpty():
-        order = Window.partitionBy(own, same_text).orderBy(F.lit(0))
-        found = found.withColumn("_row", F.row_number().over(order)).where("_row = 1")
+        row = F.struct(*found.columns)
+        found = found.groupBy(own, same_text).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
     return found.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
