@@ -38,9 +38,10 @@ def shape(token: str) -> str:
 class QualityModel:
     def __init__(self, rows: list[tuple[str, int]], seed: int = 7):
         random = np.random.default_rng(seed)
-        documents = [TOKEN.findall(text) for text, _ in rows]
         labels = np.array([y for _, y in rows], np.float32)
-        seen = Counter(t for d in documents for t in set(d))
+        seen: Counter = Counter()
+        for text, _ in rows:  # a document's tokens are held one document at a time, their numbers for all
+            seen.update(set(TOKEN.findall(text)))
         known = sorted((t for t, n in seen.items() if n >= 3), key=lambda t: (-seen[t], t))[:VOCABULARY]
         names = [AGAIN, *known, *sorted({shape(t) for t in seen})]
         self.numbers = {t: i for i, t in enumerate(names)}
@@ -49,7 +50,7 @@ class QualityModel:
         for i in range(len(names)):
             index[i, random.choice(DIMENSIONS, NONZERO, replace=False)] = random.choice([-1.0, 1.0], NONZERO)
         context = np.zeros_like(index)
-        numbered = [self.number(d) for d in documents]
+        numbered = [self.number(TOKEN.findall(text)) for text, _ in rows]
         for ids in numbered:
             for gap in range(1, REACH + 1):
                 np.add.at(context, ids[gap:], index[ids[:-gap]])
@@ -61,15 +62,17 @@ class QualityModel:
         if len(features):
             self.mean, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-3
         self.temperature = 1.0
-        share = float(np.clip(labels.mean() if len(labels) else 0.5, 0.02, 0.98))
+        self.share = float(labels.mean()) if len(labels) else 0.5
+        self.trained = len(set(labels.tolist())) == 2
+        share = float(np.clip(self.share, 0.02, 0.98))
         w = {"w1": random.normal(0, (2 * DIMENSIONS) ** -0.5, (2 * DIMENSIONS, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": random.normal(0, HIDDEN**-0.5, HIDDEN), "b2": np.array([np.log(share / (1 - share))])}
         self.weights = {k: v.astype(np.float32) for k, v in w.items()}
-        if len(set(labels.tolist())) == 2:
+        if self.trained:
             self.fit((features - self.mean) / self.scale, labels, random)
 
     def number(self, tokens: list[str]) -> np.ndarray:
         get, numbers = self.numbers.get, self.numbers
-        ids = np.array([i if (i := get(t)) is not None else numbers.get(shape(t), self.other) for t in tokens], np.int64)
+        ids = np.array([i if (i := get(t)) is not None else numbers.get(shape(t), self.other) for t in tokens], np.int32)
         if len(ids) > 1:
             ids[1:][np.array([a == b for a, b in zip(tokens, tokens[1:], strict=False)])] = numbers[AGAIN]
         return ids
@@ -108,6 +111,8 @@ class QualityModel:
             self.temperature = min(np.geomspace(0.5, 4, 43), key=loss)
 
     def score(self, texts: list[str]) -> np.ndarray:
+        if not self.trained:
+            return np.full(len(texts), self.share)
         x = self.pooled([self.number(TOKEN.findall(t)) for t in texts])
         return sigmoid(self.logits((x - self.mean) / self.scale) / self.temperature)
 
