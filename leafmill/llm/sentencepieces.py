@@ -24,7 +24,7 @@ from .common import ship, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches whose segmentation is kept, per worker; the store is emptied when full.
-KEPT = 400_000
+KEPT = 800_000
 #: Characters of a stretch above which its segmentation isn't kept.
 LONGEST_KEPT = 64
 NO_PAIR = 1 << 40
@@ -149,7 +149,7 @@ class Model:
             raise ValueError("a piece crosses a word boundary")
         self.stretch = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.kept: dict[str, tuple[bytes, str, bytes]] = {}
+        self.kept: dict[str, bytes] = {}
         self.by_rank = np.array(sorted(self.ids.values(), key=lambda i: (-self.scores[i], i)), np.int64)
         rank = {self.pieces[i]: k for k, i in enumerate(self.by_rank.tolist())}
         self.characters = np.full(0x110000, -1, np.int64)
@@ -160,8 +160,9 @@ class Model:
             pairs += [(self.ids[p[:k]] * len(self.pieces) + self.ids[p[k:]], rank[p]) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         pairs.sort()
         self.pairs, self.ranks = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int64)
-        self.packed, self.surfaces = [struct.pack("<i", i) for i in range(len(self.pieces))], [p.replace(SPACE, " ") for p in self.pieces]
-        self.steps = [struct.pack("<2H", n, n) for n in (len(p.encode()) for p in self.pieces)]
+        self.sizes, self.spelled = np.array([len(p.encode()) for p in self.pieces], np.int64), np.full(len(self.pieces), -1, np.int64)
+        self.spelled[list(self.bytes.values())] = list(self.bytes.keys())
+        self.plain = {i: p.replace(SPACE, " ") for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.parts: dict[str, list] = {}
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
@@ -291,26 +292,22 @@ class Model:
         split = [self.stretch.findall(t) for t, _ in normal]
         if len(self.kept) > KEPT:
             self.kept.clear()
-        new = set().union(*split) - self.kept.keys()
+        new = list(set().union(*split) - self.kept.keys()) if self.bytes else []
         if new:
-            self.segment_many(list(new))
+            self.segment_many(new)
         get, out = self.kept.__getitem__, []
         for stretches, (_, source) in zip(split, normal, strict=True):
-            parts = list(map(get, stretches))
-            ids = np.frombuffer(b"".join([p[0] for p in parts]), "<i4")
-            steps = np.frombuffer(b"".join([p[2] for p in parts]), "<u2").reshape(-1, 2).astype(np.int64)
-            begin = np.cumsum(steps[:, 1]) - steps[:, 1]
-            ends = begin + steps[:, 0]
-            text = "".join([p[1] for p in parts])
-            if not self.bytes and len(ids):  # neighbouring unknown characters are one piece
-                other = (ids != self.unknown) | np.append(True, ids[:-1] != self.unknown)
-                last = np.append(np.flatnonzero(other)[1:] - 1, len(ids) - 1)
-                ids, begin, ends = ids[other], begin[other], ends[last]
-                text = self._decode(ids.tolist())
-            spans = np.stack([source[begin], source[ends]], axis=1)
+            if self.bytes:
+                ids = np.frombuffer(b"".join(map(get, stretches)), "<i4")
+                sizes, steps = self.walked(ids)
+            else:
+                ids, sizes = self.with_unknown(stretches)
+                steps = sizes
+            begin = np.cumsum(steps) - steps
+            text = self._decode(ids.tolist())
+            spans = np.stack([source[begin], source[begin + sizes]], axis=1)
             if end:
-                size = source[-1]
-                ids, spans = np.append(ids, np.int32(self.end)), np.append(spans, [[size, size]], axis=0)
+                ids, spans = np.append(ids, np.int32(self.end)), np.append(spans, np.full((1, 2), source[-1]), axis=0)
             if stretches and (self.prefix or self.trims) and stretches[0].startswith(SPACE):
                 text = text[1:]  # the sign put before the text
             out.append((ids, spans, text))
@@ -319,10 +316,31 @@ class Model:
                 del self.kept[stretch]
         return out
 
+    def walked(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece, the normalised bytes that it covers, and those from its begin to the next piece's. The pieces that spell a
+        character in bytes cover all of it, and the last of them leads on."""
+        sizes = self.sizes[ids]
+        at = np.flatnonzero(self.spelled[ids] >= 0)
+        if not len(at):
+            return sizes, sizes
+        steps, value, place = sizes.copy(), self.spelled[ids[at]], np.arange(len(at))
+        first = np.maximum.accumulate(np.where((value & 0xC0) != 0x80, place, 0))
+        wide = np.select([value < 0x80, value < 0xE0, value < 0xF0], [1, 2, 3], 4)[first]
+        sizes[at], steps[at] = wide, np.where(place - first == wide - 1, wide, 0)
+        return sizes, steps
+
+    def with_unknown(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bytes that they cover) of a model without byte pieces: neighbouring unknown characters are one piece."""
+        merged = [x for s in stretches for x in self.merge(s)]
+        ids, sizes = np.array([i for _, i in merged], np.int32), np.array([len(p.encode()) for p, _ in merged], np.int64)
+        if not len(ids):
+            return ids, sizes
+        starts = np.flatnonzero((ids != self.unknown) | np.append(True, ids[:-1] != self.unknown))
+        return ids[starts], np.add.reduceat(sizes, starts)
+
     def segment_many(self, stretches: list[str]) -> None:
-        """Put the stretches' packed ids, decoded text, and packed steps (of each piece: its bytes, and those up to the next piece) into
-        the store. Those of up to 20 known characters are merged in step, a row each: the best pair of every row merges, its
-        neighbours are looked up anew, until no row has a pair."""
+        """Put the stretches' packed ids into the store. Those of up to 20 known characters are merged in step, a row each: the best pair
+        of every row merges, its neighbours are looked up anew, until no row has a pair."""
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         symbols = self.characters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
         starts = np.cumsum(sizes) - sizes
@@ -355,22 +373,12 @@ class Model:
                 k = np.flatnonzero(j)
                 r[k, j[k] - 1] = self.pair_ranks(s[k, j[k] - 1], s[k, j[k]])
                 rows[alive], ranks[alive] = s, r
-            counts = (rows >= 0).sum(axis=1).tolist()
-            numbers, surfaces, steps = self.packed, self.surfaces, self.steps
-            for n, row, count in zip(at.tolist(), rows.tolist(), counts, strict=True):
-                row = row[:count]
-                self.kept[stretches[n]] = b"".join([numbers[x] for x in row]), "".join([surfaces[x] for x in row]), b"".join([steps[x] for x in row])
+            held = rows >= 0  # a row's pieces stand at its left
+            packed, ends = rows[held].astype("<i4").tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
+            for n, x, y in zip(at.tolist(), [0, *ends], ends, strict=False):
+                self.kept[stretches[n]] = packed[x:y]
         for n in np.flatnonzero(~known | (sizes > low)).tolist():
-            merged = self.merge(stretches[n])
-            walked, spelled = [], 0
-            for piece, i in merged:
-                size, step = len(piece.encode()), 0
-                spelled = spelled + 1 if self.kinds[i] == BYTE else size
-                if spelled == size:
-                    step, spelled = size, 0
-                walked.append(struct.pack("<2H", size, step))
-            ids = [i for _, i in merged]
-            self.kept[stretches[n]] = b"".join([self.packed[i] for i in ids]), self._decode(ids), b"".join(walked)
+            self.kept[stretches[n]] = np.array([i for _, i in self.merge(stretches[n])], "<i4").tobytes()
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the piece that two pieces join to, the highest score first; NO_PAIR if they don't, or one is -1."""
@@ -392,6 +400,10 @@ class Model:
         return text[1:] if cut else text
 
     def _decode(self, ids: list[int]) -> str:
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except KeyError:
+            pass  # there are pieces other than normal ones
         out, held = [], bytearray()
         for i in ids:
             kind = self.kinds[i]
