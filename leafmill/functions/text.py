@@ -1,7 +1,7 @@
 """Text rules as column expressions.
 
-Regular expressions are Unicode-aware ((?U)), as white space, digits and word characters of every script count. A
-missing match is null, not an empty string.
+White space, digits and word characters of every script count, so regular expressions are Unicode-aware ((?U)) or name the white space.
+A missing match is null, not an empty string.
 """
 
 from __future__ import annotations
@@ -19,16 +19,20 @@ LEADING_BULLETS = r"(?U)^[\s•·●⚫\-–—]+"
 
 #: Font size thresholds of a block's kind, and whether it must be bold.
 KIND_SIZES = (("title", 40.0, False), ("heading", 30.0, False), ("subheading", 22.0, True), ("label", 20.0, True))
-#: Stage names in a log line, with the progress and the message that they stand for.
+#: White space of every kind, for a character class and one by one.
+WHITE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The scripts whose names a log line shows, with the progress and the message that they stand for. The first counts
+#: wherever it stands, the others as a path's end.
 PROGRESS = (
-    ("render_pages", 5, "Rendering pages"),
-    ("extract_ref", 15, "Extracting reference HTML"),
-    ("build_plan", 25, "Building plan"),
-    ("translate_text", 40, "Translating text"),
-    ("describe_images", 50, "Describing images"),
-    ("layout_notes", 60, "Generating layout notes"),
-    ("generate_html", 75, "Generating HTML"),
-    ("qa_repair", 90, "QA and export"),
+    ("render_pages_png", 5, "render pages_png"),
+    ("extract_ref_html", 15, "extract reference html"),
+    ("build_plan", 25, "build plan.json"),
+    ("translate_text", 40, "translate text"),
+    ("describe_images", 50, "image descriptions"),
+    ("generate_layout_notes", 60, "layout notes"),
+    ("generate_html", 75, "html generation"),
+    ("qa_repair_export", 90, "QA + repair + export"),
 )
 
 #: Weights by the last part of a font's name.
@@ -63,24 +67,30 @@ def present(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end."""
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def normalize(c: Column) -> Column:
-    """Runs of white space, no-break ones included, as one space; none at the ends; null as empty."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x{A0}]+", " "))
+    """Runs of white space, no-break ones included, as one space; none at the ends; null as empty.
+
+    Single spaces, which most texts have only, aren't matched, let alone replaced."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{WHITE}&&[^ ]][{WHITE}]*| [{WHITE}]+", " "))
 
 
 def squeeze(c: Column) -> Column:
     """Without any white space."""
-    return F.regexp_replace(c, r"(?U)\s+", "")
+    return F.regexp_replace(c, f"[{WHITE}]+", "")
+
+
+def says_nothing(normal: Column) -> Column:
+    """Whether a normalised text is empty, or of separators and bullet glyphs only."""
+    return (normal == "") | normal.rlike(NOISE)
 
 
 def is_noise(c: Column) -> Column:
     """Empty, or of separators and bullet glyphs only."""
-    text = normalize(c)
-    return (text == "") | text.rlike(NOISE)
+    return says_nothing(normalize(c))
 
 
 def is_trivial(c: Column) -> Column:
@@ -168,16 +178,26 @@ def declarations(style: Column) -> Column:
 
 
 def without_text_fonts(style: Column) -> Column:
-    """A declaration list without font-family, but for symbol fonts, whose glyphs need their font."""
+    """A declaration list without font-family, but for symbol fonts, whose glyphs need their font: those are spelled anew. The key
+    counts only where the colon follows it at once."""
     parts = F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), ";"), strip), lambda p: p != "")
-    kept = F.filter(parts, lambda p: ~F.lower(p).rlike(r"^font-family\s*:") | F.lower(p).rlike(r"wingdings|zapf|\bsymbol\b"))
-    out = F.array_join(kept, ";")
+    key = "font-family:"
+
+    def family(p: Column) -> Column:
+        return strip(F.substring(p, F.lit(len(key) + 1), F.length(p)))
+
+    def is_family(p: Column) -> Column:
+        return F.startswith(F.lower(p), F.lit(key))
+
+    kept = F.filter(parts, lambda p: ~is_family(p) | F.lower(family(p)).rlike(r"wingdings|zapf|\bsymbol\b"))
+    out = F.array_join(F.transform(kept, lambda p: F.when(is_family(p), F.concat(F.lit(key), family(p))).otherwise(p)), ";")
     return F.when(out == "", F.lit("")).otherwise(F.concat(out, F.lit(";")))
 
 
 def safe_filename(name: Column) -> Column:
-    """Letters, digits, dot, dash and underscore; other runs are one underscore; "file" if nothing is left."""
-    return F.coalesce(present(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")), F.lit("file"))
+    """Letters, digits, dot, plus, dash and underscore; spaces are an underscore each, other runs are one; "file" if nothing is left."""
+    spaced = F.replace(strip(F.coalesce(name, F.lit(""))), F.lit(" "), F.lit("_"))
+    return F.coalesce(present(F.regexp_replace(spaced, r"[^A-Za-z0-9._+-]+", "_")), F.lit("file"))
 
 
 def mime_extension(mime: Column) -> Column:
@@ -246,12 +266,19 @@ def page_between_markers(html: Column) -> Column:
     return present(strip(F.regexp_extract(html, r"(?is)<!--\s*PAGE_START\s*-->(.*?)<!--\s*PAGE_END\s*-->", 1)))
 
 
+#: Fixed value: a white background in a declaration list.
+WHITE_BACKGROUND = r"(?i)\bbackground(?:-color)?\s*:\s*(?:#fff(?:fff)?|rgb\(\s*255\s*,\s*255\s*,\s*255\s*\)|rgba\(\s*255\s*,\s*255\s*,\s*255\s*,\s*1(?:\.0+)?\s*\))\s*;?"
+
+
 def paper_background(block: Column) -> Column:
-    """A literal white background in the first page tag becomes the paper variable; the rest of the block stays."""
-    tag = F.regexp_extract(block, r"(?is)(<[a-z][^>]*\bclass\s*=\s*[\"'][^\"']*\bpage\b[^\"']*[\"'][^>]*>)", 1)
-    new = F.regexp_replace(tag, r"(?i)(background(?:-color)?\s*:\s*)(?:#fff(?:fff)?|white)\b", "$1var(--paper)")
+    """A literal white background in the style of the first page div becomes the paper variable; the rest of the block stays."""
+    tag = F.regexp_extract(block, r"(?is)<div\b[^>]*\bclass\s*=\s*\"[^\"]*\bpage\b[^\"]*\"[^>]*>", 0)
+    style = r"(?is)^(.*?\bstyle\s*=\s*\")([^\"]*)(\".*)$"
+    parts = [F.regexp_extract(tag, style, i) for i in (1, 2, 3)]
+    new = F.concat(parts[0], F.regexp_replace(parts[1], WHITE_BACKGROUND, "background: var(--paper);"), parts[2])
     at = F.instr(block, tag)
-    return F.when((tag == "") | (at == 0), block).otherwise(F.concat(F.substring(block, F.lit(1), at - 1), new, F.substring(block, at + F.length(tag), F.length(block))))
+    changed = F.concat(F.substring(block, F.lit(1), at - 1), new, F.substring(block, at + F.length(tag), F.length(block)))
+    return F.when((tag != "") & tag.rlike(style), changed).otherwise(block)
 
 
 def numbered(number: Column, width: int = 3) -> Column:
@@ -262,8 +289,9 @@ def numbered(number: Column, width: int = 3) -> Column:
 def progress_hint(line: Column) -> Column:
     """struct(progress, message) that a log line stands for, or null."""
     out = F.lit(None).cast("struct<progress: int, message: string>")
-    for name, percent, message in reversed(PROGRESS):
-        out = F.when(F.contains(line, F.lit(name)), F.struct(F.lit(percent).alias("progress"), F.lit(message).alias("message"))).otherwise(out)
+    for i, (name, percent, message) in reversed(list(enumerate(PROGRESS))):
+        shown = F.contains(line, F.lit(f"{name}.py")) if not i else strip(line).rlike(rf"/{name}\.py(?:[{WHITE}]|$)")
+        out = F.when(shown, F.struct(F.lit(percent).alias("progress"), F.lit(message).alias("message"))).otherwise(out)
     return out
 
 
@@ -293,3 +321,18 @@ def decoded_character_references(c: Column) -> Column:
 def safe_relative_path(path: Column) -> Column:
     """Whether a requested path stays below its folder."""
     return ~F.startswith(path, F.lit("/")) & ~F.exists(F.split(path, "/"), lambda p: p == "..")
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ISO 8601 with seconds and the session's offset."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def run_stamp(at: Column) -> Column:
+    """A time as part of a folder's name."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def bearer_token(header: Column) -> Column:
+    """The token of an authorization header, or null."""
+    return present(strip(F.regexp_extract(header, r"(?i)^\s*bearer\s+(.*)$", 1)))

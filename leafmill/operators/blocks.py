@@ -94,10 +94,14 @@ def folded_blocks(lines: DataFrame, keys: list[str], tolerance: float = LEFT_TOL
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("top", "left")]
     line = F.struct(*zero, "ord", F.coalesce("text", F.lit("")).alias("text"), "kind", F.coalesce(F.col("lh").cast("double"), F.lit(0.0)).alias("lh"))
     grouped = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    exploded = grouped.select(*keys, F.posexplode(blocks_of(F.col("lines"), tolerance)).alias("block", "b"))
+    return exploded.select(*keys, F.col("block").cast("long").alias("block"), "b.kind", F.when(F.col("b.kind") != "bullets", F.col("b.text")).alias("text"), "b.items")
+
+
+def blocks_of(lines: Column, tolerance: float) -> Column:
+    """The blocks (kind, text, items) of an array of lines (top, left, ord, text, kind, lh) in order, without empty ones."""
     blocks = F.transform(
-        _fold(F.col("lines"), tolerance),
+        _fold(lines, tolerance),
         lambda b: F.struct(b["kind"].alias("kind"), text.normalize(b["text"]).alias("text"), F.filter(F.transform(b["items"], text.normalize), lambda i: i != "").alias("items")),
     )
-    kept = F.filter(blocks, lambda b: F.when(b["kind"] == "bullets", F.size(b["items"]) > 0).otherwise(b["text"] != ""))
-    exploded = grouped.select(*keys, F.posexplode(kept).alias("block", "b"))
-    return exploded.select(*keys, F.col("block").cast("long").alias("block"), "b.kind", F.when(F.col("b.kind") != "bullets", F.col("b.text")).alias("text"), "b.items")
+    return F.filter(blocks, lambda b: F.when(b["kind"] == "bullets", F.size(b["items"]) > 0).otherwise(b["text"] != ""))

@@ -5,10 +5,14 @@ Every join and window has the page as a key, so pages are the unit of distributi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import geometry
+from leafmill.functions import geometry, text
+from leafmill.sources.shipping import ship
 
 #: Colours of a page's background, fills in a palette, and the largest distance to a match.
 WHITE = ("#ffffff", "#fff")
@@ -33,9 +37,14 @@ def first_of_equal(df: DataFrame, keys: list[Column], order: list[str]) -> DataF
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def distinct_boxes(boxes: DataFrame) -> DataFrame:
-    """Without boxes that repeat another's place, size (to hundredths) and fill on a page; the first stays."""
-    keys = [F.col("page_id"), *(F.round(c, 2) for c in ("x", "y", "w", "h")), F.col("fill")]
+def distinct_boxes(boxes: DataFrame, by_fill: bool = True) -> DataFrame:
+    """Without boxes that repeat another's place and size (to hundredths) on a page; the first stays. by_fill: boxes of another fill or
+    opacity (to thousandths; none is 1) are others, as containers are; images go by place and size."""
+    keys = [F.col("page_id"), *(F.round(c, 2) for c in ("x", "y", "w", "h"))]
+    if by_fill:
+        keys.append(F.col("fill"))
+        if "fill_opacity" in boxes.columns:
+            keys.append(F.round(F.coalesce("fill_opacity", F.lit(1.0)), 3))
     return first_of_equal(boxes, keys, ["ord"])
 
 
@@ -46,24 +55,36 @@ def numbered_boxes(boxes: DataFrame, prefix: str = "c") -> DataFrame:
     return boxes.withColumn("n", n).withColumn("id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(f"_{prefix}"), n.cast("string")))
 
 
+def _best_of_each(left: DataFrame, right: DataFrame, condition: Callable[[DataFrame], Column], value: Column, order: Column) -> DataFrame:
+    """left with ``_best``: the value of the first match in order, null without one. Rows that are alike keep a row each: they're told apart
+    by a number, and as the page clusters them already, grouping by page and number takes no further shuffle."""
+    rows = left.withColumn("_row", F.monotonically_increasing_id())
+    joined = rows.join(right, condition(rows), "left")
+    kept = [F.first(c).alias(c) for c in left.columns if c != "page_id"]
+    return joined.groupBy("page_id", "_row").agg(*kept, F.min_by(value, order).alias("_best")).select(*left.columns, "_best")
+
+
 def smallest_box_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """points (page_id, point_id, left, top) with ``box_id``: the smallest box of the page that holds the point, edges included, the
-    first in order of equal ones; null without one. Points without a place match nothing."""
-    b = boxes.select("page_id", F.col("ord").alias("_ord"), F.col("id").alias("_id"), "x", "y", "w", "h")
-    inside = (points["page_id"] == b["page_id"]) & F.col("left").between(F.col("x"), F.col("x") + F.col("w")) & F.col("top").between(F.col("y"), F.col("y") + F.col("h"))
-    joined = points.join(b, inside, "left").select(points["*"], "_id", F.struct((F.col("w") * F.col("h")).alias("a"), "_ord", "_id").alias("_key"))
-    return joined.groupBy(*points.columns).agg(F.min_by("_id", "_key").alias("box_id"))
+    first in order of equal ones; null without one. Points without a place match nothing; one with a ``container`` keeps that."""
+    b = boxes.select(F.col("page_id").alias("_page"), F.col("ord").alias("_ord"), F.col("id").alias("_id"), "x", "y", "w", "h")
+
+    def inside(rows: DataFrame) -> Column:
+        return (rows["page_id"] == b["_page"]) & rows["left"].between(b["x"], b["x"] + b["w"]) & rows["top"].between(b["y"], b["y"] + b["h"])
+
+    found = _best_of_each(points, b, inside, F.col("_id"), F.struct((F.col("w") * F.col("h")).alias("a"), "_ord", "_id"))
+    box = F.coalesce("container", "_best") if "container" in points.columns else F.col("_best")
+    return found.select(*points.columns, box.alias("box_id"))
 
 
 def nearest_entry(boxes: DataFrame, entries: DataFrame, limit: float = NEAREST_LIMIT) -> DataFrame:
     """boxes (page_id, box_id, x0, y0, x1, y1) with ``xref`` and ``distance``: the entry of the page with the least sum of coordinate
     differences, the first of equals; both null beyond the limit."""
-    e = entries.select(F.col("page_id").alias("_page"), F.col("ord").alias("_ord"), "xref", *(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")))
+    e = entries.select(F.col("page_id").alias("_page"), F.col("ord").alias("_ord"), F.col("xref").alias("_xref"), *(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")))
     distance = sum((F.abs(F.col(c) - F.col(f"e{c}")) for c in ("y0", "x1", "y1")), F.abs(F.col("x0") - F.col("ex0")))
-    joined = boxes.join(e, boxes["page_id"] == e["_page"], "left").withColumn("_d", distance)
-    best = joined.groupBy(*boxes.columns).agg(F.min_by(F.struct("xref", "_d"), F.struct("_d", "_ord")).alias("b"))
-    near = F.col("b._d") <= limit
-    return best.select(*boxes.columns, F.when(near, F.col("b.xref")).alias("xref"), F.when(near, F.col("b._d")).alias("distance"))
+    best = _best_of_each(boxes, e, lambda rows: rows["page_id"] == e["_page"], F.struct("_xref", distance.alias("_d")), F.struct(distance.alias("d"), "_ord"))
+    near = F.col("_best._d") <= limit
+    return best.select(*boxes.columns, F.when(near, F.col("_best._xref")).alias("xref"), F.when(near, F.col("_best._d")).alias("distance"))
 
 
 def palettes(boxes: DataFrame, fills: int = PALETTE_FILLS) -> DataFrame:
@@ -100,13 +121,81 @@ def content_addressed(rows: DataFrame, content: Column, extension: Column, order
     return named.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*order)).alias("first")).select("name", "copies", "first.*")
 
 
-def shadow_like(samples: Column) -> Column:
-    """Whether an image's sampled channel values are nearly one dark value: its largest is 40 at most, and the spread 24."""
-    return (F.array_max(samples) - F.array_min(samples) <= 24) & (F.array_max(samples) <= 40)
+#: Pixels and channels that an image must have to count as a shadow, samples that are looked at, and how far they differ
+#: and how bright they are at most.
+SHADOW_PIXELS, SHADOW_CHANNELS, SHADOW_SAMPLES, SHADOW_SPREAD, SHADOW_BRIGHTEST = 20_000, 3, 2048, 24, 40
+
+
+def channel_samples(pixels: Column, width: Column, height: Column, channels: Column) -> Column:
+    """The red, green and blue values of about 2048 pixels at equal steps, pooled. pixels: binary, ``channels`` bytes a pixel."""
+    total = (width * height).cast("long")
+    step = F.greatest(F.lit(1), F.floor(total / SHADOW_SAMPLES)).cast("long")
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(total - 1, F.lit(0)), step)
+    three = F.array(F.lit(0), F.lit(1), F.lit(2))
+    return F.flatten(F.transform(at, lambda i: F.transform(three, lambda c: F.conv(F.hex(F.substring(pixels, (i * channels + c + 1).cast("int"), F.lit(1))), 16, 10).cast("int"))))
+
+
+def shadow_like(samples: Column, width: Column | None = None, height: Column | None = None, channels: Column | None = None) -> Column:
+    """Whether an image is a shadow's mask: large, of three channels at least, and its sampled channel values nearly one dark value."""
+    like = (F.array_max(samples) - F.array_min(samples) <= SHADOW_SPREAD) & (F.array_max(samples) <= SHADOW_BRIGHTEST)
+    if width is not None:
+        like = like & (width * height >= SHADOW_PIXELS)
+    return F.coalesce(like if channels is None else like & (channels >= SHADOW_CHANNELS), F.lit(False))
+
+
+def image_boxes(blocks: DataFrame, entries: DataFrame, page_area: Column) -> DataFrame:
+    """Image blocks that are images of a page, numbered: page_id, id (p<page>_i<n>), name (<nn>.png), x, y, w, h, xref, has_mask, image, ext.
+
+    blocks: page_id, ord, x0, y0, x1, y1, image (binary), ext; entries: the page's drawn images (page_id, ord, x0, y0, x1, y1, xref,
+    has_mask, and pixels, width, height, channels where they're known). Blocks without bytes go, and such as don't fit; one of each place
+    and size stays; one that is drawn through a mask and looks like a shadow goes."""
+    sized = blocks.withColumn("x", F.col("x0")).withColumn("y", F.col("y0")).withColumn("w", F.greatest(F.lit(0.0), F.col("x1") - F.col("x0"))).withColumn("h", F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")))
+    kept = distinct_boxes(sized.where(F.col("image").isNotNull() & geometry.fits(F.col("w"), F.col("h"), page_area)), by_fill=False)
+    drawn = entries.select("page_id", F.col("xref").alias("_xref"), *(F.col(c).alias(f"_{c}") for c in ("has_mask", "pixels", "width", "height", "channels"))).dropDuplicates(["page_id", "_xref"])
+    found = nearest_entry(kept, entries).drop("distance")
+    found = found.join(drawn.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("xref") == F.col("_xref")), "left")
+    size = [F.col(c) for c in ("_width", "_height", "_channels")]
+    shadow = F.coalesce("_has_mask", F.lit(False)) & shadow_like(channel_samples(F.col("_pixels"), *size), *size)
+    w = Window.partitionBy("page_id").orderBy("ord")
+    n = (F.row_number().over(w) - 1).cast("long")
+    rows = found.where(~F.coalesce(shadow, F.lit(False))).withColumn("_n", n)
+    name = F.concat(F.format_string("%02d", "_n"), F.lit(".png"))
+    return rows.select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("_i"), F.col("_n").cast("string")).alias("id"), name.alias("name"), "x", "y", "w", "h", "xref", F.col("_has_mask").alias("has_mask"), "image", "ext")
+
+
+def decoded_images(images: DataFrame, decoders: Sequence[Callable[[dict], bytes | None]]) -> DataFrame:
+    """images (name, image, ext and others) with ``name`` and ``content``: what the first decoder gives that gives anything. A decoder that
+    fails gives nothing; without any the raw bytes stay, under a name with their own extension."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents = []
+            for row in b.to_dict("records"):
+                found = None
+                for decode in decoders:
+                    try:
+                        found = decode(row)
+                    except Exception:  # the next one may know the format
+                        found = None
+                    if found:
+                        break
+                contents.append(found or None)
+            yield b.assign(_decoded=contents)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields), "_decoded binary"])
+    ship(images.sparkSession)
+    rows = images.mapInPandas(run, schema)
+    raw = F.concat(F.regexp_replace("name", r"\.[^.]*$", "."), text.safe_filename(F.lower(F.coalesce(text.present(F.trim("ext")), F.lit("bin")))))
+    return rows.withColumn("name", F.when(F.col("_decoded").isNull(), raw).otherwise(F.col("name"))).withColumn("content", F.coalesce("_decoded", "image")).drop("_decoded")
 
 
 def narrowest_range(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """points (key, point_id, at) with ``name``: the narrowest range of the key that holds ``at``, the first name of equals."""
     r = ranges.select(F.col(key).alias("_key"), "low", "high", F.col("name").alias("_name"))
-    joined = points.join(r, (points[key] == r["_key"]) & F.col("at").between(F.col("low"), F.col("high")), "left")
-    return joined.groupBy(*points.columns).agg(F.min_by("_name", F.struct(F.col("high") - F.col("low"), F.col("_name"))).alias("name"))
+    rows = points.withColumnRenamed(key, "page_id")
+
+    def holds(left: DataFrame) -> Column:
+        return (left["page_id"] == r["_key"]) & left["at"].between(r["low"], r["high"])
+
+    found = _best_of_each(rows, r, holds, F.col("_name"), F.struct((F.col("high") - F.col("low")).alias("width"), "_name"))
+    return found.withColumnRenamed("page_id", key).select(*points.columns, F.col("_best").alias("name"))

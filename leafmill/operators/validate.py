@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
+from leafmill.sources.shipping import ship
 
 #: Markup that a page must not have, by its warning.
 MARKUP_RULES = (
@@ -52,6 +53,34 @@ def parallel_arrays(zh: Column, en: Column, sources: Column) -> Column:
     return F.when(zh.isNull() | en.isNull() | sources.isNull(), "missing array").when((F.size(zh) != F.size(en)) | (F.size(zh) != F.size(sources)), "unequal lengths")
 
 
+#: The arrays of a translation's answer, and what is said where they aren't there or don't fit together.
+ANSWER_ARRAYS = ("zh_paragraphs", "en_paragraphs", "sources")
+NO_ARRAYS = "output JSON must contain arrays: zh_paragraphs, en_paragraphs, sources"
+UNEQUAL = "length mismatch: zh_paragraphs, en_paragraphs, sources must have same length"
+NO_SOURCE_LISTS, NO_SOURCE_IDS = "sources must be an array of arrays", "sources entries must be strings (text ids)"
+
+
+def answer_problem(answer: Column) -> Column:
+    """What is wrong with a translation's answer (JSON text), or null: three arrays of one length, the last of arrays of strings."""
+    value = F.try_parse_json(answer)
+    parts = [F.try_variant_get(value, f"$.{name}", "array<variant>") for name in ANSWER_ARRAYS]
+    arrays = [F.startswith(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")), F.lit("ARRAY")) for name in ANSWER_ARRAYS]
+    kinds = F.transform(parts[2], lambda v: F.schema_of_variant(v))
+    entries = F.flatten(F.transform(parts[2], lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))))
+    strings = F.forall(entries, lambda v: F.schema_of_variant(v) == "STRING")
+    there = F.coalesce(arrays[0] & arrays[1] & arrays[2], F.lit(False))
+    equal = (F.size(parts[0]) == F.size(parts[1])) & (F.size(parts[0]) == F.size(parts[2]))
+    lists = F.forall(kinds, lambda k: F.startswith(k, F.lit("ARRAY")))
+    return F.when(~there, NO_ARRAYS).when(~equal, UNEQUAL).when(~lists, NO_SOURCE_LISTS).when(~strings, NO_SOURCE_IDS)
+
+
+def checked_answer(answer: Column) -> Column:
+    """struct(zh_paragraphs, en_paragraphs, sources) of a translation's answer; an error where ``answer_problem`` finds one."""
+    problem = answer_problem(answer)
+    parsed = F.from_json(answer, "zh_paragraphs array<string>, en_paragraphs array<string>, sources array<array<string>>")
+    return F.when(problem.isNull(), parsed).otherwise(F.raise_error(problem))
+
+
 def uncovered_references(required: Column, notes: Column) -> Column:
     """The references that the notes don't contain. As plain containment is asked for, image1 is covered by image10."""
     return F.filter(required, lambda r: ~F.contains(notes, r))
@@ -168,20 +197,61 @@ def extra_text(fragments: DataFrame, pools: DataFrame, page: str = "page_id") ->
 
     fragments: page, pos, text; pools: page, pool. Only what nearly every fragment passes is checked in the JVM; the bilingual rule is
     recursive and runs on the few others, in Arrow batches."""
-    pool = F.coalesce("pool", F.lit(""))
-    squeezed = F.lower(text.squeeze(pool))
-    bare = text.normalize(F.col("text"))
-    plain = (bare == "") | text.is_trivial(bare) | F.contains(pool, bare) | F.contains(squeezed, F.lower(text.squeeze(bare)))
-    rest = fragments.join(pools, page).where((text.strip(pool) != "") & ~plain).select(page, "pos", F.col("text"), pool.alias("pool"), squeezed.alias("squeezed"))
+    bad = unallowed(fragments, pools, page)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.normalize(F.col("text")).alias("t")))), lambda s: s["t"])
+    return bad.groupBy(page).agg(F.slice(F.array_distinct(listed), 1, MOST_TEXTS).alias("extra"))
+
+
+def unallowed(fragments: DataFrame, pools: DataFrame, page: str = "page_id") -> DataFrame:
+    """page, pos and text of the fragments that ``allowed_fragment`` doesn't find in their page's allowed text. A pool is squeezed once."""
+    known = pools.select(page, F.coalesce("pool", F.lit("")).alias("pool")).where(text.strip(F.col("pool")) != "").withColumn("squeezed", F.lower(text.squeeze(F.col("pool"))))
+    bare = fragments.withColumn("_t", text.normalize(F.col("text"))).where((F.col("_t") != "") & ~text.is_trivial(F.col("_t")))
+    plain = F.contains("pool", F.col("_t")) | F.contains("squeezed", F.lower(text.squeeze(F.col("_t"))))
+    rest = bare.join(known, page).where(~plain).select(page, "pos", "text", "pool", "squeezed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = [not allowed_fragment(t, p, s) for t, p, s in zip(b["text"], b["pool"], b["squeezed"], strict=True)]
             yield b.loc[keep, [page, "pos", "text"]]
 
-    bad = rest.mapInPandas(run, rest.select(page, "pos", "text").schema)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.normalize(F.col("text")).alias("t")))), lambda s: s["t"])
-    return bad.groupBy(page).agg(F.slice(F.array_distinct(listed), 1, MOST_TEXTS).alias("extra"))
+    ship(rest.sparkSession)
+    return rest.mapInPandas(run, rest.select(page, "pos", "text").schema)
+
+
+#: Bytes of passages that a task looks for at once; more are looked for in further passes.
+PASSAGE_BYTES = 1 << 26
+
+
+def containing(texts: DataFrame, passages: DataFrame, most_bytes: int = PASSAGE_BYTES) -> DataFrame:
+    """(text_id, passage_id) of each text that contains a passage as it is. texts: text_id, text; passages: passage_id, passage.
+
+    Passages are dealt to blocks of about ``most_bytes``; a block is one automaton, sent to every task, which finds all its passages in
+    one walk over a text. Empty passages and null ones are found nowhere."""
+    import ahocorasick
+
+    ship(texts.sparkSession)
+    some = passages.where(F.length("passage") > 0).select("passage_id", "passage")
+    total = some.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    blocks = max(1, -(-total // most_bytes))
+    ids = dict(passages.dtypes)["passage_id"]
+    out = None
+    for block in range(blocks):
+        held: dict[str, list] = {}
+        for r in some.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == block).collect():
+            held.setdefault(r["passage"], []).append(r["passage_id"])
+
+        def run(batches: Iterator[pd.DataFrame], held: dict[str, list] = held) -> Iterator[pd.DataFrame]:
+            automaton = ahocorasick.Automaton()
+            for passage, numbers in held.items():
+                automaton.add_word(passage, numbers)
+            automaton.make_automaton()
+            for b in batches:
+                found = [(i, n) for i, t in zip(b["text_id"], b["text"], strict=True) if t and held for n in sorted({n for _, ns in automaton.iter(t) for n in ns})]
+                yield pd.DataFrame(found, columns=["text_id", "passage_id"])
+
+        part = texts.select("text_id", "text").mapInPandas(run, f"text_id {dict(texts.dtypes)['text_id']}, passage_id {ids}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def overflows(scroll: Column, client: Column) -> Column:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources.shipping import ship
+
 #: Answers that are worth another try.
 RETRY_CODES = (429, 500, 502, 503, 504)
 
@@ -75,6 +77,7 @@ def answers(asked: DataFrame, key: str, function: Callable[[str], str], retries:
             yield pd.DataFrame(rows, columns=[key, "request_hash", "answer", "error"])
 
     kind = dict(asked.dtypes)[key]
+    ship(asked.sparkSession)
     return asked.select(key, "request_hash", "request").repartition(parallel).mapInPandas(run, f"{key} {kind}, request_hash string, answer string, error string")
 
 

@@ -9,38 +9,13 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import geometry, text
 from leafmill.operators import assemble, blocks, boxes, validate
+from leafmill.plans import literal, paging
+from leafmill.plans.derived import BOXES_SQL, LINES_SQL, NORMAL_SQL, PAGE_H, PAGE_W, PLACE_SQL, derived_boxes, derived_lines
 from leafmill.sources import tables
 from leafmill.streaming import jobs
 
-PAGE_W, PAGE_H = 960.0, 540.0
-
-# ---- SQL for the derived inputs
-
-BOXES_SQL = """boxes AS (
-  SELECT l_orderkey AS page_id, l_linenumber AS ord,
-         CAST((min(l_partkey) * 37) % 700 AS DOUBLE) AS x, CAST((min(l_suppkey) * 53) % 400 AS DOUBLE) AS y,
-         12 + max(l_quantity) * 8 AS w, 12 + max(l_discount) * 2400 AS h, min(concat(l_returnflag, l_linestatus)) AS fill
-  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
-
-LINES_SQL = r"""raw AS (
-  SELECT doc_id, unnest(range(1, len(a) + 1)) AS ord, trim(unnest(a)) AS text
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
-), lines AS (
-  SELECT doc_id, CAST(ord AS BIGINT) AS ord, text, CAST(10 + (length(text) % 3) * 2.5 AS DOUBLE) AS lft,
-         CAST(ord * 14 + CASE WHEN ord % 7 = 0 THEN 9 ELSE 0 END AS DOUBLE) AS tp,
-         CAST(CASE WHEN ord % 4 = 0 THEN 0 ELSE 12 END AS DOUBLE) AS lh,
-         CASE WHEN ord = 1 THEN 'title' WHEN length(text) % 11 = 0 THEN 'subheading' ELSE 'body' END AS kind
-  FROM raw WHERE text <> '')"""
-
-NORMAL_SQL = r"trim(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'))"
-
-
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.boxes(tables.table(spark, sf_dir, "lineitem"))
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.lines(tables.table(spark, sf_dir, "documents"))
+    return derived_lines(tables.table(spark, sf_dir, "documents"))
 
 
 # ---- Text
@@ -49,7 +24,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments and characters of each document: lines, normalised, without noise."""
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.select("doc_id", text.normalize(F.col("line")).alias("t"), text.is_noise(F.col("line")).alias("noise")).where("not noise")
+    rows = rows.select("doc_id", text.normalize(F.col("line")).alias("t")).where(~text.says_nothing(F.col("t")))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.length("t")).cast("long").alias("chars"), F.sum(text.has_latin(F.col("t")).cast("long")).alias("latin"))
 
 
@@ -62,7 +37,7 @@ FROM l WHERE t <> '' AND NOT regexp_full_match(t, '[\s\.:。·•●⚫…，,
 
 def page_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages 10 to 49 with the length of their markup and whether they are complete."""
-    rows = tables.table(spark, sf_dir, "pages").where(F.col("page_id").between(10, 49))
+    rows = tables.page_range(tables.table(spark, sf_dir, "pages"), 10, 49, "page_id")
     return rows.select("page_id", "url", F.length("html").cast("long").alias("html_chars"), F.contains(F.lower("html"), F.lit("</html>")).alias("complete"))
 
 
@@ -84,16 +59,10 @@ FROM s GROUP BY 1, 2
 
 # ---- Geometry
 
-PLACE_SQL = """CASE WHEN w / 960 >= 0.95 AND h / 540 >= 0.95 THEN 'full'
-  WHEN w / 960 >= 0.9 AND h / 540 <= 0.35 THEN CASE WHEN (y + h / 2) / 540 < 0.35 THEN 'band_top' WHEN (y + h / 2) / 540 > 0.65 THEN 'band_bottom' ELSE 'band_middle' END
-  ELSE concat(CASE WHEN (y + h / 2) / 540 < 0.38 THEN 'top' WHEN (y + h / 2) / 540 > 0.62 THEN 'bottom' ELSE 'middle' END, '_',
-              CASE WHEN (x + w / 2) / 960 < 0.38 THEN 'left' WHEN (x + w / 2) / 960 > 0.62 THEN 'right' ELSE 'center' END) END"""
-
-
 def placement_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     pw, ph = F.lit(PAGE_W), F.lit(PAGE_H)
     x, y, w, h = (F.col(c) for c in "xywh")
-    return _boxes(spark, sf_dir).select(
+    return derived_boxes(spark, sf_dir).select(
         "page_id", "ord", geometry.placement(x, y, w, h, pw, ph).alias("placement"), geometry.size_bucket(w, h, pw, ph).alias("size"), F.round(geometry.area_ratio(w, h, pw, ph), 6).alias("area_ratio"), geometry.display_size(w).alias("display_w")
     )
 
@@ -109,7 +78,7 @@ FROM boxes
 
 def box_filter_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers: fitting boxes, one of each place, size and fill, numbered by area."""
-    fitting = _boxes(spark, sf_dir).where(geometry.fits(F.col("w"), F.col("h"), F.lit(PAGE_W * PAGE_H)))
+    fitting = derived_boxes(spark, sf_dir).where(geometry.fits(F.col("w"), F.col("h"), F.lit(PAGE_W * PAGE_H)))
     return boxes.numbered_boxes(boxes.distinct_boxes(fitting)).select("page_id", "ord", "n", "id")
 
 
@@ -123,7 +92,7 @@ FROM d WINDOW p AS (PARTITION BY page_id ORDER BY w * h, x, y, fill, ord)
 
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each box's corner, the smallest other box of the page that holds it."""
-    all_boxes = _boxes(spark, sf_dir)
+    all_boxes = derived_boxes(spark, sf_dir)
     points = all_boxes.select("page_id", F.col("ord").alias("point_id"), F.col("x").alias("left"), F.col("y").alias("top"))
     other = all_boxes.withColumn("id", F.col("ord"))
     # A box holds its own corner, so the point stands a little up and left of it.
@@ -140,7 +109,7 @@ GROUP BY p.page_id, p.ord
 
 def nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each box, moved by up to a point and a half, the nearest box of its page within two points."""
-    base = _boxes(spark, sf_dir).select("page_id", "ord", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    base = derived_boxes(spark, sf_dir).select("page_id", "ord", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
     moved = base.select("page_id", F.col("ord").alias("box_id"), (F.col("x0") + F.col("ord") * 0.5).alias("x0"), "y0", "x1", "y1")
     found = boxes.nearest_entry(moved, base.withColumn("xref", F.col("ord")))
     return found.select("page_id", "box_id", "xref", F.round("distance", 4).alias("distance"))
@@ -155,7 +124,7 @@ SELECT page_id, box_id, CASE WHEN s.d <= 2.0 THEN s.x END AS xref, CASE WHEN s.d
 
 
 def palette_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes.palettes(_boxes(spark, sf_dir))
+    found = boxes.palettes(derived_boxes(spark, sf_dir))
     return found.select("page_id", "primary", F.array_join("fills", ",").alias("fills"))
 
 
@@ -330,7 +299,7 @@ FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id
 
 
 def featured_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxes(spark, sf_dir).withColumn("name", F.concat(F.lit("image"), F.col("ord").cast("string")))
+    rows = derived_boxes(spark, sf_dir).withColumn("name", F.concat(F.lit("image"), F.col("ord").cast("string")))
     return assemble.featured(rows)
 
 
@@ -342,7 +311,7 @@ WITH {BOXES_SQL} SELECT page_id, arg_max(concat('image', ord), struct_pack(a :=
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and image load of each document, its page number's boxes as images."""
     docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("").alias("zh"), F.col("text").alias("en"))
-    area = _boxes(spark, sf_dir).groupBy("page_id").agg(F.sum(F.col("w") * F.col("h")).alias("image_area"))
+    area = derived_boxes(spark, sf_dir).groupBy("page_id").agg(F.sum(F.col("w") * F.col("h")).alias("image_area"))
     rows = assemble.text_statistics(docs).join(area, "page_id", "left").withColumn("page_area", F.lit(PAGE_W * PAGE_H))
     out = assemble.page_load(rows)
     return out.select("page_id", "en_chars", "paragraphs", "image_ratio", "text_ratio", F.round("effective_lines", 1).alias("lines"), "long_text")
@@ -427,6 +396,15 @@ def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~text.is_noise(F.col("text"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
+#: Texts between tags outside scripts, styles and comments; the four references that the pages have.
+VISIBLE_SQL = r"""
+WITH c AS (SELECT page_id, regexp_replace(html, '<!--.*?(-->|$)|<script\b.*?(</script\s*>|$)|<style\b.*?(</style\s*>|$)|<noscript\b.*?(</noscript\s*>|$)', '<x>', 'gis') AS h FROM pages),
+s AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*(>|$)')) AS t FROM c),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS t FROM s)
+SELECT page_id, count(*) AS fragments, CAST(sum(length(t)) AS BIGINT) AS chars FROM d WHERE t <> '' AND NOT regexp_full_match(t, '[\s\.:。·•●⚫…，,、;；!！?？\-—_]+') GROUP BY page_id
+"""
+
+
 def style_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link targets of pages, in place of styles, numbered by first occurrence."""
     found = tables.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("pos", "style"))
@@ -450,24 +428,14 @@ CONTENT_SQL = "SELECT concat(substr(sha1(text), 1, 16), '.txt') AS name, count(*
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id): documents that contain a benchmark item's text. Candidates share the item's second to fifth word, found by an
-    equi-join on them, so that no document meets every item; the first and last word may touch other text. An item of fewer than
-    six words goes by its first word, which must stand by itself."""
-    items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
-    items = items.withColumn("_k", F.when(F.size("w") >= 6, F.array_join(F.slice("w", 2, 4), " ")).otherwise(F.col("w")[0])).drop("w")
-
-    def shifted(a: str, by: int):
-        return F.zip_with(F.col(a), F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-
-    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
-    grams = docs.select("doc_id", F.split("text", r"\s+").alias("w")).withColumn("two", shifted("w", 1)).withColumn("four", shifted("two", 2))
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.concat(F.array_compact("four"), "w"))).alias("_k"))
-    found = grams.join(items.select("_k", "item_id"), "_k").select("doc_id", "item_id").distinct()
-    return found.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): documents that contain a benchmark item's text."""
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    items = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    return validate.containing(docs, items).select(F.col("text_id").alias("doc_id"), F.col("passage_id").alias("item_id"))
 
 
 def verbatim_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passages(spark, sf_dir)
+    return _passages(spark, sf_dir).distinct()
 
 
 VERBATIM_SEMI_SQL = "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
@@ -508,21 +476,28 @@ FROM s
 
 def log_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs' states from their log lines: a user is a job, an event a line."""
-    return jobs.final_states(jobs.event_lines(tables.table(spark, sf_dir, "events")))
+    return jobs.final_states(jobs.event_lines(tables.table(spark, sf_dir, "events"))).drop("run_dir")
 
 
+#: A line is a hint, names a result or ends a job; the last exit decides, and without a result a good one is an error.
 LOG_SQL = """
-WITH l AS (SELECT user_id AS job_id, event_id AS seq, event_type,
-  CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 25 WHEN 'signup' THEN 50 WHEN 'purchase' THEN NULL ELSE NULL END AS hint,
-  CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done' END AS ended FROM events),
-s AS (SELECT job_id, max(seq) AS last_seq, count(*) AS lines, max(hint) AS hint, arg_max(ended, seq) FILTER (WHERE ended IS NOT NULL) AS ended FROM l GROUP BY job_id)
-SELECT job_id, coalesce(ended, 'running') AS status, CAST(CASE WHEN ended = 'done' THEN 100 ELSE greatest(1, coalesce(hint, 1)) END AS BIGINT) AS progress, lines, last_seq FROM s
+WITH l AS (SELECT user_id AS job_id, event_id AS seq,
+  CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 25 WHEN 'signup' THEN 50 END AS hint,
+  CASE event_type WHEN 'view' THEN 'render pages_png' WHEN 'click' THEN 'build plan.json' WHEN 'signup' THEN 'image descriptions' END AS message,
+  CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'purchase' AND event_id % 3 > 0 THEN 0 END AS code,
+  CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN concat('/out/', event_id, '.pdf') END AS result FROM events),
+s AS (SELECT job_id, max(seq) AS last_seq, count(*) AS lines, max(hint) AS hint, arg_max(message, seq) FILTER (WHERE message IS NOT NULL) AS message,
+        arg_max(code, seq) FILTER (WHERE code IS NOT NULL) AS code, arg_max(result, seq) FILTER (WHERE result IS NOT NULL) AS result FROM l GROUP BY job_id)
+SELECT job_id, CASE WHEN code IS NULL THEN 'running' WHEN code = 0 AND result IS NOT NULL THEN 'done' ELSE 'error' END AS status,
+  CAST(CASE WHEN code = 0 AND result IS NULL THEN 99 WHEN code = 0 THEN 100 ELSE greatest(1, coalesce(hint, 1)) END AS BIGINT) AS progress,
+  CASE WHEN code = 0 AND result IS NULL THEN 'finished but missing out_repaired.pdf' WHEN code = 0 THEN 'done' WHEN code = 1 THEN 'error' ELSE coalesce(message, 'running') END AS message,
+  result AS result_path, lines, last_seq FROM s
 """
 
 
 def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of pages whose boxes are measured elements: a box must keep within 300 by 200."""
-    rows = _boxes(spark, sf_dir)
+    rows = derived_boxes(spark, sf_dir)
     ref = F.concat(F.lit("e"), F.col("ord").cast("string"))
     measured = rows.select(F.col("page_id").alias("page"), F.lit("element").alias("kind"), F.lit("div").alias("tag"), ref.alias("ref"), F.col("w").cast("long").alias("scroll_w"), F.lit(300).cast("long").alias("client_w"), F.round("h").cast("long").alias("scroll_h"), F.lit(200).cast("long").alias("client_h"), F.col("fill").alias("text"))
     none = spark.createDataFrame([], "page long, extra array<string>")
@@ -546,7 +521,8 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TAIL_SQL = """
 SELECT user_id AS job_id, event_id AS seq,
-  CASE event_type WHEN 'view' THEN 'run render_pages' WHEN 'click' THEN 'run build_plan' WHEN 'signup' THEN 'run describe_images' WHEN 'purchase' THEN 'exit: 0' ELSE 'exit: 1' END AS line
+  CASE event_type WHEN 'view' THEN 'run render_pages_png.py' WHEN 'click' THEN '$ python /srv/build_plan.py --out x' WHEN 'signup' THEN '$ python /srv/describe_images.py'
+    WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN concat('pdf: /out/', event_id, '.pdf') ELSE 'exit: 0' END ELSE 'exit: 1' END AS line
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3
 """
 
@@ -622,11 +598,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         style_dictionary, content_hash_dedupe, verbatim_semi, verbatim_anti, reference_coverage, log_state_machine, qa_report, tail_lines, assembled_pages,
         page_warnings, condensed_notes, external_images, font_faces,
     )
-    return {f.__name__: f for f in listed}
+    return {f.__name__: f for f in listed} | paging.queries() | literal.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return paging.oracle_sql() | literal.oracle_sql() | {
         "norm_lines": NORM_LINES_SQL,
         "page_range_scan": PAGE_RANGE_SQL,
         "block_class": BLOCK_CLASS_SQL,
@@ -648,6 +624,7 @@ def oracle_sql() -> dict[str, str]:
         "priority_coalesce": PRIORITY_SQL,
         "interval_containment": INTERVAL_SQL,
         "html_rule_battery": HTML_RULES_SQL,
+        "html_visible_text": VISIBLE_SQL,
         "style_dictionary": STYLE_SQL,
         "content_hash_dedupe": CONTENT_SQL,
         "verbatim_semi": VERBATIM_SEMI_SQL,

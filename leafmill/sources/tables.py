@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.functions.geometry import DEFAULT_PAGE
+from leafmill.sources.shipping import ship
 
 #: Fixed value: an attribute that holds an image; and the folder that such images are written to.
 DATA_IMAGE = r"(?i)\b(src|href)=([\"'])data:image/([^;]+);base64,([A-Za-z0-9+/=\s]++)\2"
@@ -46,6 +47,7 @@ def rendered_pages(files: DataFrame, render: Callable[[bytes], list[tuple]], sch
             yield pd.DataFrame(rows, columns=names)
 
     names = ["path", *(f.split()[0] for f in schema.split(", "))]
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
@@ -112,6 +114,7 @@ def visible_text(pages: DataFrame, key: str, html: str, within: str | None = Non
             yield pd.DataFrame(rows, columns=[key, "pos", "text"])
 
     kind = dict(pages.dtypes)[key]
+    ship(pages.sparkSession)
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos long, text string")
 
 
@@ -136,6 +139,7 @@ def page_divs(documents: DataFrame, key: str, html: str, *others: str) -> DataFr
             yield pd.DataFrame(rows, columns=[key, "page", "div", *others])
 
     kind = dict(documents.dtypes)[key]
+    ship(documents.sparkSession)
     return documents.select(key, html, *others).mapInPandas(run, ", ".join([f"{key} {kind}, page long, div string", *(f"{c} string" for c in others)]))
 
 
@@ -207,16 +211,34 @@ def external_images(documents: DataFrame, key: str, html: str) -> tuple[DataFram
     return linked, images.where("name is not null").dropDuplicates(["name"])
 
 
-def page_range(pages: DataFrame, first: int, last: int = 0, number: str = "page") -> DataFrame:
-    """Pages from first to last, counted from 1; a last that isn't positive means the end. Pages beyond the end aren't missed."""
-    if first < 1 or 0 < last < first:
-        raise ValueError(f"no pages from {first} to {last}")
+def page_range(pages: DataFrame, first: int, last: int = 0, number: str = "page", total: int | None = None) -> DataFrame:
+    """Pages from first to last, counted from 1; a last that isn't positive means the end. Pages beyond the end aren't missed, unless the
+    document's total is given: then a range that isn't within it is an error."""
+    if first < 1 or 0 < last < first or (total is not None and max(first, last) > total):
+        raise ValueError(f"no pages from {first} to {last}" + (f" of {total}" if total is not None else ""))
     return pages.where(F.col(number) >= first) if last <= 0 else pages.where(F.col(number).between(first, last))
 
 
+#: What is answered for a file that isn't taken.
+WRONG_SUFFIX, TOO_LARGE = 400, 413
+
+
+def upload_status(path: Column, length: Column, suffix: str = ".pdf", most_mb: int = 50) -> Column:
+    """Null for a file that may be processed, by its suffix in any case and its size; else the status of its rejection."""
+    return F.when(~F.endswith(F.lower(path), F.lit(suffix)), WRONG_SUFFIX).when(length > most_mb * 1024 * 1024, TOO_LARGE)
+
+
 def uploads(files: DataFrame, suffix: str = ".pdf", most_mb: int = 50) -> DataFrame:
-    """Files (path, length) of spark.read.format("binaryFile") that may be processed, by their suffix in any case and their size."""
-    return files.where(F.endswith(F.lower("path"), F.lit(suffix)) & (F.col("length") <= most_mb * 1024 * 1024))
+    """Files (path, length) of spark.read.format("binaryFile") that may be processed."""
+    return files.where(upload_status(F.col("path"), F.col("length"), suffix, most_mb).isNull())
+
+
+def setting(spark: SparkSession, name: str, default):
+    """A setting of the session under ``spark.leafmill.``, of the default's type, or the default."""
+    value = spark.conf.get(f"spark.leafmill.{name}", None)
+    if value is None or not value.strip():
+        return default
+    return value.strip().lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(value)
 
 
 def image_texts(images: DataFrame, described: DataFrame) -> DataFrame:
@@ -254,11 +276,23 @@ def page_markup(answers: DataFrame, key: str, raw: str) -> DataFrame:
             yield pd.DataFrame({key: b[key], "block": [best(x) for x in b[raw]]})
 
     kind = dict(answers.dtypes)[key]
+    ship(answers.sparkSession)
     return answers.select(key, raw).mapInPandas(run, f"{key} {kind}, block string")
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """One JSON object a row; text isn't escaped beyond what JSON asks for, and null fields are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def indented_json(record: Column) -> Column:
+    """A record as JSON text over several lines."""
+    return F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def write_report(reports: DataFrame, path: str) -> None:
+    """Reports of pages as JSON, in the order of their pages within each file."""
+    write_json(reports.repartitionByRange("page").sortWithinPartitions("page"), path)
 
 
 def write_pages(df: DataFrame, path: str, page: str = "page") -> None:

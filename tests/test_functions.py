@@ -51,7 +51,7 @@ def test_styles(spark):
 
 def test_names(spark):
     rows = [("a b/c.png",), ("***",), (None,)]
-    assert values(spark, rows, "s string", text.safe_filename(F.col("s"))) == ["a_b_c.png", "file", "file"]
+    assert values(spark, rows, "s string", text.safe_filename(F.col("s"))) == ["a_b_c.png", "_", "file"]
     rows = [("image/JPEG ",), ("image/svg+xml",), (None,)]
     assert values(spark, rows, "s string", text.mime_extension(F.col("s"))) == [".jpg", ".svg", ".bin"]
     assert values(spark, [(7,), (1234,)], "n int", text.numbered(F.col("n"))) == ["007", "1234"]
@@ -67,7 +67,7 @@ def test_answers(spark):
     rows = [("<!-- PAGE_START --><div>x</div><!--PAGE_END--> <!--PAGE_END-->",), ("none",)]
     assert values(spark, rows, "s string", text.page_between_markers(F.col("s"))) == ["<div>x</div>", None]
     rows = [('<div class="page" style="background: #FFFFFF"><p style="background:white">$1\\</p></div>',), ("<p>",)]
-    assert values(spark, rows, "s string", text.paper_background(F.col("s"))) == ['<div class="page" style="background: var(--paper)"><p style="background:white">$1\\</p></div>', "<p>"]
+    assert values(spark, rows, "s string", text.paper_background(F.col("s"))) == ['<div class="page" style="background: var(--paper);"><p style="background:white">$1\\</p></div>', "<p>"]
 
 
 def test_character_references(spark):
@@ -76,7 +76,7 @@ def test_character_references(spark):
 
 
 def test_log_lines(spark):
-    rows = [("run build_plan now",), ("hello",), ("exit: 0",), ("run_dir: /a: b",)]
+    rows = [("run /x/build_plan.py now",), ("hello",), ("exit: 0",), ("run_dir: /a: b",)]
     got = values(spark, rows, "s string", text.progress_hint(F.col("s")), text.keyed_value(F.col("s"), "run_dir"))
     assert [(h.progress if h else None, v) for h, v in got] == [(25, None), (None, None), (None, None), (None, "/a: b")]
 
@@ -134,3 +134,9 @@ def test_condensed_notes(spark):
     assert got[2].split("\n") == [f"- line {i}" for i in range(60)]
     assert got[3].split("\n") == ["Layout contract", *(f"- {i}" for i in range(59))]
     assert got[4:] == ["", ""]
+
+
+def test_times(spark):
+    rows = [("2024-03-05 06:07:08",)]
+    at = F.col("s").cast("timestamp")
+    assert spark.createDataFrame(rows, "s string").select(text.iso_time(at), text.run_stamp(at)).first()[:] == ("2024-03-05T06:07:08Z", "20240305_060708")

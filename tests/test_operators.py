@@ -7,9 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leafmill.operators import assemble, blocks, boxes, validate
+from leafmill.operators import assemble, blocks, boxes, plan, validate
 from leafmill.plans import external, prompts
-from leafmill.sources import tables
+from leafmill.sources import markup, tables
 from leafmill.streaming import jobs
 
 # ---- Boxes
@@ -33,6 +33,72 @@ def test_boxes_are_deduplicated_and_numbered(spark):
     assert got == {(1, 3): "p1_c0", (1, 2): "p1_c1", (1, 0): "p1_c2", (2, 0): "p2_c0"}
 
 
+def test_opacity_tells_containers_apart(spark):
+    rows = [(1, i, 0.0, 0.0, 10.0, 10.0, "a", o) for i, o in enumerate([0.5, 1.0, None, 0.5004, 0.5])]
+    df = spark.createDataFrame(rows, "page_id long, ord int, x double, y double, w double, h double, fill string, fill_opacity double")
+    assert sorted(r.ord for r in boxes.distinct_boxes(df).collect()) == [0, 1] and [r.ord for r in boxes.distinct_boxes(df, by_fill=False).collect()] == [0]
+
+
+def test_points_that_are_alike_keep_a_row_each(spark):
+    b = spark.createDataFrame([(1, 0, "A", 0.0, 0.0, 10.0, 10.0)], "page_id long, ord int, id string, x double, y double, w double, h double")
+    p = spark.createDataFrame([(1, 0, 1.0, 1.0, None)] * 3 + [(1, 0, 1.0, 1.0, "Z"), (1, 0, 99.0, 1.0, None)], "page_id long, point_id int, left double, top double, container string")
+    assert sorted(str(r.box_id) for r in boxes.smallest_box_at(p, b).collect()) == ["A", "A", "A", "None", "Z"]
+    e = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, 1.0, 1.0)], "page_id long, ord int, xref int, x0 double, y0 double, x1 double, y1 double")
+    assert boxes.nearest_entry(e.select("page_id", F.col("ord").alias("box_id"), "x0", "y0", "x1", "y1").unionByName(e.select("page_id", F.col("ord").alias("box_id"), "x0", "y0", "x1", "y1")), e).count() == 2
+
+
+PLAN = """<div class="page" id="page0"><div class="container-layer"><div class="container" id="c0" data-x="0" data-y="9" data-w="9" data-h="9" data-fill=" #a "></div>
+<div class="container"></div><div class="container" id="c1" data-x="bad" data-y="1" data-w="5" data-h="5"></div></div>
+<div class="container" id="outside"></div><p style="top:10pt;left:5pt" data-container="c0"><span class="x ts1"><b>Bold</b> line</span>
+<p style="top:5pt" data-container="c1">• first</p><p style="top:6pt;left:9pt" data-container="c1"><span>  </span><span> ● </span>second</p><p data-container="none">floats &amp; so</p><p>。。</p></div>"""
+
+
+def test_planned_pages(spark):
+    css = ".ts1{font-size:24pt;color: #1 ;} .ts1{font-size:23pt;}"
+    image = '<div class="image-layer"><div class="image" id="i0" data-w="10" data-h="1"></div></div>'
+    df = spark.createDataFrame([(1, PLAN, css), (2, None, None), (3, "<p>no page", css)], "k long, h string, c string")
+    page = plan.planned_pages(df, "k", "h", "c").first()
+    assert plan.planned_pages(df, "k", "h", "c").count() == 1 and page.palette.primary == "#a" and page.images == [] and page.layout_notes == ""
+    assert [(g.group_id, [(b.kind, b.text, b["items"]) for b in g.blocks]) for g in page.groups] == [("c1", [("bullets", None, ["first", "second"])]), ("c0", [("subheading", "Bold line", None)])]
+    assert [(g.group_id, g.blocks[0].text) for g in page.floating_groups] == [("floating:top_left", "floats & so")]
+    bad = spark.createDataFrame([(1, PLAN.replace("</div>", "</div>" + image, 1).replace('<div class="container-layer">', image + '<div class="container-layer">', 1), css)], "k long, h string, c string")
+    assert plan.planned_pages(bad, "k", "h", "c", sourceless="skip").first().images == []
+    with pytest.raises(Exception, match="i0"):
+        plan.planned_pages(bad, "k", "h", "c").collect()
+    assert plan.described_pages(plan.planned_pages(df, "k", "h", "c")).count() == 0
+
+
+def test_page_records_of_odd_pages(spark):
+    odd = "<div class=page><p>a<div class=page id=x><p>b <b>c<p>d</b></span><!-- e --></div></div></div><p>f" + "<div class='page'>" * 3
+    got = markup.page_records(spark.createDataFrame([(1, odd)], "k long, h string"), "k", "h").collect()
+    assert [[["".join(r.text for r in x.runs).strip(), any(r.bold for r in x.runs)] for x in p.lines] for p in got] == [[["a", False]], [["b c", True], ["d", False]], [], [], []]
+
+
+def test_checked_answers(spark):
+    good = '{"zh_paragraphs": ["a"], "en_paragraphs": ["b"], "sources": [["t1"]]}'
+    df = spark.createDataFrame([(good,), (good.replace('["b"]', "[]"),)], "a string")
+    assert [r[0] for r in df.select(validate.answer_problem(F.col("a"))).collect()] == [None, validate.UNEQUAL]
+    assert spark.createDataFrame([(good,)], "a string").select(validate.checked_answer(F.col("a")).alias("x")).first().x.sources == [["t1"]]
+    with pytest.raises(Exception, match="length mismatch"):
+        df.select(validate.checked_answer(F.col("a")).alias("x")).collect()
+
+
+def test_containing_in_blocks(spark):
+    texts = spark.createDataFrame([(1, "the cat sat"), (2, None), (3, ""), (1, "a b"), (4, "catcat")], "text_id long, text string")
+    passages = spark.createDataFrame([(1, "cat"), (2, "at s"), (3, ""), (4, None), (5, "a"), (6, "cat")], "passage_id long, passage string")
+    want = sorted([(1, 1), (1, 2), (1, 5), (1, 6), (1, 5), (4, 1), (4, 5), (4, 6)])
+    for most in (1 << 20, 4):
+        assert sorted(map(tuple, validate.containing(texts, passages, most).collect())) == want
+    assert validate.containing(texts, passages.limit(0)).count() == 0
+
+
+def test_shadows(spark):
+    rows = [(bytes([20, 30, 40] * 20000), 200, 100, 3), (bytes([10, 30, 40] * 20000), 200, 100, 3), (bytes([20, 30, 40] * 100), 10, 10, 3), (None, 200, 100, 3), (bytes([20, 30, 41] * 20000), 200, 100, 3)]
+    df = spark.createDataFrame(rows, "p binary, w int, h int, n int")
+    size = [F.col(c) for c in "whn"]
+    assert [r[0] for r in df.select(boxes.shadow_like(boxes.channel_samples(F.col("p"), *size), *size)).collect()] == [True, False, False, False, False]
+
+
 def test_smallest_box(spark):
     b = spark.createDataFrame([(1, 0, "A", 0.0, 0.0, 10.0, 10.0), (1, 1, "B", 0.0, 0.0, 10.0, 10.0), (1, 2, "C", 5.0, 5.0, 2.0, 2.0), (2, 0, "D", 0.0, 0.0, 99.0, 99.0)], "page_id long, ord int, id string, x double, y double, w double, h double")
     p = spark.createDataFrame([(1, 0, 10.0, 10.0), (1, 1, 5.0, 7.0), (1, 2, 10.1, 1.0), (1, 3, None, 1.0), (1, 4, 0.0, 0.0)], "page_id long, point_id int, left double, top double")
@@ -274,25 +340,67 @@ def test_shrink_scale():
 
 # ---- Jobs
 
-LINES = [(1, 1, "run render_pages"), (1, 2, "run describe_images"), (1, 3, "run build_plan"), (2, 1, "hello"), (3, 1, "run generate_html"), (3, 2, "exit: 0"), (4, 1, "run qa_repair"), (4, 2, "exit: 3")]
-STATES = {1: ("running", 50, 3, 3), 2: ("running", 1, 1, 1), 3: ("done", 100, 2, 2), 4: ("error", 90, 2, 2)}
+LINES = [(1, 1, "run render_pages_png.py"), (1, 2, "$ python /x/describe_images.py"), (1, 3, "$ python /x/build_plan.py"), (2, 1, "hello"), (3, 1, "pdf: /out/a.pdf"), (3, 2, "exit: 0"), (4, 1, "$ python /x/qa_repair_export.py"), (4, 2, "exit: 3"), (5, 1, "run_dir: /r"), (5, 2, "exit: 0")]
+STATES = {
+    1: ("running", 50, "build plan.json", None, None, 3, 3),
+    2: ("running", 1, "running", None, None, 1, 1),
+    3: ("done", 100, "done", None, "/out/a.pdf", 2, 2),
+    4: ("error", 90, "error", None, None, 2, 2),
+    5: ("error", 99, "finished but missing out_repaired.pdf", "/r", None, 2, 2),
+}
 
 
 def test_final_states(spark):
     df = spark.createDataFrame(LINES, "job_id long, seq long, line string")
-    assert {r.job_id: (r.status, r.progress, r.lines, r.last_seq) for r in jobs.final_states(df).collect()} == STATES
+    assert {r.job_id: r[1:] for r in jobs.final_states(df).collect()} == STATES
+    every = {r.job_id: r[1:] for r in jobs.final_states(df, spark.range(1, 8).withColumnRenamed("id", "job_id")).collect()}
+    assert every == {**STATES, 6: ("queued", 0, "queued", None, None, 0, None), 7: ("queued", 0, "queued", None, None, 0, None)}
     assert [r.seq for r in jobs.tail(df, 2).where("job_id = 1").orderBy("seq").collect()] == [2, 3] and jobs.tail(df, 0).count() == len(LINES)
 
 
 def test_stream_ends_in_the_batch_states(spark, tmp_path):
     source, out = tmp_path / "in", []
-    for i, part in enumerate((LINES[:2], LINES[3:6], [LINES[2], *LINES[6:]])):
+    for i, part in enumerate((LINES[:2], [LINES[3], LINES[5]], [LINES[2], LINES[4], *LINES[6:]])):
         spark.createDataFrame(part, "job_id long, seq long, line string").coalesce(1).write.json(str(source / f"b{i}"))
     lines = spark.readStream.schema("job_id long, seq long, line string").option("maxFilesPerTrigger", 1).json(str(source / "*"))
     query = jobs.state_stream(lines).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend((n, r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    last = {r.job_id: (r.status, r.progress, r.lines, r.last_seq) for _, r in sorted(out, key=lambda x: x[0])}
-    assert last == STATES
+    assert {r.job_id: r[1:] for _, r in sorted(out, key=lambda x: x[0])} == STATES
+
+
+def test_logs_and_states_are_kept(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for part in (LINES[:3], LINES[3:]):
+        jobs.append_rows(spark.createDataFrame(part, "job_id long, seq long, line string"), log)
+    assert spark.read.parquet(log).count() == len(LINES)
+    spark.createDataFrame(LINES, "job_id long, seq long, line string").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = jobs.line_stream(spark, str(tmp_path / "in"))
+    query = jobs.keep_states(jobs.state_stream(stream), str(tmp_path / "states"), str(tmp_path / "c"))
+    query.processAllAvailable()
+    query.stop()
+    held = jobs.upsert_latest(spark.read.parquet(str(tmp_path / "states")), ["job_id"], "batch")
+    assert {r.job_id: (r.status, r.progress) for r in held.collect()} == {k: v[:2] for k, v in STATES.items()}
+
+
+def test_settings_and_records(spark, tmp_path):
+    spark.conf.set("spark.leafmill.parallel", "5")
+    assert tables.setting(spark, "parallel", 3) == 5 and tables.setting(spark, "other", 2.5) == 2.5 and tables.setting(spark, "flag", True) is True
+    spark.conf.unset("spark.leafmill.parallel")
+    reports = spark.createDataFrame([(2, None, "深"), (1, "x", "a")], "page long, extra string, summary string")
+    tables.write_report(reports, str(tmp_path / "r"))
+    lines = [x for f in sorted((tmp_path / "r").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ['{"page":1,"extra":"x","summary":"a"}', '{"page":2,"extra":null,"summary":"深"}']
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"page": 1,\n "name": "x"}')
+    (tmp_path / "j" / "b.json").write_text("broken {")
+    assert sorted(tables.json_records(spark, str(tmp_path / "j"), "page long, name string").collect(), key=str) == [(1, "x"), (None, None)]
+    assert reports.select(tables.indented_json(F.struct("page", "summary")).alias("t")).where("t like '{\n%'").count() == 2
+    tables.write_pages(spark.createDataFrame([(1, "a"), (2, "b")], "page long, html string"), str(tmp_path / "p"))
+    assert (tmp_path / "p" / "page=1").is_dir()
+    bad = spark.createDataFrame([("a.pdf", 1), ("b.PDF", 51 << 20), ("c.txt", 1)], "path string, length long")
+    assert [r[0] for r in bad.select(tables.upload_status(F.col("path"), F.col("length"))).collect()] == [None, 413, 400]
+    with pytest.raises(ValueError):
+        tables.page_range(spark.range(1, 6).withColumnRenamed("id", "page"), 2, 9, total=5)
 
 
 def test_page_chunks(spark):
