@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,21 +127,29 @@ def content_addressed(rows: DataFrame, content: Column, extension: Column, order
 SHADOW_PIXELS, SHADOW_CHANNELS, SHADOW_SAMPLES, SHADOW_SPREAD, SHADOW_BRIGHTEST = 20_000, 3, 2048, 24, 40
 
 
-def channel_samples(pixels: Column, width: Column, height: Column, channels: Column) -> Column:
-    """The red, green and blue values of about 2048 pixels at equal steps, pooled. pixels: binary, ``channels`` bytes a pixel."""
-    total = (width * height).cast("long")
-    step = F.greatest(F.lit(1), F.floor(total / SHADOW_SAMPLES)).cast("long")
-    at = F.sequence(F.lit(0).cast("long"), F.greatest(total - 1, F.lit(0)), step)
-    three = F.array(F.lit(0), F.lit(1), F.lit(2))
-    return F.flatten(F.transform(at, lambda i: F.transform(three, lambda c: F.conv(F.hex(F.substring(pixels, (i * channels + c + 1).cast("int"), F.lit(1))), 16, 10).cast("int"))))
+def channel_extremes(pixels: Column, width: Column, height: Column, channels: Column) -> Column:
+    """struct(least, most) of the red, green and blue values of about 2048 pixels at equal steps; nulls where the bytes fall short. pixels:
+    binary, ``channels`` bytes a pixel. Single bytes out of a large binary are what the JVM's expressions copy all of it for, so
+    this runs in Arrow batches."""
 
+    def extremes(pixels: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        out = []
+        for data, w, h, n in zip(pixels, width, height, channels, strict=True):
+            total = 0 if data is None or pd.isna(w) or pd.isna(h) or pd.isna(n) else int(w) * int(h)
+            if not total or len(data) < total * int(n) or n < SHADOW_CHANNELS:
+                out.append((None, None))
+                continue
+            values = np.frombuffer(data, np.uint8)[: total * int(n)].reshape(total, int(n))[:: max(1, total // SHADOW_SAMPLES), :3]
+            out.append((int(values.min()), int(values.max())))
+        return pd.DataFrame(out, columns=["least", "most"]).astype("Int32")
 
-def shadow_like(samples: Column, width: Column | None = None, height: Column | None = None, channels: Column | None = None) -> Column:
-    """Whether an image is a shadow's mask: large, of three channels at least, and its sampled channel values nearly one dark value."""
-    like = (F.array_max(samples) - F.array_min(samples) <= SHADOW_SPREAD) & (F.array_max(samples) <= SHADOW_BRIGHTEST)
-    if width is not None:
-        like = like & (width * height >= SHADOW_PIXELS)
-    return F.coalesce(like if channels is None else like & (channels >= SHADOW_CHANNELS), F.lit(False))
+    return F.pandas_udf(extremes, "least int, most int")(pixels, width, height, channels)
+
+
+def shadow_like(extremes: Column, width: Column, height: Column) -> Column:
+    """Whether an image is a shadow's mask: large, and its sampled channel values (least, most) nearly one dark value."""
+    like = (extremes["most"] - extremes["least"] <= SHADOW_SPREAD) & (extremes["most"] <= SHADOW_BRIGHTEST)
+    return F.coalesce(like & (width * height >= SHADOW_PIXELS), F.lit(False))
 
 
 def image_boxes(blocks: DataFrame, entries: DataFrame, page_area: Column) -> DataFrame:
@@ -151,14 +160,16 @@ def image_boxes(blocks: DataFrame, entries: DataFrame, page_area: Column) -> Dat
     and size stays; one that is drawn through a mask and looks like a shadow goes."""
     sized = blocks.withColumn("x", F.col("x0")).withColumn("y", F.col("y0")).withColumn("w", F.greatest(F.lit(0.0), F.col("x1") - F.col("x0"))).withColumn("h", F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")))
     kept = distinct_boxes(sized.where(F.col("image").isNotNull() & geometry.fits(F.col("w"), F.col("h"), page_area)), by_fill=False)
-    drawn = entries.select("page_id", F.col("xref").alias("_xref"), *(F.col(c).alias(f"_{c}") for c in ("has_mask", "pixels", "width", "height", "channels"))).dropDuplicates(["page_id", "_xref"])
+    masked = [F.when(F.col("has_mask"), F.col("pixels")).alias("_pixels")]
+    drawn = entries.select("page_id", F.col("xref").alias("_xref"), *masked, *(F.col(c).alias(f"_{c}") for c in ("has_mask", "width", "height", "channels"))).dropDuplicates(["page_id", "_xref"])
     found = nearest_entry(kept, entries).drop("distance")
     found = found.join(drawn.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("xref") == F.col("_xref")), "left")
     size = [F.col(c) for c in ("_width", "_height", "_channels")]
-    shadow = F.coalesce("_has_mask", F.lit(False)) & shadow_like(channel_samples(F.col("_pixels"), *size), *size)
+    found = found.withColumn("_extremes", channel_extremes(F.col("_pixels"), *size))
+    shadow = F.coalesce("_has_mask", F.lit(False)) & shadow_like(F.col("_extremes"), *size[:2])
     w = Window.partitionBy("page_id").orderBy("ord")
     n = (F.row_number().over(w) - 1).cast("long")
-    rows = found.where(~F.coalesce(shadow, F.lit(False))).withColumn("_n", n)
+    rows = found.where(~shadow).withColumn("_n", n)
     name = F.concat(F.format_string("%02d", "_n"), F.lit(".png"))
     return rows.select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("_i"), F.col("_n").cast("string")).alias("id"), name.alias("name"), "x", "y", "w", "h", "xref", F.col("_has_mask").alias("has_mask"), "image", "ext")
 
