@@ -4,6 +4,9 @@ The query set is stated (here: ids divisible by 20) and meets all rows in blocks
 of bounded size, every pair of a row block and a query block meets in some task, and the task keeps the
 best of each query while it goes through its row blocks. Blocks are dealt evenly, whatever the vectors' values, so no
 vector, cell or list that is common makes a task large. Only the pivots are ever sent to the driver.
+
+Rows could instead be dealt by pivot, so that a query meets only rows that are posted under its own pivots. Where vectors
+have no clusters that saves nothing: README has the figures.
 """
 
 from __future__ import annotations
@@ -12,71 +15,88 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stage, table
 
-ROW_BLOCK, QUERY_BLOCK = 4096, 512
+ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 #: Tasks among which the row blocks of a query block are divided.
 SPREAD = 8
-PIVOTS, PREFIX, RERANK = 256, 64, 0.2
+PIVOTS, PREFIX, RERANK = 256, 32, 0.25
 #: Rows are ranked by angle among such as have norms within this factor.
 NORM_STEP = 1.1
 
 
 def valid_vectors(df: DataFrame, zero: bool) -> DataFrame:
-    """(vec_id, v array<double>) of vectors without null or non-finite components; zero: all-zero ones stay. Empty vectors, null
+    """(vec_id, v array<double>, or array<float> where they are such) of vectors without null or non-finite components; zero: all-zero ones stay. Empty vectors, null
     vectors and rows with a null vec_id go."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
+    if dict(df.dtypes)["embedding"] != "array<float>":
+        v = v.cast("array<double>")
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
-def blocks(rows: DataFrame, size: int, extra: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, floats: str = "<f8") -> DataFrame:
-    """(block long, dims int, ids binary, data binary, and a binary column for each of extra) of up to ``size`` vectors of one
-    dimension. Partitions are cut as they are; block numbers are unique."""
+def _small(rows: np.ndarray) -> str:
+    """The smallest type that holds these numbers as they are."""
+    if len(rows) and (rows == np.floor(rows)).all():
+        most = np.abs(rows).max()
+        return "<i1" if most < 1 << 7 else "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+    with np.errstate(over="ignore"):
+        return "<f4" if (rows.astype("<f4") == rows).all() else "<f8"
+
+
+def _held(kind: str, data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(count, -1)
+
+
+def blocks(rows: DataFrame, count: int, size: int, extra: Callable[[np.ndarray], dict[str, np.ndarray]] | None = None, large: float | None = None) -> DataFrame:
+    """(block long, dims int, kind string, ids binary, data binary, and a binary column for each of extra) of up to ``size`` vectors of one
+    dimension, of count rows. data: the numbers in the smallest type that holds them. Rows with a number beyond ``large`` have
+    blocks of their own. Partitions are cut as they are, small ones together; block numbers are unique."""
     names = sorted(extra(np.zeros((1, 1)))) if extra else []
+    bound = float("inf") if large is None else large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
 
-        def block(dims: int) -> pa.RecordBatch:
+        def block(key: tuple[int, bool]) -> pa.RecordBatch:
             nonlocal number
-            ids, data = np.concatenate(held[dims][0]), np.concatenate(held[dims][1])
-            held[dims] = ([ids[size:]], [data[size:]])
+            ids, data = np.concatenate(held[key][0]), np.concatenate(held[key][1])
+            held[key] = ([ids[size:]], [data[size:]])
             ids, data = ids[:size], data[:size]
             more = extra(data) if extra else {}
             number += 1
-            columns = [pa.array([number], pa.int64()), pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.astype(floats).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array([more[n].tobytes()], pa.binary()) for n in names)], names=["block", "dims", "ids", "data", *names])
+            kind = _small(data)
+            columns = [pa.array([number], pa.int64()), pa.array([key[0]], pa.int32()), pa.array([kind]), pa.array([ids.tobytes()], pa.binary()), pa.array([data.astype(kind).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([more[n].tobytes()], pa.binary()) for n in names)], names=["block", "dims", "kind", "ids", "data", *names])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             widths = np.diff(lists.offsets.to_numpy())
-            values = lists.flatten().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.cumsum(widths)
             for dims in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == dims)
                 data = values.reshape(-1, dims) if len(at) == len(ids) else np.stack([values[ends[i] - dims : ends[i]] for i in at])
-                kept = held.setdefault(dims, ([], []))
-                kept[0].append(ids[at])
-                kept[1].append(data)
-                while sum(map(len, held[dims][0])) >= size:
-                    yield block(dims)
-        for dims in sorted(held):
-            if sum(map(len, held[dims][0])):
-                yield block(dims)
+                beyond = np.abs(data).max(axis=1) > bound
+                for key in {(dims, x) for x in beyond.tolist()}:
+                    kept = held.setdefault(key, ([], []))
+                    kept[0].append(ids[at][beyond == key[1]])
+                    kept[1].append(data[beyond == key[1]])
+                    while sum(map(len, held[key][0])) >= size:
+                        yield block(key)
+        for key in sorted(held):
+            if sum(map(len, held[key][0])):
+                yield block(key)
 
-    return rows.mapInArrow(run, "block long, dims int, ids binary, data binary" + "".join(f", {n} binary" for n in names))
-
-
-def _dealt(rows: DataFrame, count: int, size: int) -> DataFrame:
-    return rows.repartition(max(1, -(-count // size)))
+    few = rows.coalesce(max(1, -(-count // size)))
+    return few.mapInArrow(run, "block long, dims int, kind string, ids binary, data binary" + "".join(f", {n} binary" for n in names))
 
 
 class Best:
@@ -92,6 +112,8 @@ class Best:
         return self.score[i][-1] if len(self.score[i]) >= self.k else None
 
     def add(self, i: int, rows: np.ndarray, scores: np.ndarray) -> None:
+        if not len(rows):
+            return
         other = rows != self.ids[i]
         scores, rows = np.concatenate([self.score[i], scores[other]]), np.concatenate([self.row[i], rows[other]])
         order = np.lexsort((rows, -scores))[: self.k]
@@ -99,19 +121,19 @@ class Best:
 
 
 def search(rows: DataFrame, queries: DataFrame, score: Callable, k: int, kind: str) -> DataFrame:
-    """(query_id, rank, vec_id, score): rows and queries are blocks; score(row block, its ids, query block, best) puts
+    """(query_id, rank, vec_id, score): rows and queries are blocks; score(row block, its ids and data, the queries' data, best) puts
     what it finds into best. Only blocks of the same dimension meet."""
     names = rows.columns
     queries = stage(queries)
-    # A row block goes once to each query block (their numbers are 12 bytes for 512 queries), a query block once to each part:
+    # A row block goes once to each query block (their numbers are 12 bytes for 2,048 queries), a query block once to each part:
     # the join holds one query block at a time while row blocks stream past it, in the order of the query blocks.
     numbers = queries.select(F.col("block").alias("asked"), "dims")
-    asked = queries.select(F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    asked = queries.select(F.col("block").alias("asked"), *(F.col(c).alias(f"query_{c}") for c in ("kind", "ids", "data")))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     sent = rows.withColumn("part", F.pmod(F.hash("block"), F.lit(SPREAD))).join(numbers, "dims")
     grid = sent.join(asked.hint("merge"), ["asked", "part"])
     number = np.int64 if kind == "long" else np.float64
-    fields = [*names, "asked", "query_ids", "query_data"]
+    fields = [*names, "asked", "query_kind", "query_ids", "query_data"]
     out_type = pa.int64() if kind == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +151,9 @@ def search(rows: DataFrame, queries: DataFrame, score: Callable, k: int, kind: s
                     if best is not None:
                         yield result()
                     held, best = row["asked"], Best(np.frombuffer(row["query_ids"], "<i8"), k, number)
-                    data = np.frombuffer(row["query_data"], "<f8" if kind != "long" else "<i8").reshape(len(best.ids), -1)
-                score(row, np.frombuffer(row["ids"], "<i8"), data, best)
+                    data = _held(row["query_kind"], row["query_data"], len(best.ids)).astype(np.float64)
+                ids = np.frombuffer(row["ids"], "<i8")
+                score(row, ids, _held(row["kind"], row["data"], len(ids)), data, best)
         if best is not None:
             yield result()
 
@@ -170,13 +193,13 @@ def prefixes(points: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype("<u2")
 
 
-def inverted(orders: np.ndarray, pivots: int) -> dict[str, np.ndarray]:
-    """Inverted files: for pivot p, rows and places from starts[p] to starts[p + 1]."""
+def inverted(orders: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted files (rows, places from the prefix's end, starts): for pivot p, what stands from starts[p] to starts[p + 1]."""
     n, prefix = orders.shape
     flat = orders.T.ravel()  # by place
     by = np.argsort(flat, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))]).astype("<i4")
-    return {"post_rows": (by % n).astype("<u2"), "post_places": (by // n).astype("<u2"), "post_starts": starts}
+    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))])
+    return by % n, prefix - by // n, starts
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK) -> DataFrame:
@@ -200,64 +223,85 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
 
     def indexed(data: np.ndarray) -> dict[str, np.ndarray]:
         own = by_dims.get(data.shape[1])
-        if own is None:
-            return inverted(np.zeros((len(data), 0), "<u2"), 0)
-        return inverted(prefixes(directions(data), own, prefix), len(own))
+        return {"orders": np.zeros((len(data), 0), "<u2") if own is None else prefixes(directions(data), own, prefix)}
 
-    def score(row: dict, ids: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
-        data = np.frombuffer(row["data"], "<f8").reshape(len(ids), -1)
+    def score(row: dict, ids: np.ndarray, data: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
         own = by_dims.get(data.shape[1])
-        ranges = norm_ranges(norms(data))
+        ranges = norm_ranges(norms(data.astype(np.float64)))
         keeps = [len(rows) if own is None else min(len(rows), max(4 * k, int(np.ceil(rerank * len(rows))))) for _, rows in ranges]
         lengths = norms(asked_data)
         if own is not None:
-            starts = np.frombuffer(row["post_starts"], "<i4")
-            post_rows, post_places = np.frombuffer(row["post_rows"], "<u2"), np.frombuffer(row["post_places"], "<u2")
+            post_rows, post_left, starts = inverted(np.frombuffer(row["orders"], "<u2").reshape(len(ids), -1), len(own))
             own_prefix = min(prefix, len(own))
             orders = prefixes(directions(asked_data), own, own_prefix)
+            left = own_prefix - np.arange(own_prefix)
         for i, q in enumerate(asked_data):
             held, near = best.threshold(i), np.arange(len(ids))
             reach = [n for n, (norm, _) in enumerate(ranges) if held is None or norm * lengths[i] * (1 + 1e-9) >= held]
             if not reach:
                 continue
             if any(keeps[n] < len(ranges[n][1]) for n in reach):
-                saved = np.zeros(len(ids), np.int32)  # footrule distance saved against a row that shares no pivot
-                for place, p in enumerate(orders[i].tolist()):
-                    a, b = starts[p], starts[p + 1]
-                    at = post_places[a:b].astype(np.int32)
-                    saved[post_rows[a:b]] += 2 * own_prefix - np.abs(at - place) - at - place
+                # A shared pivot saves twice the lesser distance to the prefix's end of the footrule distance that sharing none has.
+                lists = [slice(starts[p], starts[p + 1]) for p in orders[i]]
+                lesser = np.concatenate([np.minimum(post_left[x], n) for x, n in zip(lists, left, strict=True)])
+                saved = np.bincount(np.concatenate([post_rows[x] for x in lists]), lesser, len(ids))
                 near = np.concatenate([rows if keep == len(rows) else rows[np.argpartition(-saved[rows], keep - 1)[:keep]] for (_, rows), keep in ((ranges[n], keeps[n]) for n in reach)])
             elif len(reach) < len(ranges):
                 near = np.concatenate([ranges[n][1] for n in reach])
-            rough = data[near] @ q
+            candidates = data[near].astype(np.float64)
+            rough = candidates @ q
             least = np.partition(rough, -k - 1)[-k - 1] if len(rough) > k + 1 else -np.inf
             if held is not None:
                 least = max(least, held)
-            chosen = near[rough >= least - 1e-9 * max(1.0, abs(least) if np.isfinite(least) else 1.0)]
+            chosen = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least) if np.isfinite(least) else 1.0))
             if len(chosen):
-                best.add(i, ids[chosen], (data[chosen] * q).sum(axis=1))  # the same sum for equal vectors, wherever they stand
+                best.add(i, ids[near[chosen]], (candidates[chosen] * q).sum(axis=1))  # the same sum for equal vectors, wherever they stand
 
-    index = stage(blocks(_dealt(vectors, count, ROW_BLOCK), ROW_BLOCK, indexed))
-    return search(index, blocks(_dealt(queries, asked, QUERY_BLOCK), QUERY_BLOCK), score, k, "double")
+    return search(blocks(vectors, count, ROW_BLOCK, indexed), blocks(queries, asked, QUERY_BLOCK), score, k, "double")
 
 
 # ---- MaxScore
 
 
 def whole_components(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<long>): floor(64 x) of every component, which must stay below 2**24 in size for exact sums."""
-    return vectors.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(64.0))).alias("v"))
+    """(vec_id, v array<double>): floor(64 x) of every component, a whole number of any size."""
+
+    def whole(x: Column) -> Column:
+        x = F.greatest(F.least(x * F.lit(64.0), F.lit(np.finfo(float).max)), F.lit(np.finfo(float).min))
+        return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
+
+    return vectors.select("vec_id", F.transform("v", whole).alias("v"))
+
+
+#: Components above this are scored one by one: products of any two up to it, added up over 2**13 dimensions, are exact in doubles.
+LARGE = 2.0**20
+#: A share of non-essential terms below which leaving them out saves less than traversing postings for many queries at once, and how many.
+FEW, STEP = 0.25, 256
+MOST_LONG = (1 << 63) - 1
+
+
+def exact_scores(data: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers of any size; one beyond a long is the largest long, or that below zero."""
+    with np.errstate(all="ignore"):
+        sure = np.abs(data) @ np.abs(q) < 2.0**62  # not so where it overflows to nan
+        out = data.astype(np.int64) @ q.astype(np.int64)
+    for i in np.flatnonzero(~sure).tolist():
+        total = sum(int(a) * int(b) for a, b in zip(data[i].tolist(), q.tolist(), strict=True) if a and b)
+        out[i] = max(-MOST_LONG, min(MOST_LONG, total))
+    return out
 
 
 def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of the highest integer inner product, exactly, not itself; ties to
-    the smaller id. Both are (vec_id, v array<long>).
+    the smaller id. Both are (vec_id, v array<double>) of whole numbers. A score beyond a long counts as the largest
+    long, or as that below zero.
 
     MaxScore on every row block: a dimension is a query term, its postings the block's components, and a term adds between its
     least and its greatest product in the block. Terms are split by score bounds: while the bounds of the least
     ones add up to less than what is missing to the k-th best score, they are non-essential. The essential terms'
     postings are traversed; rows that stay competitive are probed in the others, the largest bounds first, and
-    dropped as soon as the terms left can't lift them to the k-th best. Blocks' results are merged by score.
+    dropped as soon as the terms left can't lift them to the k-th best. Blocks' results are merged by score. Rows or queries
+    with components beyond ``LARGE`` have no such bounds; all their terms are essential.
     """
     ship(vectors.sparkSession)
     vectors, queries = stage(vectors), stage(queries)
@@ -267,54 +311,56 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     def bounds(data: np.ndarray) -> dict[str, np.ndarray]:
         return {"least": data.min(axis=0).astype("<f8"), "most": data.max(axis=0).astype("<f8")}
 
-    def score(row: dict, ids: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
-        data = np.frombuffer(row["data"], "<i8").reshape(len(ids), -1)
+    def score(row: dict, ids: np.ndarray, data: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
         least, most = np.frombuffer(row["least"], "<f8"), np.frombuffer(row["most"], "<f8")
-        reach = float(max(np.abs(least).max(), np.abs(most).max()))
-        if reach * float(np.abs(asked_data).max(initial=0)) * data.shape[1] < 2**24:
-            kind = np.float32  # sums of this size are exact
-        elif reach * float(np.abs(asked_data).max(initial=0)) * data.shape[1] < 2**53:
-            kind = np.float64
-        else:
-            kind = np.int64
-        postings = np.ascontiguousarray(data.T.astype(kind))
+        reach, widest = float(max(np.abs(least).max(), np.abs(most).max())), np.abs(asked_data).max(axis=1, initial=0.0)
+        usual = widest <= LARGE if reach <= LARGE and data.shape[1] <= 1 << 13 else np.zeros(len(widest), bool)
+        small = reach * widest.max(where=usual, initial=0.0) * data.shape[1] < 2**24
+        kind = np.float32 if small else np.float64  # sums of these sizes are exact
+        postings = np.ascontiguousarray(data.T.astype(kind)) if usual.any() else None
+        together = []
         for i, q in enumerate(asked_data):
+            held = best.threshold(i)
+            if not usual[i]:
+                sums = exact_scores(data.astype(np.float64), q)
+                best.add(i, *best_of(ids, sums, held))
+                continue
             ends = np.sort(np.stack([q * least, q * most]), axis=0)
+            missing = -1.0 if held is None else float(held) - ends[0].sum()
             span = ends[1] - ends[0]  # a term's bound above its least product
             order = np.argsort(span, kind="stable")
-            held = best.threshold(i)
-            missing = -1.0 if held is None else float(held) - ends[0].sum()
-            rest = np.cumsum(span[order])  # of the terms up to this one
-            split = int(np.searchsorted(rest, missing, side="left")) if missing > 0 else 0
-            essential, others = order[split:], order[:split]
-            query = q.astype(kind)
-            if not len(essential):
+            split = int(np.searchsorted(np.cumsum(span[order]), missing, side="left")) if missing > 0 else 0  # bounds of the terms up to this one
+            if split == len(q):
                 continue  # not even all terms lift a row to the k-th best
-            sums = query[essential] @ postings[essential]
-            alive = None
+            if split < FEW * len(q):
+                together.append(i)
+                continue
+            essential, others, query = order[split:], order[:split], q.astype(kind)
+            sums, rows = query[essential] @ postings[essential], np.arange(len(ids))
             below = float(ends[0][others].sum())
             while len(others):
-                bound = below + float(span[others].sum())
-                kept = np.flatnonzero(sums + bound >= held)
-                alive = kept if alive is None else alive[kept]
-                sums = sums[kept]
-                if not len(alive):
+                kept = np.flatnonzero(sums + (below + float(span[others].sum())) >= held)
+                rows, sums = rows[kept], sums[kept]
+                if not len(rows):
                     break
                 take, others = others[-probe:], others[:-probe]
                 below -= float(ends[0][take].sum())
-                sums = sums + query[take] @ postings[np.ix_(take, alive)]
-            rows = np.arange(len(ids)) if alive is None else alive
-            if held is not None:
-                good = sums >= held
-            elif len(sums) > k + 1:
-                good = sums >= np.partition(sums, -k - 1)[-k - 1]
-            else:
-                good = np.ones(len(sums), bool)
-            if good.any():
-                best.add(i, ids[rows[good]], sums[good].astype(np.int64))
-
-    index = stage(blocks(_dealt(vectors, count, ROW_BLOCK), ROW_BLOCK, bounds, "<i8"))
-    return search(index, blocks(_dealt(queries, asked, QUERY_BLOCK), QUERY_BLOCK, None, "<i8"), score, k, "long")
+                sums = sums + query[take] @ postings[np.ix_(take, rows)]
+            best.add(i, *best_of(ids[rows], sums, held))
+        for a in range(0, len(together), STEP):  # all terms of these are essential, so their postings are traversed once for many
+            some = together[a : a + STEP]
+            sums = asked_data[some].astype(kind) @ postings
+            for i, own in zip(some, sums, strict=True):
+                best.add(i, *best_of(ids, own, best.threshold(i)))
+
+    def best_of(ids: np.ndarray, sums: np.ndarray, held) -> tuple[np.ndarray, np.ndarray]:
+        """The rows among which the k best are, itself perhaps one more."""
+        if held is None and len(sums) > k + 1:
+            held = np.partition(sums, -k - 1)[-k - 1]
+        at = np.arange(len(sums)) if held is None else np.flatnonzero(sums >= held)
+        return ids[at], sums[at].astype(np.int64)
+
+    return search(blocks(vectors, count, ROW_BLOCK, bounds, LARGE), blocks(queries, asked, QUERY_BLOCK), score, k, "long")
 
 
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
