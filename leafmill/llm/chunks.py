@@ -2,12 +2,12 @@
 
 A gear hash rolls over the bytes of a text; where it is small the next word begins a chunk. A boundary depends on
 the sixteen bytes before it only, so an insertion moves no boundary but its own. What is compared are windows: neighbouring chunks
-that just add up to ``min_words`` words, by a 64-bit digest of their sequence. The first occurrence of a window (smallest
-doc_id, then place) stays, later ones are cut out. So a passage is cut only where the same sequence of chunks stands in one place
+that just add up to ``min_words`` words, by a 96-bit digest of their sequence. The first occurrence of a window (smallest
+doc_id, then the row's key, then place) stays, later ones are cut out; how rows are dealt to tasks changes nothing. So a passage is cut only where the same sequence of chunks stands in one place
 before, and phrases that stand here and there stay.
 
 A task deduplicates blocks of a million windows by itself first. So a window, however common, leaves a block once, and what
-meets by digest is spread evenly; it travels in packed arrays, some ten bytes a window.
+meets by digest is spread evenly, over as many tasks as the table's bytes ask for; it travels in packed arrays.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hidden, ship, stage, table
@@ -90,11 +90,15 @@ def windows(text: bytes, cuts: list[int], min_words: int) -> tuple[np.ndarray, n
     return both // (n + 1), both % (n + 1)
 
 
-def window_digests(chunks: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+#: Odd bases of the polynomials; the second one's upper half checks the first.
+BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+
+
+def window_digests(chunks: np.ndarray, first: np.ndarray, end: np.ndarray, of: int = BASES[0]) -> np.ndarray:
     """The 64-bit digest of each window's sequence of chunk digests: a polynomial modulo 2**64, from sums up to every chunk."""
     with np.errstate(over="ignore"):
-        base = np.full(len(chunks), 0x9E3779B97F4A7C15, np.uint64)
-        inverse = np.full(len(chunks) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+        base = np.full(len(chunks), of, np.uint64)
+        inverse = np.full(len(chunks) + 1, pow(of, -1, 1 << 64), np.uint64)
         inverse[0] = 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chunks * np.cumprod(base), dtype=np.uint64)])
         z = (sums[end] - sums[first]) * np.cumprod(inverse)[first]
@@ -102,13 +106,14 @@ def window_digests(chunks: np.ndarray, first: np.ndarray, end: np.ndarray) -> np
         return z ^ (z >> np.uint64(31))
 
 
-def _row_key():
-    """Tells rows with the same doc_id apart; rows that repeat doc_id and text are one document."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+def _row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows with the same doc_id apart; rows that repeat doc_id and text are one document. 128 bits, so that no two others meet."""
+    spelled = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat(spelled, F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
 
 
-SCHEMA = "bucket int, block long, digests binary, docs binary, indexes binary, row_key long, start int, size int, places binary, firsts binary"
-KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+SCHEMA = "bucket int, block long, digests binary, checks binary, docs binary, ties binary, indexes binary, row_key binary, start int, size int, places binary, firsts binary, origins binary"
+KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int32(), pa.int32(), *[pa.binary()] * 3]
 
 
 def _rows(columns: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -116,29 +121,32 @@ def _rows(columns: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -> DataFrame:
-    """Two sorts of rows, from blocks of up to BLOCK_CHUNKS windows (and a document), numbered in the order of doc_id and place:
+    """Two sorts of rows, from blocks of up to BLOCK_CHUNKS windows (and a document), numbered in the order of doc_id, key and place:
     with a bucket, the digests of it, each at its first place in the block; without one, a document's numbers in the block and its
-    windows that stand before in the block. docs: (doc_id, row_key, text)."""
+    windows that stand before in the block, and where. docs: (doc_id, row_key, text)."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int | None, bytes, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block
             block += 1
             held.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-            ids = np.array([-(1 << 63) if d is None else d for d, _, _ in held], np.int64)
-            sizes = np.array([len(x) for _, _, x in held])
+            ids = np.array([-(1 << 63) if x[0] is None else x[0] for x in held], np.int64)
+            ties = np.array([int.from_bytes(x[1][:8], "big") for x in held], np.uint64)
+            sizes = np.array([len(x[2]) for x in held])
             starts = np.cumsum(sizes) - sizes
-            found, doc = np.concatenate([x for _, _, x in held]), np.repeat(np.arange(len(held)), sizes)
+            found, checks, doc = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), np.repeat(np.arange(len(held)), sizes)
             order = np.argsort(found, kind="stable")
-            sorted_ = found[order]
-            new = np.append(True, sorted_[1:] != sorted_[:-1])
+            new, other = changes(found[order]), changes(checks[order])
+            if (other & ~new).any():  # two windows have one digest
+                order = np.lexsort((checks, found))
+                new = changes(found[order]) | changes(checks[order])
             first = order[new][np.cumsum(new) - 1]  # of each, where its digest stands first
             out: list[list] = [[] for _ in names]
 
@@ -153,13 +161,14 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
             for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if x < y:
                     at = once[x:y]
-                    add(b, block, found[at].tobytes(), ids[doc[at]].tobytes(), at.astype("<i4").tobytes(), None, None, None, None, None)
+                    add(b, block, found[at].tobytes(), checks[at].tobytes(), ids[doc[at]].tobytes(), ties[doc[at]].tobytes(), at.astype("<i4").tobytes(), *[None] * 6)
             again = order[~new]
             by = np.argsort(again)
-            again, where = again[by], ids[doc[first[~new][by]]]
+            again, origin = again[by], first[~new][by]
+            where = ids[doc[origin]]
             cuts = np.searchsorted(again, np.append(starts, len(found))).tolist()
             for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                add(None, block, None, None, None, held[i][1], starts[i], sizes[i], (again[x:y] - starts[i]).astype("<i4").tobytes(), where[x:y].tobytes())
+                add(None, block, None, None, None, None, None, held[i][1], starts[i], sizes[i], (again[x:y] - starts[i]).astype("<i4").tobytes(), where[x:y].tobytes(), origin[x:y].astype("<i4").tobytes())
             held.clear()
             return _rows(out, KINDS, names)
 
@@ -167,7 +176,8 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
             for doc_id, row_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = text.as_py().encode()
                 cuts = boundaries(data, mean)
-                held.append((doc_id, row_key, window_digests(digests(data, cuts), *windows(data, cuts, min_words))))
+                chunks, spans_ = digests(data, cuts), windows(data, cuts, min_words)
+                held.append((doc_id, row_key, window_digests(chunks, *spans_), (window_digests(chunks, *spans_, BASES[1]) >> np.uint64(32)).astype("<u4")))
                 size += len(held[-1][2])
                 if size >= BLOCK_CHUNKS:
                     yield flush()
@@ -178,6 +188,13 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
     return docs.select("doc_id", "row_key", "text").mapInArrow(run, SCHEMA)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows that follow each other with the same first column."""
     held: list[tuple] = []
@@ -198,14 +215,13 @@ def _numbers(parts: list[bytes], kind: str) -> np.ndarray:
 def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, indexes, firsts): of a bucket's digests that several blocks have, all places but the first."""
     for rows in _groups(batches):
-        found, doc, index = _numbers([r[2] for r in rows], "<u8"), _numbers([r[3] for r in rows], "<i8"), _numbers([r[4] for r in rows], "<i4")
-        block = np.repeat(np.array([r[1] for r in rows]), [len(r[4]) // 4 for r in rows])
+        found, checks, doc, tie, index = (_numbers([r[k] for r in rows], kind) for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<i8"), (5, "<u8"), (6, "<i4")))
+        block = np.repeat(np.array([r[1] for r in rows]), [len(r[6]) // 4 for r in rows])
         order = np.argsort(found, kind="stable")
-        sorted_ = found[order]
-        same = sorted_[1:] == sorted_[:-1]
-        at = order[np.append(False, same) | np.append(same, False)]
-        at = at[np.lexsort((index[at], block[at], doc[at], found[at]))]
-        new = np.append(True, found[at][1:] != found[at][:-1])[: len(at)]
+        new = changes(found[order])
+        at = order[~new | ~np.append(new[1:], True)]
+        at = at[np.lexsort((index[at], block[at], tie[at], doc[at], checks[at], found[at]))]
+        new = changes(found[at]) | changes(checks[at])
         first = doc[at[new]][np.cumsum(new) - 1] if len(at) else doc[at]
         later, where = at[~new], first[~new]
         by = np.argsort(block[later], kind="stable")
@@ -219,18 +235,23 @@ def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_key, n, places, firsts) of each of a block's documents, also of those without repeated windows."""
     for rows in _groups(batches):
-        far = [r for r in rows if r[3] is None]
-        docs = sorted((r for r in rows if r[3] is not None), key=lambda r: r[4])
+        far = [r for r in rows if r[4] is None]
+        docs = sorted((r for r in rows if r[4] is not None), key=lambda r: r[5])
         index, where = _numbers([r[1] for r in far], "<i4"), _numbers([r[2] for r in far], "<i8")
         by = np.argsort(index)
         index, where = index[by], where[by]
-        cuts = [*np.searchsorted(index, [r[4] for r in docs]).tolist(), len(index)]
+        cuts = [*np.searchsorted(index, [r[5] for r in docs]).tolist(), len(index)]
         out: list[list] = [[], [], [], []]
         for r, x, y in zip(docs, cuts, cuts[1:], strict=False):
-            places, firsts = np.concatenate([_numbers([r[1]], "<i4"), index[x:y] - r[4]]), np.concatenate([_numbers([r[2]], "<i8"), where[x:y]])
-            for column, value in zip(out, (r[3], len(places), places.astype("<i4").tobytes(), firsts.tobytes()), strict=True):
+            own, origins = _numbers([r[2]], "<i8").copy(), _numbers([r[3]], "<i4")
+            if len(index):  # what stands first in the block may stand before in another
+                at = np.minimum(np.searchsorted(index, origins), len(index) - 1)
+                own = np.where(index[at] == origins, where[at], own)
+            places, firsts = np.concatenate([_numbers([r[1]], "<i4"), index[x:y] - r[5]]), np.concatenate([own, where[x:y]])
+            by = np.argsort(places)
+            for column, value in zip(out, (r[4], len(places), places[by].astype("<i4").tobytes(), firsts[by].tobytes()), strict=True):
                 column.append(value)
-        yield _rows(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["row_key", "n", "places", "firsts"])
+        yield _rows(out, [pa.binary(), pa.int64(), pa.binary(), pa.binary()], ["row_key", "n", "places", "firsts"])
 
 
 def repeated_windows(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -238,13 +259,15 @@ def repeated_windows(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = M
     docs: (doc_id, row_key, text), texts not empty. Null doc_ids come first. Rows of one row_key are one document: of their results the
     one with the fewest repeats holds."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = stage(blocks_of_chunks(docs, mean, max(32, total // mean // BUCKET_CHUNKS), min_words))
-    digests_ = rows.where("bucket is not null").select("bucket", "block", "digests", "docs", "indexes")
-    later = digests_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet_by_digest, "block long, indexes binary, firsts binary")
+    buckets, blocks = max(32, total // mean // BUCKET_CHUNKS), max(32, total // mean // BLOCK_CHUNKS)
+    rows = stage(blocks_of_chunks(docs, mean, buckets, min_words))
+    digests_ = rows.where("bucket is not null").select("bucket", "block", "digests", "checks", "docs", "ties", "indexes")
+    # A bucket is a task's whole input, and the number of buckets and blocks grows with the table, so tasks don't.
+    later = digests_.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_by_digest, "block long, indexes binary, firsts binary")
     none = F.lit(None)
-    own = rows.where("bucket is null").select("block", F.col("places").alias("a"), "firsts", "row_key", "start")
-    both = later.select("block", F.col("indexes").alias("a"), "firsts", none.cast("long").alias("row_key"), none.cast("int").alias("start")).unionByName(own)
-    found = both.repartition("block").sortWithinPartitions("block").mapInArrow(back_to_documents, "row_key long, n long, places binary, firsts binary")
+    own = rows.where("bucket is null").select("block", F.col("places").alias("a"), "firsts", "origins", "row_key", "start")
+    both = later.select("block", F.col("indexes").alias("a"), "firsts", none.cast("binary").alias("origins"), none.cast("binary").alias("row_key"), none.cast("int").alias("start")).unionByName(own)
+    found = both.repartition(2 * blocks, "block").sortWithinPartitions("block").mapInArrow(back_to_documents, "row_key binary, n long, places binary, firsts binary")
     return found.groupBy("row_key").agg(F.min(F.struct("n", "places", "firsts")).alias("found")).where("found.n > 0").select("row_key", "found.places", "found.firsts")
 
 
@@ -275,8 +298,7 @@ def cut_repeats(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WO
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text").where("text is not null and text <> ''")
     found = stage(repeated_windows(keyed, mean, min_words))
     full, names = hidden(docs)
-    own = F.xxhash64(F.col(names["doc_id"]).cast("long"), F.coalesce(F.col(names["text"]), F.lit("")))
-    joined = full.withColumn("_key", own).join(found, F.col("_key") == found["row_key"], "left")
+    joined = full.withColumn("_key", _row_key(names["doc_id"], names["text"])).join(found, F.col("_key") == found["row_key"], "left")
     others = [c for c in full.columns if c != names["text"]]
     packed = joined.select(names["text"], "places", "firsts", *others)
 
