@@ -10,8 +10,7 @@ distinct word.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,34 +53,62 @@ def stems(word: str) -> list[str]:
     return [word[:5], word[:6], word[:7], word[:8], word[-5:], word[-6:], word[-7:], word[-8:]]
 
 
-def telling(documents: Iterable[set[str]], labels: list[int], most: int) -> list[tuple[str, float]]:
+def telling(names: list[str], documents: Iterable[np.ndarray], labels: list[int], most: int) -> list[tuple[str, float]]:
     """(feature, strength) of the features that tell most: smoothed log-odds of the label, less where few documents, which may be
-    copies of each other, have the feature."""
-    seen, bad = Counter(), Counter()
+    copies of each other, have the feature. documents: the numbers of their features, each once."""
+    seen, bad = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     for d, y in zip(documents, labels, strict=True):
-        seen.update(d)
+        seen[d] += 1
         if y:
-            bad.update(d)
+            bad[d] += 1
     many, few = sum(labels), len(labels) - sum(labels)
-    found = []
-    for x, n in seen.items():
-        if n >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(labels)):
-            odds = np.log((bad[x] + 0.5) / (many + 1)) - np.log((n - bad[x] + 0.5) / (few + 1))
-            found.append((x, float(odds) * min(1.0, (bad[x] if odds > 0 else n) / (0.03 * many + 2))))
-    return sorted(found, key=lambda f: (-abs(f[1]), f[0]))[:most]
+    at = np.flatnonzero(seen >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(labels)))
+    seen, bad = seen[at], bad[at]
+    odds = np.log((bad + 0.5) / (many + 1)) - np.log((seen - bad + 0.5) / (few + 1))
+    strength = odds * np.minimum(1.0, np.where(odds > 0, bad, seen) / (0.03 * many + 2))
+    return sorted(((names[i], x) for i, x in zip(at.tolist(), strength.tolist(), strict=True)), key=lambda f: (-abs(f[1]), f[0]))[:most]
+
+
+def summed(values: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """out with the values added to its rows of these numbers."""
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0))
+        out[rows[order][starts]] += np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
+class Windows:
+    """The windows of the sample's documents. Words are numbered; a window is cut out when it is wanted."""
+
+    def __init__(self, documents: list[np.ndarray]):
+        none = np.full(WORDS, -1, np.int32)
+        self.words = np.concatenate([none[:0], *(part for d in documents for part in (d, none))])
+        sizes = [len(windows(len(d))) for d in documents]
+        ends = np.cumsum([len(d) + WORDS for d in documents])
+        self.starts = np.array([e - WORDS - len(d) + s for e, d in zip(ends.tolist(), documents, strict=True) for s in windows(len(d))], np.int64)
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)  # of each document's windows
+
+    def cut(self, numbers: np.ndarray) -> np.ndarray:
+        """(WORDS, windows) word numbers, -1 behind a document's end."""
+        return self.words[self.starts[numbers] + np.arange(WORDS)[:, None]]
 
 
 class ToxicityModel:
     def __init__(self, rows: list[tuple[str, int]], seed: int = 11):
         random = np.random.default_rng(seed)
-        once: dict[str, str] = {}  # a word is held once
-        documents = [[once.setdefault(x, x) for x in TOKEN.findall(text.lower())] for text, _ in rows]
+        numbers: dict[str, int] = {}
+        documents = [np.array([numbers.setdefault(x, len(numbers)) for x in TOKEN.findall(text.lower())], np.int32) for text, _ in rows]
+        words = list(numbers)
         labels = np.array([y for _, y in rows], np.int64)
         many, few = int(labels.sum()), int(len(labels) - labels.sum())
-        known = telling((set(d) for d in documents), labels.tolist(), VOCABULARY)
+        distinct = [np.unique(d) for d in documents]
+        known = telling(words, distinct, labels.tolist(), VOCABULARY)
         each: dict[str, float] = {}
         for k in range(len(stems(""))):  # one sort of stems at a time
-            each |= dict(telling(({stems(w)[k] for w in set(d)} for d in documents), labels.tolist(), VOCABULARY))
+            names: dict[str, int] = {}
+            of = np.array([names.setdefault(stems(w)[k], len(names)) for w in words], np.int32)
+            each |= dict(telling(list(names), (np.unique(of[d]) for d in distinct), labels.tolist(), VOCABULARY))
         parts = sorted(each.items(), key=lambda f: (-abs(f[1]), f[0]))[:VOCABULARY]
         parts.sort(key=lambda f: (-f[1], f[0]))  # of a word's, the first is taken
         self.numbers = {w: i + 2 for i, (w, _) in enumerate(known)}
@@ -100,7 +127,7 @@ class ToxicityModel:
         w |= {"wa": matrix(ATTENTION, 2 * HIDDEN), "ba": np.zeros((ATTENTION, 1)), "va": matrix(1, ATTENTION), "wo": matrix(1, 2 * HIDDEN), "bo": np.array([[-1.0]])}
         self.weights = {k: v.astype(np.float32) for k, v in w.items()}
         if many and few:
-            self.fit(documents, labels, random, dict(known), [x for _, x in parts])
+            self.fit(words, Windows(documents), labels, random, dict(known), [x for _, x in parts])
         self.share = float(labels.mean()) if len(labels) else 0.0
         self.trained = bool(many and few)
 
@@ -110,20 +137,25 @@ class ToxicityModel:
         get = self.stems.get
         return min([get(x, len(self.stems) + 1) for x in stems(word)]) % (len(self.stems) + 1)
 
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word rows, stem rows, trigram rows, trigram starts and their end) of words."""
+        rows = np.array([self.numbers.get(x, UNKNOWN) for x in words], np.int64)
+        grams, starts = trigrams(words) if words else (np.zeros(0, np.int64),) * 2
+        return rows, np.array([self.stem(x) for x in words], np.int64), grams, np.append(starts, len(grams))
+
     def inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs by number, word rows, stem rows, trigram rows, trigram starts); the first two numbers are the pad's and an
-        unused one."""
+        return self.inputs_of(*self.looked_up(words))
+
+    def inputs_of(self, rows: np.ndarray, parts: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs by number, word rows, stem rows, trigram rows, trigram starts) of words looked up; the first two numbers are the pad's
+        and an unused one."""
         w = self.weights
-        rows = np.array([PAD, UNKNOWN, *(self.numbers.get(x, UNKNOWN) for x in words)], np.int64)
-        parts = np.array([0, 0, *map(self.stem, words)], np.int64)
+        rows, parts = np.append([PAD, UNKNOWN], rows), np.append([0, 0], parts)
         x = np.zeros((len(rows), WORD_SIZE + STEM_SIZE + CHAR_SIZE), np.float32)
         x[:, :WORD_SIZE], x[:, WORD_SIZE:-CHAR_SIZE] = w["words"][rows], w["stems"][parts]
-        grams, starts = (np.zeros(0, np.int64),) * 2
-        if words:
-            grams, starts = trigrams(words)
-            sizes = np.diff(np.append(starts, len(grams)))
-            x[2:, -CHAR_SIZE:] = np.add.reduceat(w["chars"][grams], starts, axis=0) / sizes[:, None]
-        return x, rows, parts, grams, starts
+        if len(grams):
+            x[2:, -CHAR_SIZE:] = np.add.reduceat(w["chars"][grams], starts[:-1], axis=0) / np.diff(starts)[:, None]
+        return x, rows, parts, grams, starts[:-1]
 
     @staticmethod
     def run(gates: np.ndarray, u: np.ndarray, ids: np.ndarray, kept: list | None = None) -> np.ndarray:
@@ -183,7 +215,7 @@ class ToxicityModel:
         d_x = np.zeros_like(x)
         for way, d in (("f", d_states[:, :HIDDEN]), ("b", d_states[::-1, HIDDEN:])):
             u, d_u, carry = w[f"u{way}"], np.zeros_like(w[f"u{way}"]), 0.0
-            d_gates = np.zeros((len(x), 3 * HIDDEN), np.float32)
+            steps = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
             for t in range(len(ids) - 1, -1, -1):
                 before, z, r, n, s = kept[way][t]
                 d_h = d[t] + carry
@@ -192,52 +224,71 @@ class ToxicityModel:
                 d_s = np.concatenate([d_z, d_r, d_n * r])
                 d_u += d_s @ before.T
                 carry = d_h * z + u.T @ d_s
-                np.add.at(d_gates, order[way][t], np.concatenate([d_z, d_r, d_n]).T)
+                steps[t] = np.concatenate([d_z, d_r, d_n]).T
+            d_gates = summed(steps.reshape(-1, 3 * HIDDEN), order[way].ravel(), np.zeros((len(x), 3 * HIDDEN), np.float32))
             g[f"u{way}"], g[f"x{way}"], g[f"c{way}"] = d_u, d_gates.T @ x, d_gates.sum(axis=0)[:, None]
             d_x += d_gates @ w[f"x{way}"]
-        g["words"] = np.zeros_like(w["words"])
-        np.add.at(g["words"], rows, d_x[:, :WORD_SIZE])
+        g["words"] = summed(d_x[:, :WORD_SIZE], rows, np.zeros_like(w["words"]))
         g["words"][:2] = 0
-        g["stems"] = np.zeros_like(w["stems"])
-        np.add.at(g["stems"], parts, d_x[:, WORD_SIZE:-CHAR_SIZE])
+        g["stems"] = summed(d_x[:, WORD_SIZE:-CHAR_SIZE], parts, np.zeros_like(w["stems"]))
         g["stems"][0] = 0
         g["chars"] = np.zeros_like(w["chars"])
         if len(grams):
             sizes = np.diff(np.append(starts, len(grams)))
-            np.add.at(g["chars"], grams, np.repeat(d_x[2:, -CHAR_SIZE:] / sizes[:, None], sizes, axis=0))
+            summed(np.repeat(d_x[2:, -CHAR_SIZE:] / sizes[:, None], sizes, axis=0), grams, g["chars"])
         return g
 
-    def fit(self, documents: list[list[str]], labels: np.ndarray, random: np.random.Generator, words: dict[str, float], parts_strength: list[float]) -> None:
+    def fit(self, words: list[str], parts: Windows, labels: np.ndarray, random: np.random.Generator, strengths: dict[str, float], parts_strength: list[float]) -> None:
         adam = Adam(self.weights, RATE)
-        parts = [[d[s : s + WORDS] for s in windows(len(d))] for d in documents]
+        rows, stem_rows, grams, starts = self.looked_up(words)
+        sizes = np.diff(starts)
+
+        def arranged(numbers: np.ndarray) -> tuple[np.ndarray, tuple]:
+            """(ids, inputs) of these windows."""
+            found, ids = np.unique(parts.cut(numbers), return_inverse=True)
+            pads = int(found[0] < 0)
+            found = found[pads:]
+            ids = np.where(ids < pads, PAD, ids + 2 - pads).reshape(WORDS, -1)
+            ends = np.cumsum(sizes[found])
+            at = np.repeat(starts[found] - ends + sizes[found], sizes[found]) + np.arange(ends[-1] if len(ends) else 0)
+            return ids, self.inputs_of(rows[found], stem_rows[found], grams[at], np.append(0, ends))
+
+        def by_steps(values: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            count = len(parts.starts)
+            return np.concatenate([np.zeros(0), *(values(np.arange(a, min(a + STEP, count))) for a in range(0, count, STEP))])
+
+        def network(numbers: np.ndarray) -> np.ndarray:
+            ids, inputs = arranged(numbers)
+            return self.logits(ids, inputs[0])
+
         for turn in range(ROUNDS):
             if turn:
-                flat = [p for ps in parts for p in ps]
-                found = np.concatenate([self.window_logits(flat[a : a + STEP]) for a in range(0, len(flat), STEP)]) if flat else np.zeros(0)
-                ends = np.cumsum([len(ps) for ps in parts])
-                ranks = [found[e - len(ps) : e] for ps, e in zip(parts, ends, strict=True)]
+                found = by_steps(network)
             else:
-                by_stem = [0.0, *parts_strength]
-                strength = {x: max(words.get(x, 0.0), by_stem[self.stem(x)]) for d in documents for x in d}
-                ranks = [np.array([max(strength[x] for x in p) for p in ps]) for ps in parts]
+                strength = np.maximum([strengths.get(x, 0.0) for x in words], np.array([0.0, *parts_strength])[stem_rows])
+                strength = np.append(strength, -np.inf)  # of the number -1
+                found = by_steps(lambda numbers: strength[parts.cut(numbers)].max(axis=0))
+            ranks = np.split(found, parts.cuts[1:-1])
             # A label may be wrong: a toxic document without any window that looks so teaches nothing.
             tops = [rank.max() for rank, y in zip(ranks, labels.tolist(), strict=True) if y and len(rank)]
             least = 0.0 if turn else float(np.median(tops)) / 2 if tops else 0.0
-            chosen: list[tuple[list[str], int]] = []
-            for ps, y, rank in zip(parts, labels.tolist(), ranks, strict=True):
-                if not ps:
+            chosen: list[tuple[int, int]] = []
+            for first, y, rank in zip(parts.cuts.tolist(), labels.tolist(), ranks, strict=False):
+                if not len(rank):
                     continue
                 top = int(np.argmax(rank))
                 if y and rank[top] < least:
                     continue
-                chosen.append((ps[top], y))
-                if not y and len(ps) > 1:
-                    chosen.append((ps[int(random.integers(len(ps)))], 0))
+                chosen.append((first + top, y))
+                if not y and len(rank) > 1:
+                    chosen.append((first + int(random.integers(len(rank))), 0))
             batches = max(1, len(chosen) // BATCH)
+            windows_, wanted = np.array([c[0] for c in chosen], np.int64), np.array([c[1] for c in chosen], np.float32)
             for _ in range(max(EPOCHS, LEAST_STEPS // batches)):
                 for batch in np.array_split(random.permutation(len(chosen)), batches):
-                    ids, words = self.arranged([chosen[i][0] for i in batch])
-                    adam.update(self.gradients(ids, np.array([chosen[i][1] for i in batch], np.float32), self.inputs(words)))
+                    if len(batch):
+                        ids, inputs = arranged(windows_[batch])
+                        adam.update(self.gradients(ids, wanted[batch], inputs))
 
     # -- scoring
 
@@ -250,10 +301,6 @@ class ToxicityModel:
             ids[i, : len(p)] = [numbers.setdefault(x, len(numbers) + 2) for x in p]
         return ids.T, list(numbers)
 
-    def window_logits(self, parts: list[list[str]]) -> np.ndarray:
-        ids, words = self.arranged(parts)
-        return self.logits(ids, self.inputs(words)[0])
-
     def score(self, texts: list[str]) -> np.ndarray:
         """The highest window's probability of each whole text; 0 without a word."""
         if not self.trained:
