@@ -1,6 +1,7 @@
 """The operators on documents: brute force on small tables with nulls, empty and long texts, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 
 from leafmill.llm import chunks, neardup, packing, sentencepieces, sharding
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, _id string, c0 long, row_key string, places string, shard int, size int, _score string, component_id int, n_chars long"
 WORDS = "the of and window river stone quiet lantern orbit velvet copper meadow harbor signal thread marble winter engine ribbon forest".split()
 
@@ -211,6 +213,39 @@ def test_alike_pairs_against_brute_force():
             assert joined(got) == joined(want)
 
 
+def test_groups_of_crowded_shards_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD_ROWS", 64)
+    r = random.Random(31)
+    template = prose(700, 90).split()  # all texts share most words, so their shards are crowded, and a hot line
+    line = prose(701, 12)
+    texts = []
+    for i in range(260):
+        own = template[:]
+        for _ in range(14):
+            own[r.randrange(90)] = f"w{r.randrange(5000)}"
+        for _ in range(r.choice([1, 1, 3])):
+            copy = own[:]
+            for _ in range(r.randint(0, 2)):
+                copy[r.randrange(90)] = f"v{r.randrange(5000)}"
+            texts.append(" ".join(copy) + " " + line)
+    sets = [set(neardup.shingle_hashes(neardup.words_of(t.encode()), 5).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.component_id for x in neardup.near_groups(docs).collect()}
+    assert len(links) > 150 and sum(found[i] == found[j] for i, j in links) >= 0.99 * len(links)
+    label = list(range(len(texts)))
+    for _ in label:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert all(label[i] == label[c] for i, c in found.items())  # no group joins texts that links don't
+
+
+def test_repeated_ids_of_different_texts(spark):
+    rows = [(1, prose(720, 60), "b"), (1, prose(721, 60), "a"), (1, prose(721, 60), "c"), (2, prose(720, 60), "d"), (None, prose(722, 50), "e"), (None, prose(723, 50), "f")]
+    got = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[1], rows[4], rows[5]])
+
+
 def test_bk_tree_finds_what_is_near():
     r, tree, before = random.Random(3), neardup.BKTree(), []
     for _ in range(300):
@@ -256,6 +291,56 @@ def test_repeated_passages(docs, none):
         assert r.text == (left + text[at:] if text else r.text)
 
 
+def brute_cut(rows: list[tuple]) -> dict[tuple, str]:
+    """Text by (doc_id, text) with all windows cut out that stand before: one document after the other, windows as tuples of chunks."""
+    seen, out = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{'null' if r[0] is None else r[0]}\n{r[1]}".encode()).digest())):
+        data = t.encode()
+        cuts = chunks.boundaries(data)
+        parts = [data[a:b].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+        gone = np.zeros(len(data), bool)
+        for a, b in zip(*(x.tolist() for x in chunks.windows(data, cuts, chunks.MIN_WORDS)), strict=True):
+            window = tuple(parts[a:b])
+            if window in seen:
+                gone[cuts[a] : cuts[b]] = True
+            seen.add(window)
+        out[d, t] = bytes(np.frombuffer(data, np.uint8)[~gone]).decode()
+    return out
+
+
+def test_cut_repeats_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK_CHUNKS", 300)
+    r = random.Random(21)
+    passages = [prose(400 + i, r.randint(5, 90)) for i in range(25)]
+    rows = []
+    for i in range(120):
+        text = " ".join(r.choice([prose(600 + i * 7 + j, r.randint(1, 30)), r.choice(passages), r.choice(passages)]) for j in range(r.randint(1, 5)))
+        rows.append((r.choice([i, i, i, i // 2, None]), text))
+    rows += r.sample(rows, 20) + [(500, passages[0]), (500, passages[1] + "\u3000x" * 40), (501, "深い森の" * 300 + "é" * 99)]
+    want, results = brute_cut(rows), []
+    for seed, parts in ((1, 1), (2, 6)):
+        random.Random(seed).shuffle(rows)
+        source = spark.createDataFrame([(d, t, t) for d, t in rows], "doc_id long, text string, was string").repartition(parts)
+        got = chunks.cut_repeats(source).collect()
+        assert Counter((x.doc_id, x.was, x.text) for x in got) == Counter((d, t, want[d, t]) for d, t in rows)
+        results.append(Counter((x.doc_id, x.was, tuple((y.begin, y.end, tuple(y.first_doc_ids)) for y in x.removed)) for x in got))
+    assert results[0] == results[1]
+
+
+def test_colliding_digests_cut_nothing(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK_CHUNKS", 50)
+    plain = chunks.window_digests
+
+    def collide(digests_, first, end, of=chunks.BASES[0]):
+        found = plain(digests_, first, end, of)
+        return found & np.uint64(3) if of == chunks.BASES[0] else found
+
+    monkeypatch.setattr(chunks, "window_digests", collide)
+    rows = [(i, prose(800 + i, 60)) for i in range(12)] + [(50, prose(803, 60))]
+    got = {x.doc_id: x.text for x in chunks.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {**dict(rows), 50: ""}
+
+
 def test_phrases_of_many_texts_are_no_passage(spark):
     text = prose(110, 60).encode()
     cuts = chunks.boundaries(text)
@@ -303,11 +388,27 @@ def test_sentencepiece(docs, none):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def want(doc_id, text):
-        ids = library.encode(text or "", add_eos=True)
-        return doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        pieces = library.encode(text or "", return_type="proto").pieces
+        ids, size = library.encode(text or "", add_eos=True), len((text or "").encode())
+        spans = [x for p in pieces for x in (p.begin, p.end)] + [size, size]
+        return doc_id, tuple(ids), np.array(spans, "<u4").tobytes(), library.decode(ids)
 
     rows = sentencepieces.encode_documents(docs).collect()
-    assert Counter(map(tuple, rows)) == Counter(want(d, t) for d, t, *_ in messy())
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.spans), r.decoded) for r in rows) == Counter(want(d, t) for d, t, *_ in messy())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sentencepiece_query_against_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = Counter()
+    for d, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids, pieces, size = library.encode(t or "", add_eos=True), library.encode(t or "", return_type="proto").pieces, len((t or "").encode())
+        spans = np.array([x for p in pieces for x in (p.begin, p.end)] + [size, size], "<u4").tobytes()
+        want[d, len(ids), *(hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), library.decode(ids).encode(), spans))] += 1
+    assert Counter(map(tuple, sentencepieces.op10_sentencepiece(spark, SF).collect())) == want
 
 
 def test_pieces_and_spans():
@@ -321,8 +422,9 @@ def test_pieces_and_spans():
         text = "".join(r.choice(signs) for _ in range(r.randint(0, 40)))
         ids = library.encode(text, add_eos=True)
         assert model.encode(text, end=True) == ids and model.decode(ids) == library.decode(ids)
-        assert model.round_trips([text]) == [(" ".join(map(str, ids)), len(ids), library.decode(ids))]
-        assert [(i, a, b) for i, _, a, b in model.spans(text)] == [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+        assert model.encode_many([text])[0][2] == library.decode(ids)
+        assert model.spans(text) == [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+    assert all(len(x) <= sentencepieces.LONGEST_KEPT for x in model.kept)
 
 
 def test_longest_prefix_normalisation():

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -81,6 +82,13 @@ def test_classifiers_take_odd_rows(labelled, spark, score, keep):
     assert score(docs, empty).count() == len(messy())
 
 
+@pytest.mark.parametrize("model,none", [(quality.QualityModel, 0.5), (toxicity.ToxicityModel, 0.0)])
+def test_labels_of_one_kind_give_their_share(model, none):
+    texts = ["", "some words", "other words ***"]
+    for rows, want in (([], none), ([("some words", 1)] * 9, 1.0), ([("some words", 0), ("", 0)], 0.0)):
+        assert model(rows).score(texts).tolist() == [want] * 3
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     rows = [("bad words here " * 3, 1), ("good words there " * 4, 0)] * 4
@@ -147,6 +155,25 @@ def test_maxscore_is_exact(embeddings, spark):
     assert vectors.top_scores(none, none).count() == 0
 
 
+def test_maxscore_of_any_size(spark):
+    r = random.Random(13)
+    sizes = [0.01, 0.3, 5.0, 1e5, 3e7, 1e12, 3e30, 1e200, 1.7e308]
+    rows = [(i, [r.choice([0.0, r.uniform(-1, 1) * r.choice(sizes[: 1 + i % 9])]) for _ in range(8)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = vectors.whole_components(vectors.valid_vectors(df, zero=True))
+    most = float(np.finfo(float).max)
+    whole = {i: [int(np.floor(max(-most, min(most, 64 * x)))) for x in e] for i, e in rows}
+
+    def score(a, b):
+        return max(-vectors.MOST_LONG, min(vectors.MOST_LONG, sum(x * y for x, y in zip(a, b, strict=True))))
+
+    want = Counter()
+    for q in range(0, 120, 20):
+        best = sorted((-score(whole[q], u), i) for i, u in whole.items() if i != q)[:20]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in vectors.top_scores(v, v.where("vec_id % 20 = 0")).collect()) == want
+
+
 def test_permutation_index(embeddings, spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROW_BLOCK", 256)
     df, rows = embeddings
@@ -207,6 +234,77 @@ def test_extraction():
     assert extraction.main_text(plain).split("\n")[1] == "Short one." and "two" not in extraction.main_text(plain)
 
 
+@pytest.mark.parametrize("name", ["post type-post category-notices", "tag-alert", "category-legal", "tag-social", "comment-open", "entry has-sidebar"])
+def test_what_an_article_is_about_marks_nothing(name):
+    text = "The words of this text are here for a reader of it, and so they stay."
+    for element in ("article", "main"):
+        assert extraction.main_text(f'<nav><a href=x>m</a></nav><{element} class="{name}"><h1>Title</h1><p>{text}</p></{element}>') == f"Title\n{text}"
+    assert extraction.main_text(f'<article><p>{text}</p><article class="comment"><p>{text} Not.</p></article></article>') == text
+
+
+def test_pages_of_any_depth_take_linear_time():
+    deep = ("<div>x", "<head>", "<span class=ad>", "<li><td>", "</div>x", "<a>x", "<p><div><center>", "<article>x")
+    began = time.process_time()
+    for part in deep:
+        extraction.main_text(part * 50000)
+    extraction.main_text("<p><div>" + "<center>" * 50000 + "<p></p>" * 50000)
+    assert time.process_time() - began < 30
+
+
+def slow_labels(blocks: list) -> list[str]:
+    """The second pass by looking at all decided blocks each time."""
+    first, out = [extraction.first_pass(b)[0] for b in blocks], []
+    good, bad = extraction.GOOD, extraction.BAD
+    for i, b in enumerate(blocks):
+        seen = [j for j, x in enumerate(first) if x in (good, bad) and (not b.article or blocks[j].article == b.article)]
+        before, after = [j for j in seen if j < i], [j for j in seen if j > i]
+        sides = [first[x] for x in ([before[-1]] if before else []) + ([after[0]] if after else [])]
+        if first[i] in (good, bad):
+            out.append(first[i])
+        elif b.article:
+            out.append(bad if sides == [bad, bad] else good)
+        elif len(sides) < 2:
+            out.append(sides[0] if sides and first[i] == extraction.SHORT else good)
+        elif sides[0] == sides[1]:
+            keep = sides[0] == good or (first[i] == extraction.NEAR and len(b.text) > extraction.LONG)
+            out.append(good if keep else bad)
+        elif b.heading and sides[1] == good:
+            out.append(good)
+        elif i - before[-1] != after[0] - i:
+            out.append(sides[0] if i - before[-1] < after[0] - i else sides[1])
+        else:
+            out.append(good if first[i] == extraction.NEAR else bad)
+    return out
+
+
+def test_second_pass_against_a_slow_form():
+    r = random.Random(17)
+    prose_ = "The words of this paragraph are the words that a reader of the page came for. "
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(0, 40)):
+            text = r.choice(["short", "Xyz qwe " * 10, prose_, prose_ * 4, "Xyz qwe " * 40, "© 2020 x"])
+            blocks.append(extraction.Block(text, r.choice([0, 0, len(text)]), r.choice([0, 0, 1, 2]), r.random() < 0.2, r.random() < 0.2))
+        want = slow_labels(blocks)
+        assert [b.label for b in extraction.labelled(blocks)] == want
+
+
+def test_articles_of_random_pages_come_out_whole():
+    r = random.Random(18)
+    kinds = ["<p>{}</p>", "<li>{}</li>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<td>{}</td>", "<div><div>{}</div></div>", "<pre>{}</pre>"]
+    bad = ["<nav><ul><li><a href=x>{}</a></ul></nav>", '<div class="ad">{}</div>', "<aside>{}</aside>", "<footer><p>{}</footer>", "<form>{}</form>", '<section id="comments"><p>{}</section>', "<script>var a='</p>{}'</script>", "<header>{}</header>", "<!-- {} -->", '<div role="navigation">{}</div>']
+    for n in range(200):
+        words = iter(range(10**6))
+
+        def text(most: int) -> str:
+            return " ".join(f"{r.choice(['the', 'of', 'word', 'is', 'rare'])}{next(words) if r.random() < 0.3 else ''}" for _ in range(r.randint(1, most)))
+
+        inside = [(r.choice(kinds), text(60), True) if r.random() < 0.8 else (r.choice(bad[1:4] + bad[6:7]), text(40), False) for _ in range(r.randint(1, 12))]
+        outside = [r.choice(bad).format(text(40)) for _ in range(r.randint(0, 6))]
+        page = "".join(outside[:3]) + "<article>" + "".join(k.format(t) for k, t, _ in inside) + "</article>" + "".join(outside[3:])
+        assert extraction.main_text(page) == "\n".join(t for _, t, good in inside if good), n
+
+
 def test_long_runs_of_short_blocks_follow_their_neighbours():
     link = "<div><a href=a>one two three</a></div>"
     assert extraction.main_text(f"<body>{link}{'<p>Item</p>' * 600}{link}</body>") == ""
@@ -238,6 +336,75 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(before)
 
 
+def written(spark, path, docs, labels) -> str:
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path, labelled):
+    docs = spark.createDataFrame(messy(), SCHEMA)
+    rows = corpus_pipeline.run(spark, written(spark, tmp_path / "messy", docs, labelled[1])).collect()
+    by = Counter((r.sequence_id, r.offset) for r in rows)
+    assert rows and max(by.values()) == 1 and {r.doc_id for r in rows} <= {r[0] for r in messy()}
+    nothing, unlabelled = docs.limit(0), labelled[1].limit(0)
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "empty", nothing, unlabelled)).count() == 0
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "unlabelled", docs, unlabelled)).count() >= 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, labelled):
+    import public_tokenizers
+    from test_documents import brute_cut
+    from tokenizers import Tokenizer
+
+    from leafmill.llm import chunks, neardup
+
+    docs, labels, _ = labelled
+    held = [(r.doc_id, r.text) for r in docs.collect()]
+    r = random.Random(41)
+    plain = [labelled_text(r, False, False) for _ in range(19)]
+    more = [(600 + i, f"{t} the a stone") for i, (_, t) in enumerate(held[:40])] + [(700 + i, f"{plain[i]} {plain[18] * 2} {plain[9 + i]}") for i in range(9)]
+    rows = held + more
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    path = written(spark, tmp_path / "plain", table, labels)
+    stage = dict(corpus_pipeline.STAGES)
+
+    known = {r.doc_id: r for r in labels.collect()}
+    for name, model, label, keep in (("toxicity", toxicity.ToxicityModel, "toxic", lambda s: s < 0.3), ("quality classifier", quality.QualityModel, "quality", lambda s: s >= 0.7)):
+        there = [(d, t) for d, t in rows if d in known and zlib.crc32(str(d).encode()) % 4 != 2]
+        scores = model([(t, known[d][label]) for d, t in sorted(there)]).score([t for _, t in rows])
+        table = stage[name](spark, table, path).cache()
+        assert sorted(r.doc_id for r in table.collect()) == [d for (d, _), s in zip(rows, scores.tolist(), strict=True) if keep(s)], name
+        kept = {r.doc_id for r in table.collect()}
+        rows = [r for r in rows if r[0] in kept]
+
+    sets = {d: set(neardup.shingle_hashes(neardup.words_of(t.encode()), 5).tolist()) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    table = stage["SimHash near-dedup"](spark, table, path).cache()
+    assert sorted(r.doc_id for r in table.collect()) == sorted(d for d in label if label[d] == d) and len(table.collect()) < len(rows)
+
+    rows = [r for r in rows if label[r[0]] == r[0]]
+    want = brute_cut(rows)
+    table = stage["substring dedup"](spark, table, path).cache()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in table.collect()) == sorted((d, want[d, t], len(want[d, t])) for d, t in rows)
+    assert any(want[d, t] != t for d, t in rows) and chunks.MIN_WORDS == 20
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {d: len(tokenizer.encode(want[d, t], add_special_tokens=False).ids) + 1 for d, t in rows}
+    pieces = stage["best-fit packing"](spark, table, path).collect()
+    assert {d: sum(p.length for p in pieces if p.doc_id == d) for d in sizes} == sizes
+    fill: Counter = Counter()
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == fill[p.sequence_id]
+        fill[p.sequence_id] += p.length
+    assert max(fill.values()) <= 1024 and len(fill) <= 1 + -(-sum(sizes.values()) // 1024)
+
+
 @tables
 def test_queries_match_sql(spark):
     import duckdb
