@@ -29,8 +29,9 @@ ID_ITEMS, REFERENCE_ITEMS = 20, 30
 CHECKLIST = "Coverage checklist (for validation):\n"
 #: Fixed value: signs between the two languages of a bilingual text.
 SEPARATORS = "：:/／|｜"
-#: Pixels by which content may exceed its box, offending texts in a report, and clipped texts in a summary.
-TOLERANCE, MOST_TEXTS, SUMMARY_ITEMS = 1, 40, 3
+#: Pixels by which content may exceed its box, offending texts in a report, clipped texts in a summary, and characters of
+#: such a text that are shown.
+TOLERANCE, MOST_TEXTS, SUMMARY_ITEMS, SAMPLE = 1, 40, 3, 90
 
 
 def id_coverage(required: DataFrame, used: DataFrame, key: str) -> DataFrame:
@@ -261,15 +262,18 @@ def overflows(scroll: Column, client: Column) -> Column:
 def page_report(measured: DataFrame, extra: DataFrame) -> DataFrame:
     """page, ok, overflow, clipped (arrays), extra and summary (empty if ok) of measured pages and elements.
 
-    measured: page, kind ("page" or "element"), ref, tag and cls (either may be lacking), scroll_w, client_w, scroll_h, client_h, text;
-    extra: page, extra. Clipped elements stand in order of the height by which they exceed their box, the largest first."""
-    for column in ("tag", "cls"):
+    measured: page, kind ("page" or "element"), ref, tag, cls, overflow_x and overflow_y (each may be lacking), scroll_w, client_w, scroll_h,
+    client_h, text; extra: page, extra. Clipped elements are such as have a text and a size and don't show what exceeds them; they stand
+    in order of the height by which they exceed their box, the largest first, with the first 90 characters of their text."""
+    for column in ("tag", "cls", "overflow_x", "overflow_y"):
         if column not in measured.columns:
             measured = measured.withColumn(column, F.lit(None).cast("string"))
     out = overflows(F.col("scroll_w"), F.col("client_w")) | overflows(F.col("scroll_h"), F.col("client_h"))
     sizes = [F.col(c) for c in ("scroll_h", "client_h", "scroll_w", "client_w")]
-    element = F.struct((F.col("client_h") - F.col("scroll_h")).alias("o"), "ref", "tag", "cls", *sizes)
-    clipped = (F.col("kind") == "element") & out & (F.length(text.strip(F.coalesce("text", F.lit("")))) > 0)
+    shown = text.strip(F.coalesce("text", F.lit("")))
+    element = F.struct((F.col("client_h") - F.col("scroll_h")).alias("o"), "ref", "tag", "cls", *sizes, F.substring(shown, 1, SAMPLE).alias("text"))
+    hides = (F.coalesce("overflow_x", F.lit("hidden")) != "visible") | (F.coalesce("overflow_y", F.lit("hidden")) != "visible")
+    clipped = (F.col("kind") == "element") & out & hides & (F.col("client_h") > 0) & (F.col("client_w") > 0) & (F.length(shown) > 0)
     agg = measured.groupBy("page").agg(
         F.array_sort(F.collect_list(F.when((F.col("kind") == "page") & out, F.struct("ref", *sizes)))).alias("overflow"),
         F.transform(F.array_sort(F.collect_list(F.when(clipped, element))), lambda s: s.dropFields("o")).alias("clipped"),

@@ -9,7 +9,7 @@ twice asks the same thing.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -63,22 +63,30 @@ def system_prompt(images: Column, with_images: str, without: str) -> Column:
     return F.when(F.coalesce(images, F.lit(0)) > 0, F.lit(with_images)).otherwise(F.lit(without))
 
 
-def answers(asked: DataFrame, key: str, function: Callable[[str], str], retries: Retries = Retries(), parallel: int = 3) -> DataFrame:
-    """key, request_hash, answer and error: one call per row, in ``parallel`` tasks. A failure is a row with an error."""
+def answers(asked: DataFrame, key: str, function: Callable[..., str], retries: Retries = Retries(), parallel: int = 3, attachments: Sequence[str] = ()) -> DataFrame:
+    """key, request_hash, answer and error: one call per row, in ``parallel`` tasks. A failure is a row with an error.
+
+    attachments: columns (a page's picture as binary, say) that the function gets after the request."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, h, request in zip(b[key], b["request_hash"], b["request"], strict=True):
+            for k, h, request, *others in zip(b[key], b["request_hash"], b["request"], *(b[c] for c in attachments), strict=True):
                 try:
-                    rows.append((k, h, retries.call(function, request), None))
+                    rows.append((k, h, retries.call(lambda text, others=others: function(text, *others), request), None))
                 except Exception as error:  # one page's failure leaves the others
                     rows.append((k, h, None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=[key, "request_hash", "answer", "error"])
 
     kind = dict(asked.dtypes)[key]
     ship(asked.sparkSession)
-    return asked.select(key, "request_hash", "request").repartition(parallel).mapInPandas(run, f"{key} {kind}, request_hash string, answer string, error string")
+    return asked.select(key, "request_hash", "request", *attachments).repartition(parallel).mapInPandas(run, f"{key} {kind}, request_hash string, answer string, error string")
+
+
+def changed_pages(pages: DataFrame, before: DataFrame, key: str, content: str) -> DataFrame:
+    """The pages whose content isn't what it was before: the next round measures these only."""
+    same = before.select(key, F.sha2(content, 256).alias("_was"))
+    return pages.join(same, (pages[key] == same[key]) & (F.sha2(pages[content], 256) == F.col("_was")), "left_anti")
 
 
 def repaired(asked: DataFrame, key: str, function: Callable[[str], str], problem: Column, store: Callable[[DataFrame], DataFrame], rounds: int = 2, retries: Retries = Retries(), dry_run: bool = False) -> DataFrame:

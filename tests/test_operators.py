@@ -83,6 +83,21 @@ def test_checked_answers(spark):
         df.select(validate.checked_answer(F.col("a")).alias("x")).collect()
 
 
+def test_attachments_and_changes(spark):
+    asked = spark.createDataFrame([(1, "h", "ask", b"png"), (2, "i", "ask", None)], "page long, request_hash string, request string, picture binary")
+    got = external.answers(asked, "page", lambda text, picture: f"{text} {len(picture)}", attachments=["picture"]).collect()
+    assert sorted((r.page, r.answer, bool(r.error)) for r in got) == [(1, "ask 3", False), (2, None, True)]
+    now, before = (spark.createDataFrame(rows, "page long, html string") for rows in ([(1, "a"), (2, "b"), (3, "c")], [(1, "a"), (2, "x")]))
+    assert sorted(r.page for r in external.changed_pages(now, before, "page", "html").collect()) == [2, 3]
+
+
+def test_clipped_elements(spark):
+    schema = "page long, kind string, ref string, scroll_w long, client_w long, scroll_h long, client_h long, text string, overflow_x string, overflow_y string"
+    rows = [(1, "element", r, 9, 5, 9, h, "x " * 80, x, y) for r, h, x, y in (("a", 5, "hidden", "visible"), ("b", 5, "visible", "visible"), ("c", 0, "auto", "auto"), ("d", 5, None, None))]
+    report = validate.page_report(spark.createDataFrame(rows, schema), spark.createDataFrame([], "page long, extra array<string>")).first()
+    assert [c.ref for c in report.clipped] == ["a", "d"] and len(report.clipped[0].text) == 90 and not report.ok
+
+
 def test_containing_in_blocks(spark):
     texts = spark.createDataFrame([(1, "the cat sat"), (2, None), (3, ""), (1, "a b"), (4, "catcat")], "text_id long, text string")
     passages = spark.createDataFrame([(1, "cat"), (2, "at s"), (3, ""), (4, None), (5, "a"), (6, "cat")], "passage_id long, passage string")
