@@ -51,9 +51,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset in local mode (tests), below a temporary folder. On a cluster, whose
+    executors share no such folder, the setting must be there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="leafmill-")
         atexit.register(shutil.rmtree, base, True)
         base = f"file://{base}"
@@ -78,21 +81,30 @@ def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, spread: list[Column], buckets: int, small: bool) -> DataFrame:
-    """Add ``out``, a gapless rank from 0 within each group.
+#: Rows of a rank's bucket, about.
+RANK_ROWS = 1 << 20
 
-    A group is dealt to ``buckets`` tasks by the hash of ``spread``; ranks within a bucket are shifted by
-    the rows of the buckets before it, so no group has to fit in one task. small: groups times buckets
-    is bounded by construction, so the shifts may be broadcast. df is read twice; pass a staged one.
+
+def salted(df: DataFrame) -> DataFrame:
+    """df with a number of its own for each row, ``_salt``, written with it: rows that are alike get apart, and a second read finds the same."""
+    return stage(df.withColumn("_salt", F.monotonically_increasing_id()))
+
+
+def ranked(df: DataFrame, group: list[str], out: str, buckets: int | Column, small: bool) -> DataFrame:
+    """df without ``_salt`` and with ``out``, a gapless rank from 0 within each group.
+
+    A group is dealt to ``buckets`` tasks by the rows' ``_salt``; ranks within a bucket are shifted by
+    the rows of the buckets before it, so no group has to fit in one task, nor many rows that are alike. small: the buckets of all
+    groups are few by construction, so the shifts may be broadcast. df is read twice; pass one that is ``salted``.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64("_salt"), buckets if isinstance(buckets, Column) else F.lit(buckets)))
     counts = dealt.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    within = Window.partitionBy(*group, "_bucket").orderBy("_salt")
     rows = dealt.withColumn("_rank", F.row_number().over(within) - F.lit(1))
     joined = rows.join(F.broadcast(shifts) if small else shifts, [*group, "_bucket"])
-    return joined.withColumn(out, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_bucket", "_rank", "_shift")
+    return joined.withColumn(out, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_bucket", "_rank", "_shift", "_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

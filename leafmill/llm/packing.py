@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, ship, stage, table
+from .common import RANK_ROWS, ranked, salted, ship, table
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -220,12 +220,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
 
     spark = docs.sparkSession
     ship(spark)
-    rows = stage(tokenized(docs, path or public_tokenizers.path("byte_bpe_50k.json"), capacity, end))
+    rows = salted(tokenized(docs, path or public_tokenizers.path("byte_bpe_50k.json"), capacity, end))
     whole = rows.where(F.col("length") == capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = rows.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}  # fewer rows than capacity
     runs = spark.createDataFrame(places(pack(histogram, capacity)), "length long, _first long, _count long, _sequence long, _each long, _offset long")
-    part = ranked(part, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_place", [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], 64, small=True)
+    buckets = F.array(*(F.lit(max(8, histogram.get(length, 0) // RANK_ROWS)) for length in range(capacity)))  # a common length has more
+    part = ranked(part, ["length"], "_place", F.get(buckets, F.col("length").cast("int")), small=True)
     # The runs are as many as lengths in patterns: bounded by the capacity, not by the corpus.
     at = F.col("_place") - F.col("_first")
     part = part.join(F.broadcast(runs), "length").where((at >= 0) & (at < F.col("_count")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, stage, table
+from .common import RANK_ROWS, ranked, salted, stage, table
 
 
 class RemainingTree:
@@ -181,8 +181,8 @@ def shard_groups(rows: DataFrame, size: str, group: str, shards: int | None = No
     twice; pass a staged one. A null group is one group of its own; no rows give no rows. A group beyond the
     capacity is an error, as it can't be divided."""
     spark = rows.sparkSession
-    groups = stage(rows.groupBy(F.col(group).alias("_group")).agg(F.sum(size).cast("long").alias("_weight")))
-    groups = ranked(groups, ["_weight"], ["_group"], "_place", [F.col("_group")], 16, small=False)
+    groups = salted(rows.groupBy(F.col(group).alias("_group")).agg(F.sum(size).cast("long").alias("_weight")))
+    groups = ranked(groups, ["_weight"], "_place", max(16, groups.count() // RANK_ROWS), small=False)
     counted = groups.groupBy("_weight").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = [(r["_weight"], r["n"]) for r in counted]
     _, runs = level(histogram, shards) if shards else best_fit_decreasing(histogram, capacity)
@@ -196,7 +196,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Equal texts share a shard. A null text counts as an empty one: size 1, crc 0, and the same group. Repeated rows
-    and doc_ids keep a row each; their slots follow (doc_id, crc). Columns but doc_id and text are not read.
+    and doc_ids keep a row and a slot each. Columns but doc_id and text are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = stage(
@@ -207,8 +207,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
             F.unhex(F.sha2(text, 256)).alias("digest"),
         )
     )
-    placed = stage(shard_groups(base, "size", "digest", shards=shards).drop("digest"))
-    slots = ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", [F.col("doc_id"), F.col("text_crc32")], 256, small=True)
+    placed = salted(shard_groups(base, "size", "digest", shards=shards).drop("digest"))
+    slots = ranked(placed, ["shard"], "slot", max(256, base.count() // RANK_ROWS), small=True)
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
