@@ -24,7 +24,7 @@ from .common import hidden, ship, stage, table
 #: Mean bytes between boundaries; bytes without a word's end after which a boundary falls inside a word; words that a passage
 #: must repeat to be cut out.
 MEAN_BYTES, LONGEST_WORD, MIN_WORDS = 20, 256, 20
-BLOCK_CHUNKS, BUCKET_CHUNKS = 1 << 20, 1 << 21
+BLOCK_CHUNKS, BUCKET_CHUNKS = 1 << 20, 1 << 19
 
 
 def gear(seed: int = 0x5EED) -> np.ndarray:
@@ -259,7 +259,7 @@ def repeated_windows(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = M
     docs: (doc_id, row_key, text), texts not empty. Null doc_ids come first. Rows of one row_key are one document: of their results the
     one with the fewest repeats holds."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, blocks = max(32, total // mean // BUCKET_CHUNKS), max(32, total // mean // BLOCK_CHUNKS)
+    buckets, blocks = max(8, total // mean // BUCKET_CHUNKS), max(8, total // mean // BLOCK_CHUNKS)
     rows = stage(blocks_of_chunks(docs, mean, buckets, min_words))
     digests_ = rows.where("bucket is not null").select("bucket", "block", "digests", "checks", "docs", "ties", "indexes")
     # A bucket is a task's whole input, and the number of buckets and blocks grows with the table, so tasks don't.
