@@ -23,7 +23,9 @@ from .common import ship, stage, table
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 #: Tasks among which the row blocks of a query block are divided.
 SPREAD = 8
-PIVOTS, PREFIX, RERANK = 256, 32, 0.25
+PIVOTS, PREFIX, RERANK = 256, 32, 0.3
+#: Rows of a range that are ranked again at least: in few rows, orders tell less.
+LEAST_RERANKED = 1024
 #: Rows are ranked by angle among such as have norms within this factor.
 NORM_STEP = 1.1
 
@@ -208,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
     Both are (vec_id, v) as valid_vectors gives them. ``pivots`` vectors (those of the smallest id hashes: a bounded sample) order
     every row by its ``prefix`` nearest pivots. A row block's inverted files post its rows under their pivots; a query's
     lists add up the footrule distance to its own order. Orders tell angles only, so of every range of norms in the block the
-    ``rerank`` share that is nearest by it, and never fewer than 4 k rows, is ranked again by inner products in
+    ``rerank`` share that is nearest by it, and never fewer than LEAST_RERANKED or 4 k rows, is ranked again by inner products in
     double precision; a range is left out where its norms can't lift a row to the k-th best score. Repeated ids are rows of
     their own. A query of another dimension than a row doesn't find it.
     """
@@ -228,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
     def score(row: dict, ids: np.ndarray, data: np.ndarray, asked_data: np.ndarray, best: Best) -> None:
         own = by_dims.get(data.shape[1])
         ranges = norm_ranges(norms(data.astype(np.float64)))
-        keeps = [len(rows) if own is None else min(len(rows), max(4 * k, int(np.ceil(rerank * len(rows))))) for _, rows in ranges]
+        keeps = [len(rows) if own is None else min(len(rows), max(LEAST_RERANKED, 4 * k, int(np.ceil(rerank * len(rows))))) for _, rows in ranges]
         lengths = norms(asked_data)
         if own is not None:
             post_rows, post_left, starts = inverted(np.frombuffer(row["orders"], "<u2").reshape(len(ids), -1), len(own))

@@ -176,6 +176,7 @@ def test_maxscore_of_any_size(spark):
 
 def test_permutation_index(embeddings, spark, monkeypatch):
     monkeypatch.setattr(vectors, "ROW_BLOCK", 256)
+    monkeypatch.setattr(vectors, "LEAST_RERANKED", 96)
     df, rows = embeddings
     v = vectors.valid_vectors(df, zero=False)
     found: dict = {}
