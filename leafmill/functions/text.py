@@ -261,6 +261,13 @@ def parsed_object(raw: Column, schema: str) -> Column:
     return F.from_json(unfenced(raw), schema, {"mode": "PERMISSIVE"})
 
 
+def objects_of(raw: Column, path: str, schema: str) -> Column:
+    """The objects of the array that JSON text holds at a path ("$.pages"), by schema; what isn't an object goes. Null without an array."""
+    parts = F.try_variant_get(F.try_parse_json(raw), path, "array<variant>")
+    objects = F.filter(parts, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+    return F.transform(objects, lambda v: F.from_json(F.to_json(v), schema))
+
+
 def page_between_markers(html: Column) -> Column:
     """The markup between the first page markers, or null."""
     return present(strip(F.regexp_extract(html, r"(?is)<!--\s*PAGE_START\s*-->(.*?)<!--\s*PAGE_END\s*-->", 1)))

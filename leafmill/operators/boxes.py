@@ -115,6 +115,13 @@ def style_dictionary(spans: DataFrame, style: Column, order: list[str]) -> tuple
     return keyed.join(names, ["doc_id", "_style"], "left").drop("_style"), names.withColumnRenamed("_style", "style")
 
 
+def distinct_faces(fonts: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """fonts with family, weight and style of their names, the first of each three in order."""
+    rows = fonts.withColumn("_face", text.font_face(F.col(name))).where("_face is not null")
+    first = first_of_equal(rows, [F.col("_face")], order)
+    return first.select(*fonts.columns, "_face.family", "_face.weight", "_face.style")
+
+
 def content_addressed(rows: DataFrame, content: Column, extension: Column, order: list[str]) -> DataFrame:
     """One row per distinct content: ``name`` (sixteen hexadecimal digits of its SHA-1 and the extension), copies, and the first row's
     order columns."""

@@ -87,6 +87,11 @@ FOUND = {
             text.unfenced,
         ),
         ("object_cases", [('{"a": 7}', 7), ('```json\n{"a": 8}\n```', 8), ("nope", None), ('{"b": 1}', None)], lambda c: text.parsed_object(c, "a long")["a"]),
+        (
+            "record_cases",
+            [('{"pages": [{"id": "a"}, 3, "x", null, {"id": "b", "n": 1}, [1]]}', "a,b"), ('{"pages": []}', ""), ('{"pages": {"id": "a"}}', None), ("[", None)],
+            lambda c: F.array_join(F.transform(text.objects_of(c, "$.pages", "id string"), lambda o: o["id"]), ","),
+        ),
         ("marker_cases", [(f"x {_START} <div>y</div> {_END} z {_START}2{_END}", "<div>y</div>"), (f"{_START}only", None), ("", None), ("<!--page_start-->a<!-- page_end -->", "a")], text.page_between_markers),
         (
             "background_cases",

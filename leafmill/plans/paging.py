@@ -235,6 +235,18 @@ FROM part, (VALUES ('ts1'), ('ts2')) AS v(ts)
 """
 
 
+def distinct_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first part of each brand and of each of three weights that its number stands for."""
+    end = F.get(F.array(*map(F.lit, ("-Bold", " bold", "-Thin"))), F.col("p_partkey").cast("int") % 3)
+    found = boxes.distinct_faces(tables.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", end).alias("name")), "name", ["p_partkey"])
+    return found.select("p_partkey", "family", F.col("weight").cast("long").alias("weight"), "style")
+
+
+DISTINCT_FONTS_SQL = """
+SELECT min(p_partkey) AS p_partkey, p_brand AS family, CAST(CASE WHEN p_partkey % 3 = 2 THEN 100 ELSE 700 END AS BIGINT) AS weight, 'normal' AS style FROM part GROUP BY 2, 3
+"""
+
+
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of orders as lines of named containers, of which each page has some only: how many are in one and how many float."""
     rows = derived_boxes(spark, sf_dir).select("page_id", F.concat(F.lit("c"), (F.col("ord") % 4).cast("string")).alias("container"))
@@ -314,7 +326,7 @@ NOTES_SQL = r"SELECT page_id AS page, url, md5(regexp_replace(text, '^[\s\p{Z}]+
 
 
 QUERIES = (
-    page_plan, page_images, container_scan, image_scan, allowed_text, page_divs, best_markup, style_sheet, container_lines, result_folders, current_states, queued_states, page_manifest, notes_of_pages,
+    page_plan, page_images, container_scan, image_scan, allowed_text, page_divs, best_markup, style_sheet, distinct_fonts, container_lines, result_folders, current_states, queued_states, page_manifest, notes_of_pages,
 )
 
 
@@ -334,6 +346,7 @@ def oracle_sql() -> dict[str, str]:
         "page_divs": PAGE_DIVS_SQL,
         "best_markup": BEST_MARKUP_SQL,
         "style_sheet": STYLE_SHEET_SQL,
+        "distinct_fonts": DISTINCT_FONTS_SQL,
         "container_lines": CONTAINER_LINES_SQL,
         "result_folders": RESULT_FOLDERS_SQL,
         "current_states": CURRENT_STATES_SQL,

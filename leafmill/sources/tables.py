@@ -304,8 +304,11 @@ def write_pages(df: DataFrame, path: str, page: str = "page") -> None:
 
 
 def boxes(lineitem: DataFrame) -> DataFrame:
-    """Boxes on pages of 960 by 540: page_id, ord, x, y, w, h, fill, one per order and line number."""
-    return lineitem.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord")).agg(
+    """Boxes on pages of 960 by 540: page_id, ord, x, y, w, h, fill, one per order and line number.
+
+    Rows are dealt by page once; grouping, windows and joins that have the page among their keys need no further shuffle."""
+    used = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    return used.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ord")).agg(
         ((F.min("l_partkey") * 37) % 700).cast("double").alias("x"),
         ((F.min("l_suppkey") * 53) % 400).cast("double").alias("y"),
         (12 + F.max("l_quantity") * 8).alias("w"),
