@@ -277,8 +277,11 @@ def whole_components(vectors: DataFrame) -> DataFrame:
 
 #: Components above this are scored one by one: products of any two up to it, added up over 2**13 dimensions, are exact in doubles.
 LARGE = 2.0**20
-#: A share of non-essential terms below which leaving them out saves less than traversing postings for many queries at once, and how many.
-FEW, STEP = 0.25, 256
+#: A share of non-essential terms below which traversing the postings for many queries at once costs less than leaving them out for each,
+#: and how many; and a share of competitive rows above which probing them one by one costs more than traversing the other postings.
+MANY, STEP, CROWDED = 0.95, 256, 0.03
+#: Rows that are probed in all their other terms at once.
+FEW_ROWS = 128
 MOST_LONG = (1 << 63) - 1
 
 
@@ -320,12 +323,35 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
         small = reach * widest.max(where=usual, initial=0.0) * data.shape[1] < 2**24
         kind = np.float32 if small else np.float64  # sums of these sizes are exact
         postings = np.ascontiguousarray(data.T.astype(kind)) if usual.any() else None
-        together = []
+        together: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def probed(i: int, rows: np.ndarray, sums: np.ndarray, others: np.ndarray, ends: np.ndarray) -> None:
+            """Add to the best of query i what stays competitive among the rows, whose sums lack the terms of others."""
+            held, query, above = best.threshold(i), asked_data[i].astype(kind), float(ends[1][others].sum())
+            while len(others):
+                kept = np.flatnonzero(sums + above >= held)
+                rows, sums = rows[kept], sums[kept]
+                if not len(rows):
+                    return
+                some = len(others) if len(rows) <= FEW_ROWS else probe
+                take, others = others[-some:], others[:-some]
+                above -= float(ends[1][take].sum())
+                sums = sums + query[take] @ postings[np.ix_(take, rows)]
+            best.add(i, *best_of(ids[rows], sums, held))
+
+        def traversed(some: list[tuple[int, np.ndarray, np.ndarray]], essential: bool) -> np.ndarray:
+            """(queries, rows): sums of the essential terms, or of the others. Postings are read once for many queries; a term that is left
+            out weighs nothing."""
+            weights = asked_data[[i for i, _, _ in some]].astype(kind)
+            for own, (_, others, _) in zip(weights, some, strict=True):
+                own[others if essential else np.setdiff1d(np.arange(len(own)), others)] = 0
+            return weights @ postings
+
+        every = np.arange(len(ids))
         for i, q in enumerate(asked_data):
             held = best.threshold(i)
             if not usual[i]:
-                sums = exact_scores(data.astype(np.float64), q)
-                best.add(i, *best_of(ids, sums, held))
+                best.add(i, *best_of(ids, exact_scores(data.astype(np.float64), q), held))
                 continue
             ends = np.sort(np.stack([q * least, q * most]), axis=0)
             missing = -1.0 if held is None else float(held) - ends[0].sum()
@@ -334,26 +360,22 @@ def top_scores(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
             split = int(np.searchsorted(np.cumsum(span[order]), missing, side="left")) if missing > 0 else 0  # bounds of the terms up to this one
             if split == len(q):
                 continue  # not even all terms lift a row to the k-th best
-            if split < FEW * len(q):
-                together.append(i)
-                continue
-            essential, others, query = order[split:], order[:split], q.astype(kind)
-            sums, rows = query[essential] @ postings[essential], np.arange(len(ids))
-            below = float(ends[0][others].sum())
-            while len(others):
-                kept = np.flatnonzero(sums + (below + float(span[others].sum())) >= held)
-                rows, sums = rows[kept], sums[kept]
-                if not len(rows):
-                    break
-                take, others = others[-probe:], others[:-probe]
-                below -= float(ends[0][take].sum())
-                sums = sums + query[take] @ postings[np.ix_(take, rows)]
-            best.add(i, *best_of(ids[rows], sums, held))
-        for a in range(0, len(together), STEP):  # all terms of these are essential, so their postings are traversed once for many
-            some = together[a : a + STEP]
-            sums = asked_data[some].astype(kind) @ postings
-            for i, own in zip(some, sums, strict=True):
-                best.add(i, *best_of(ids, own, best.threshold(i)))
+            if split < MANY * len(q):
+                together.append((i, order[:split], ends))
+            else:
+                essential = order[split:]
+                probed(i, every, q.astype(kind)[essential] @ postings[essential], order[:split], ends)
+        for a in range(0, len(together), STEP):
+            crowded = []
+            for sums, (i, others, ends) in zip(traversed(together[a : a + STEP], True), together[a : a + STEP], strict=True):
+                alive = np.flatnonzero(sums + float(ends[1][others].sum()) >= best.threshold(i)) if len(others) else every
+                if len(others) and len(alive) > CROWDED * len(ids):
+                    crowded.append(((i, others, ends), alive, sums))
+                else:
+                    probed(i, alive, sums[alive], others, ends)
+            if crowded:  # so many rows stay competitive that their other terms are traversed as well
+                for rest, ((i, _, _), alive, sums) in zip(traversed([c[0] for c in crowded], False), crowded, strict=True):
+                    best.add(i, *best_of(ids[alive], (sums + rest)[alive], best.threshold(i)))
 
     def best_of(ids: np.ndarray, sums: np.ndarray, held) -> tuple[np.ndarray, np.ndarray]:
         """The rows among which the k best are, itself perhaps one more."""
