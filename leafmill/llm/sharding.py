@@ -157,13 +157,13 @@ def level(histogram: list[tuple[int, int]], shards: int) -> tuple[int, list[tupl
     items, bins = list(rest.items()), shards - first
     total = sum(s * n for s, n in items)
     low = max(-(-total // bins), max(rest))
-    high, found = low + max(rest), None
+    high, found = low, None  # with many small groups, the least that could do does
     while found is None:
         used, got = best_fit_decreasing(items, high)
         if used <= bins:
             found = used, got
         else:
-            high += max(rest)
+            low, high = high + 1, high + max(rest)
     while low < high:
         half = (low + high) // 2
         used, got = best_fit_decreasing(items, half)

@@ -250,7 +250,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = P
                 near = np.concatenate([rows if keep == len(rows) else rows[np.argpartition(-saved[rows], keep - 1)[:keep]] for (_, rows), keep in ((ranges[n], keeps[n]) for n in reach)])
             elif len(reach) < len(ranges):
                 near = np.concatenate([ranges[n][1] for n in reach])
-            candidates = data[near].astype(np.float64)
+            candidates = np.take(data, near, axis=0).astype(np.float64)
             rough = candidates @ q
             least = np.partition(rough, -k - 1)[-k - 1] if len(rough) > k + 1 else -np.inf
             if held is not None:
