@@ -25,6 +25,8 @@ ROUNDS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2, 5, 150, 64, 0.01
 THRESHOLD = 0.3
 #: Windows scored at a time.
 STEP = 8192
+#: Words whose stems are kept.
+KEPT = 200_000
 TOKEN = re.compile(r"\w+")
 PAD, UNKNOWN = 0, 1
 
@@ -113,6 +115,7 @@ class ToxicityModel:
         parts.sort(key=lambda f: (-f[1], f[0]))  # of a word's, the first is taken
         self.numbers = {w: i + 2 for i, (w, _) in enumerate(known)}
         self.stems = {x: i + 1 for i, (x, _) in enumerate(parts)}
+        self.kept: dict[str, int] = {}
         embedding, stem = random.normal(0, 0.1, (len(known) + 2, WORD_SIZE)), random.normal(0, 0.1, (len(parts) + 1, STEM_SIZE))
         embedding[:2] = stem[0] = 0
         embedding[2:, 0], stem[1:, 0] = [x / 2 for _, x in known], [x / 2 for _, x in parts]
@@ -128,14 +131,22 @@ class ToxicityModel:
         self.weights = {k: v.astype(np.float32) for k, v in w.items()}
         if many and few:
             self.fit(words, Windows(documents), labels, random, dict(known), [x for _, x in parts])
+            self.kept = {}
         self.share = float(labels.mean()) if len(labels) else 0.0
         self.trained = bool(many and few)
 
     # -- forward
 
     def stem(self, word: str) -> int:
-        get = self.stems.get
-        return min([get(x, len(self.stems) + 1) for x in stems(word)]) % (len(self.stems) + 1)
+        """The number of the word's most telling stem, 0 without one; words met lately are kept."""
+        found = self.kept.get(word)
+        if found is None:
+            get, none, edged = self.stems.get, len(self.stems) + 1, f"<{word}>"
+            found = min(get(edged[:5], none), get(edged[:6], none), get(edged[:7], none), get(edged[:8], none), get(edged[-5:], none), get(edged[-6:], none), get(edged[-7:], none), get(edged[-8:], none)) % none
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[word] = found
+        return found
 
     def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word rows, stem rows, trigram rows, trigram starts and their end) of words."""
