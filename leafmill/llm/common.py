@@ -7,47 +7,24 @@ executor costs no lineage, and they may be deleted once the job's result is writ
 from __future__ import annotations
 
 import atexit
-import io
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PACKAGE = __name__.rpartition(".")[0]
+from leafmill.sources import shipping
+
 #: Rows of a table in one Arrow batch. Documents may be a megabyte each, so batches are kept short.
 BATCH_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context, and keep Arrow batches short."""
-    context = spark.sparkContext
+    """Send the package to the executors, and keep Arrow batches of this session short, unless their size was set."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if getattr(context, "_leafmill_shipped", False):
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    top = PACKAGE.split(".")
-    root = here
-    for _ in top:
-        root = os.path.dirname(root)
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as out:
-        for depth in range(1, len(top)):
-            out.write(os.path.join(root, *top[:depth], "__init__.py"), "/".join([*top[:depth], "__init__.py"]))
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                out.write(os.path.join(here, name), "/".join([*top, name]))
-    folder = tempfile.mkdtemp(prefix="leafmill-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "leafmill_llm.zip")
-    with open(path, "wb") as out:
-        out.write(held.getvalue())
-    context.addPyFile(path)
-    context._leafmill_shipped = True
+    shipping.ship(spark)
 
 
 def scratch(spark: SparkSession) -> str:
