@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -280,6 +281,33 @@ def page_markup(answers: DataFrame, key: str, raw: str) -> DataFrame:
     return answers.select(key, raw).mapInPandas(run, f"{key} {kind}, block string")
 
 
+def write_files(files: DataFrame, folder: str, keep: bool = False) -> None:
+    """Write files (name, content as binary) below a folder that all executors share, given as a URI or a path: pictures, page chunks, image
+    texts. A file is written beside its place and moved there, so a task that runs again leaves no half file. keep: what is there stays.
+    Names that lead out of the folder are an error; a null content is an empty file."""
+    unsafe = F.raise_error(F.concat(F.lit("not below the folder: "), "name")).cast("string")
+    named = files.select(F.when(text.safe_relative_path(F.col("name")), F.col("name")).otherwise(unsafe).alias("name"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                path = f"{base.rstrip('/')}/{name}"
+                if keep and system.get_file_info(path).type != fs.FileType.NotFound:
+                    continue
+                system.create_dir(posixpath.dirname(path), recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content or b"")
+                system.move(part, path)
+            yield b[["name"]]
+
+    ship(files.sparkSession)
+    named.mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a row; text isn't escaped beyond what JSON asks for, and null fields are written."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -83,6 +83,16 @@ def test_checked_answers(spark):
         df.select(validate.checked_answer(F.col("a")).alias("x")).collect()
 
 
+def test_files_are_written(spark, tmp_path):
+    files = spark.createDataFrame([("a.png", b"one"), ("page1/00.png", b"two"), ("none", None)], "name string, content binary")
+    tables.write_files(files, f"file://{tmp_path}/out")
+    assert {str(f.relative_to(tmp_path / "out")): f.read_bytes() for f in (tmp_path / "out").rglob("*") if f.is_file()} == {"a.png": b"one", "page1/00.png": b"two", "none": b""}
+    tables.write_files(files.withColumn("content", F.encode(F.lit("new"), "UTF-8")), str(tmp_path / "out"), keep=True)
+    assert (tmp_path / "out" / "a.png").read_bytes() == b"one"
+    with pytest.raises(Exception, match="not below"):
+        tables.write_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), str(tmp_path / "out"))
+
+
 def test_attachments_and_changes(spark):
     asked = spark.createDataFrame([(1, "h", "ask", b"png"), (2, "i", "ask", None)], "page long, request_hash string, request string, picture binary")
     got = external.answers(asked, "page", lambda text, picture: f"{text} {len(picture)}", attachments=["picture"]).collect()
