@@ -194,7 +194,8 @@ def test_permutation_index(embeddings, spark, monkeypatch):
 
 
 @pytest.mark.parametrize("every,factor", [(100, 20.0), (2000, 1e9), (1, None)])
-def test_permutation_index_of_uneven_norms(spark, every, factor):
+def test_permutation_index_of_uneven_norms(spark, monkeypatch, every, factor):
+    monkeypatch.setattr(vectors, "LEAST_RERANKED", 256)
     r = np.random.default_rng(9)
     data = r.normal(0, 1, (2000, 64))
     data /= np.sqrt((data * data).sum(axis=1, keepdims=True))
