@@ -138,7 +138,7 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
             block += 1
             held.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
             ids = np.array([-(1 << 63) if x[0] is None else x[0] for x in held], np.int64)
-            ties = np.array([int.from_bytes(x[1][:8], "big") for x in held], np.uint64)
+            ties = np.array([int.from_bytes(x[1][:4], "big") for x in held], "<u4")
             sizes = np.array([len(x[2]) for x in held])
             starts = np.cumsum(sizes) - sizes
             found, checks, doc = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), np.repeat(np.arange(len(held)), sizes)
@@ -215,7 +215,7 @@ def _numbers(parts: list[bytes], kind: str) -> np.ndarray:
 def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, indexes, firsts): of a bucket's digests that several blocks have, all places but the first."""
     for rows in _groups(batches):
-        found, checks, doc, tie, index = (_numbers([r[k] for r in rows], kind) for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<i8"), (5, "<u8"), (6, "<i4")))
+        found, checks, doc, tie, index = (_numbers([r[k] for r in rows], kind) for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<i8"), (5, "<u4"), (6, "<i4")))
         block = np.repeat(np.array([r[1] for r in rows]), [len(r[6]) // 4 for r in rows])
         order = np.argsort(found, kind="stable")
         new = changes(found[order])
