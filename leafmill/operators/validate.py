@@ -170,10 +170,11 @@ def coverage_appendix(notes: Column, required: Column) -> Column:
     return F.when(F.size(uncovered_references(required, notes)) > 0, F.concat(above, F.lit(CHECKLIST), listed)).otherwise(notes)
 
 
-def allowed_fragment(fragment: str, pool: str, squeezed: str) -> bool:
+def allowed_fragment(fragment: str, pool: str, squeezed: str, sign: str | None = None) -> bool:
     """Whether a fragment stands in the allowed text: as it is; without white space and case; without leading bullets; or, of a bilingual
     one, both sides of the first colon, slash or bar of any kind. A colon belongs to what it ends. squeezed: the pool without
-    white space, in lower case."""
+    white space, in lower case. sign: what parts the two languages, where that is known (empty: there is one language only); no
+    other sign does then, nor any within a side."""
     import re
 
     def stands(t: str) -> bool:
@@ -185,9 +186,10 @@ def allowed_fragment(fragment: str, pool: str, squeezed: str) -> bool:
         return True
     if not re.search("[一-鿿]", t) or not re.search("[A-Za-z]", t):
         return False
-    for at in sorted({t.find(sign) for sign in SEPARATORS} - {-1}):
+    within = None if sign is None else ""
+    for at in sorted({t.find(s) for s in (SEPARATORS if sign is None else sign)} - {-1}):
         left, right = t[:at].strip(), t[at + 1 :].strip()
-        if left and right and allowed_fragment(left + t[at] * (t[at] in "：:"), pool, squeezed) and allowed_fragment(right, pool, squeezed):
+        if left and right and allowed_fragment(left + t[at] * (t[at] in "：:"), pool, squeezed, within) and allowed_fragment(right, pool, squeezed, within):
             return True
     return False
 
@@ -196,7 +198,7 @@ def extra_text(fragments: DataFrame, pools: DataFrame, page: str = "page_id") ->
     """page, extra: the distinct fragments of a page that its allowed text doesn't have, in order, up to 40. A page without allowed
     text isn't checked.
 
-    fragments: page, pos, text; pools: page, pool. Only what nearly every fragment passes is checked in the JVM; the bilingual rule is
+    fragments: page, pos, text and, where it is known, sign; pools: page, pool. Only what nearly every fragment passes is checked in the JVM; the bilingual rule is
     recursive and runs on the few others, in Arrow batches."""
     bad = unallowed(fragments, pools, page)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.normalize(F.col("text")).alias("t")))), lambda s: s["t"])
@@ -208,11 +210,13 @@ def unallowed(fragments: DataFrame, pools: DataFrame, page: str = "page_id") ->
     known = pools.select(page, F.coalesce("pool", F.lit("")).alias("pool")).where(text.strip(F.col("pool")) != "").withColumn("squeezed", F.lower(text.squeeze(F.col("pool"))))
     bare = fragments.withColumn("_t", text.normalize(F.col("text"))).where((F.col("_t") != "") & ~text.is_trivial(F.col("_t")))
     plain = F.contains("pool", F.col("_t")) | F.contains("squeezed", F.lower(text.squeeze(F.col("_t"))))
-    rest = bare.join(known, page).where(~plain).select(page, "pos", "text", "pool", "squeezed")
+    sign = F.col("sign") if "sign" in fragments.columns else F.lit(None).cast("string")
+    rest = bare.withColumn("sign", sign).join(known, page).where(~plain).select(page, "pos", "text", "pool", "squeezed", "sign")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [not allowed_fragment(t, p, s) for t, p, s in zip(b["text"], b["pool"], b["squeezed"], strict=True)]
+            signs = [x if isinstance(x, str) else None for x in b["sign"]]
+            keep = [not allowed_fragment(t, p, s, x) for t, p, s, x in zip(b["text"], b["pool"], b["squeezed"], signs, strict=True)]
             yield b.loc[keep, [page, "pos", "text"]]
 
     ship(rest.sparkSession)

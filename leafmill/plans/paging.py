@@ -171,7 +171,8 @@ def allowed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived_lines(tables.table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "page_id")
     o, upper = F.col("ord") % 6, F.translate("text", SMALL, SMALL.upper())
     spelled = F.when(o == 1, F.concat(F.lit("– "), upper)).when(o == 2, F.concat(F.lit("中文："), F.col("text"))).when(o == 3, F.concat(F.lit("中文/"), upper)).when(o == 4, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
-    fragments = rows.select("page_id", F.col("ord").alias("pos"), spelled.alias("text"))
+    sign = F.when(o == 2, "：").when(o == 3, "/").otherwise("")  # known here; others are the lines' own
+    fragments = rows.select("page_id", F.col("ord").alias("pos"), spelled.alias("text"), sign.alias("sign"))
     listed = F.array_sort(F.collect_list(F.when(F.col("ord") % 5 > 0, F.struct("ord", "text"))))
     pools = rows.groupBy("page_id").agg(F.concat(F.lit("中文：\n"), F.array_join(F.transform(listed, lambda s: s["text"]), "\n")).alias("pool"))
     found = validate.extra_text(fragments, pools)

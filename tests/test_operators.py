@@ -254,6 +254,9 @@ def test_extra_text(spark):
     texts = ["deep learning", "DEEP  Learning", "– second line.", "深度学习：deep learning", "深度学习/Total|second line.", "深度学习/wrong", "第", "1.", "！？", "other", "other"]
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "x y z"), (3, 0, "x y z")], "page_id long, pos int, text string")
     assert {r.page_id: r.extra for r in validate.extra_text(df, pools).collect()} == {1: ["深度学习/wrong", "第", "other"], 3: ["x y z"]}
+    texts = [("深度学习：second | Total", None), ("深度学习：second | Total", "："), ("深度学习/second line. Total", "/"), ("深度学习/Total|second line.", "/"), ("深度学习：Total", ""), ("深度学习/Total", None)]
+    df = spark.createDataFrame([(1, i, t, s) for i, (t, s) in enumerate(texts)], "page_id long, pos int, text string, sign string")
+    assert [r.pos for r in validate.unallowed(df, pools).orderBy("pos").collect()] == [1, 3, 4]
 
 
 def test_page_report(spark):

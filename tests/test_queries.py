@@ -44,6 +44,18 @@ def test_query(spark, duck, name):
     assert rows == sorted((tuple(plain(w[order.index(c)]) for c in columns) for w in cursor.fetchall()), key=str)
 
 
+def test_allowed_text_of_lines_with_signs_of_their_own(spark, tmp_path):
+    import duckdb
+
+    # Lines 5, 10 and so on aren't in the pool; 15 and 20 are spelled with a sign between two languages, and their parts are in the pool.
+    rows = [(i, "\n".join(["Osll", "el."] * 7 + [f"Osll {sign} el.", "Osll", "el.", "Osll", "el.", f"el. {sign} Osll"])) for i, sign in enumerate("|:/：／｜-")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, n, digest FROM ({queries.oracle_sql()['allowed_text']}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in queries.queries()["allowed_text"](spark, str(tmp_path)).select("page_id", "n", "digest").orderBy("page_id").collect()] == want
+
+
 def test_every_query_has_sql():
     assert set(queries.queries()) == set(queries.oracle_sql())
 
