@@ -6,8 +6,10 @@ that just add up to ``min_words`` words, by a 96-bit digest of their sequence. T
 doc_id, then the row's key, then place) stays, later ones are cut out; how rows are dealt to tasks changes nothing. So a passage is cut only where the same sequence of chunks stands in one place
 before, and phrases that stand here and there stay.
 
-A task deduplicates blocks of a million windows by itself first. So a window, however common, leaves a block once, and what
-meets by digest is spread evenly, over as many tasks as the table's bytes ask for; it travels in packed arrays.
+Texts are cut once, and their chunks' digests are written to a scratch table; windows are made from it on the way. A task
+deduplicates blocks of a million windows by itself first. So a window, however common, leaves a block once, and what
+meets by digest is spread evenly, over as many tasks as the table's bytes ask for; it travels in packed arrays, with a document's
+number once for all its windows that go to one task and places as differences. What a block knows of its documents travels along.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hidden, ship, stage, table
+from .common import hidden, scratch, ship, stage, table, unstage
 
 #: Mean bytes between boundaries; bytes without a word's end after which a boundary falls inside a word; words that a passage
 #: must repeat to be cut out.
@@ -75,12 +77,22 @@ def digests(text: bytes, cuts: list[int]) -> np.ndarray:
 def windows(text: bytes, cuts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(first chunks, ends) in order: from each chunk, and up to each chunk, the fewest chunks that have min_words words. Every longer
     passage is covered by windows within it. A text of fewer words is one window."""
-    data, n = np.frombuffer(text, np.uint8), len(cuts) - 1
+    return windows_of(words_before(text, cuts), min_words)
+
+
+def words_before(text: bytes, cuts: list[int]) -> np.ndarray:
+    """The number of words that begin before each boundary."""
+    data = np.frombuffer(text, np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = np.flatnonzero(~space & np.append(True, space[:-1])[: len(data)])
+    return np.searchsorted(begins, cuts)
+
+
+def windows_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` from the words before each boundary."""
+    n = len(words) - 1
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = np.flatnonzero(~space & np.append(True, space[:-1]))
-    words = np.searchsorted(begins, cuts)  # before each boundary
     if words[-1] < min_words:
         return np.array([0]), np.array([n])
     end = np.searchsorted(words, words[:-1] + min_words)
@@ -112,18 +124,47 @@ def _row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(spelled, F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
 
 
-SCHEMA = "bucket int, block long, digests binary, checks binary, docs binary, ties binary, indexes binary, row_key binary, start int, size int, places binary, firsts binary, origins binary"
-KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int32(), pa.int32(), *[pa.binary()] * 3]
+def packed(values: np.ndarray) -> bytes:
+    """Differences of neighbours, the lowest bytes of all first: of numbers that grow by little most bytes are zero, and compress away."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return steps.view(np.uint8).reshape(len(steps), steps.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(kind).ravel(), dtype=kind)
+
+
+def chunk_digests(docs: DataFrame, mean: int) -> DataFrame:
+    """(doc_id, row_key, chunks, words): the digests of a text's chunks and the words before each boundary, packed.
+    docs: (doc_id, row_key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, words = [], []
+            for text in batch.column(2):
+                data = text.as_py().encode()
+                cuts = boundaries(data, mean)
+                chunks.append(digests(data, cuts).astype("<u8").tobytes())
+                words.append(packed(words_before(data, cuts).astype("<u4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(chunks, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "row_key", "chunks", "words"])
+
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key binary, chunks binary, words binary")
+
+
+SCHEMA = "bucket int, block long, digests binary, checks binary, docs binary, ties binary, counts binary, indexes binary, row_key binary, start int, places binary, firsts binary, origins binary"
+KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 7, pa.int32(), *[pa.binary()] * 3]
 
 
 def _rows(columns: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -> DataFrame:
+def blocks_of_chunks(chunks: DataFrame, buckets: int, min_words: int) -> DataFrame:
     """Two sorts of rows, from blocks of up to BLOCK_CHUNKS windows (and a document), numbered in the order of doc_id, key and place:
-    with a bucket, the digests of it, each at its first place in the block; without one, a document's numbers in the block and its
-    windows that stand before in the block, and where. docs: (doc_id, row_key, text)."""
+    the digests of a bucket, each at its first place in the block, with the documents that they stand in and how many of them do in each;
+    and, with a row_key and any bucket, a document's first number in the block and its windows that stand before in the block, and where.
+    chunks: as ``chunk_digests`` makes them, from files, so that a task that runs again finds the same blocks."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,23 +202,24 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
             for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if x < y:
                     at = once[x:y]
-                    add(b, block, found[at].tobytes(), checks[at].tobytes(), ids[doc[at]].tobytes(), ties[doc[at]].tobytes(), at.astype("<i4").tobytes(), *[None] * 6)
+                    begin = np.flatnonzero(changes(doc[at]))
+                    of, counts = doc[at[begin]], np.diff(np.append(begin, y - x)).astype("<u4")
+                    add(b, block, found[at].tobytes(), checks[at].tobytes(), packed(ids[of].view("<u8")), ties[of].tobytes(), packed(counts), packed(at.astype("<u4")), *[None] * 5)
             again = order[~new]
             by = np.argsort(again)
             again, origin = again[by], first[~new][by]
             where = ids[doc[origin]]
             cuts = np.searchsorted(again, np.append(starts, len(found))).tolist()
             for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                add(None, block, None, None, None, None, None, held[i][1], starts[i], sizes[i], (again[x:y] - starts[i]).astype("<i4").tobytes(), where[x:y].tobytes(), origin[x:y].astype("<i4").tobytes())
+                # Any bucket will do; its task only hands this on.
+                add((block + i) % buckets, block, *[None] * 6, held[i][1], starts[i], (again[x:y] - starts[i]).astype("<i4").tobytes(), where[x:y].tobytes(), origin[x:y].astype("<i4").tobytes())
             held.clear()
             return _rows(out, KINDS, names)
 
         for batch in batches:
-            for doc_id, row_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = text.as_py().encode()
-                cuts = boundaries(data, mean)
-                chunks, spans_ = digests(data, cuts), windows(data, cuts, min_words)
-                held.append((doc_id, row_key, window_digests(chunks, *spans_), (window_digests(chunks, *spans_, BASES[1]) >> np.uint64(32)).astype("<u4")))
+            for doc_id, row_key, own, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, spans_ = np.frombuffer(own, "<u8"), windows_of(unpacked(words, "<u4").astype(np.int64), min_words)
+                held.append((doc_id, row_key, window_digests(own, *spans_), (window_digests(own, *spans_, BASES[1]) >> np.uint64(32)).astype("<u4")))
                 size += len(held[-1][2])
                 if size >= BLOCK_CHUNKS:
                     yield flush()
@@ -185,7 +227,7 @@ def blocks_of_chunks(docs: DataFrame, mean: int, buckets: int, min_words: int) -
         if held:
             yield flush()
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, SCHEMA)
+    return chunks.select("doc_id", "row_key", "chunks", "words").mapInArrow(run, SCHEMA)
 
 
 def changes(values: np.ndarray) -> np.ndarray:
@@ -212,11 +254,25 @@ def _numbers(parts: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
 
+#: What goes back to a block: of a bucket's windows, their numbers in the block and where they stand first; and its own rows, with a row_key.
+BACK = "block long, a binary, firsts binary, origins binary, row_key binary, start int"
+
+
 def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, indexes, firsts): of a bucket's digests that several blocks have, all places but the first."""
-    for rows in _groups(batches):
-        found, checks, doc, tie, index = (_numbers([r[k] for r in rows], kind) for k, kind in ((2, "<u8"), (3, "<u4"), (4, "<i8"), (5, "<u4"), (6, "<i4")))
-        block = np.repeat(np.array([r[1] for r in rows]), [len(r[6]) // 4 for r in rows])
+    """BACK: of a bucket's digests that several blocks have, all places but the first; a block's own rows as they are."""
+    names = [x.split()[0] for x in BACK.split(", ")]
+    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int32()]
+    for group in _groups(batches):
+        if own := [r for r in group if r[8] is not None]:
+            yield _rows([[r[k] for r in own] for k in (1, 10, 11, 12, 8, 9)], kinds, names)
+        rows = [r for r in group if r[8] is None]
+        if not rows:
+            continue
+        found, checks = (_numbers([r[k] for r in rows], kind) for k, kind in ((2, "<u8"), (3, "<u4")))
+        counts = np.concatenate([unpacked(r[6], "<u4") for r in rows])
+        doc, tie = np.repeat(np.concatenate([unpacked(r[4], "<u8") for r in rows]).view("<i8"), counts), np.repeat(_numbers([r[5] for r in rows], "<u4"), counts)
+        index = np.concatenate([unpacked(r[7], "<u4") for r in rows]).view("<i4")
+        block = np.repeat(np.array([r[1] for r in rows]), [len(r[3]) // 4 for r in rows])
         order = np.argsort(found, kind="stable")
         new = changes(found[order])
         at = order[~new | ~np.append(new[1:], True)]
@@ -229,7 +285,7 @@ def meet_by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         numbers, cuts = np.unique(block[later], return_index=True)
         ends = [*cuts.tolist(), len(later)]
         parts = [(index[later[x:y]].tobytes(), where[x:y].tobytes()) for x, y in zip(ends, ends[1:], strict=False)]
-        yield _rows([numbers.tolist(), [p[0] for p in parts], [p[1] for p in parts]], [pa.int64(), pa.binary(), pa.binary()], ["block", "indexes", "firsts"])
+        yield _rows([numbers.tolist(), [p[0] for p in parts], [p[1] for p in parts], *[[None] * len(parts)] * 3], kinds, names)
 
 
 def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +311,20 @@ def back_to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def repeated_windows(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_key, places, firsts): packed numbers of a document's windows that stand before it elsewhere, and doc_ids where they do.
+    """A staged table of (row_key, places, firsts): packed numbers of a document's windows that stand before it elsewhere, and doc_ids where they do.
     docs: (doc_id, row_key, text), texts not empty. Null doc_ids come first. Rows of one row_key are one document: of their results the
     one with the fewest repeats holds."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, blocks = max(8, total // mean // BUCKET_CHUNKS), max(8, total // mean // BLOCK_CHUNKS)
-    rows = stage(blocks_of_chunks(docs, mean, buckets, min_words))
-    digests_ = rows.where("bucket is not null").select("bucket", "block", "digests", "checks", "docs", "ties", "indexes")
+    path = scratch(spark)
+    rows = blocks_of_chunks(stage(chunk_digests(docs, mean), path), buckets, min_words)
     # A bucket is a task's whole input, and the number of buckets and blocks grows with the table, so tasks don't.
-    later = digests_.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_by_digest, "block long, indexes binary, firsts binary")
-    none = F.lit(None)
-    own = rows.where("bucket is null").select("block", F.col("places").alias("a"), "firsts", "origins", "row_key", "start")
-    both = later.select("block", F.col("indexes").alias("a"), "firsts", none.cast("binary").alias("origins"), none.cast("binary").alias("row_key"), none.cast("int").alias("start")).unionByName(own)
+    both = rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_by_digest, BACK)
     found = both.repartition(2 * blocks, "block").sortWithinPartitions("block").mapInArrow(back_to_documents, "row_key binary, n long, places binary, firsts binary")
-    return found.groupBy("row_key").agg(F.min(F.struct("n", "places", "firsts")).alias("found")).where("found.n > 0").select("row_key", "found.places", "found.firsts")
+    found = stage(found.groupBy("row_key").agg(F.min(F.struct("n", "places", "firsts")).alias("found")).where("found.n > 0").select("row_key", "found.places", "found.firsts"))
+    unstage(spark, path)
+    return found
 
 
 def spans(text: bytes, cuts: list[int], repeated: dict[int, int], min_words: int) -> list[tuple[int, int, list[int]]]:
@@ -296,7 +352,7 @@ def cut_repeats(docs: DataFrame, mean: int = MEAN_BYTES, min_words: int = MIN_WO
     spark = docs.sparkSession
     ship(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text").where("text is not null and text <> ''")
-    found = stage(repeated_windows(keyed, mean, min_words))
+    found = repeated_windows(keyed, mean, min_words)
     full, names = hidden(docs)
     joined = full.withColumn("_key", _row_key(names["doc_id"], names["text"])).join(found, F.col("_key") == found["row_key"], "left")
     others = [c for c in full.columns if c != names["text"]]

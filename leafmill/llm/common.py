@@ -41,13 +41,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/leafmill-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again, which cuts its lineage."""
-    path = scratch(df.sparkSession)
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a DataFrame to the shared folder, or a path below it from ``scratch``, and read it again, which cuts its lineage."""
+    path = path or scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete a table that was staged at a path, when nothing will read it again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -352,6 +353,37 @@ def test_phrases_of_many_texts_are_no_passage(spark):
     assert found[5000].text == text.decode() and found[5001].text == short.strip() and found[5002].text == ""
 
 
+def test_cut_repeats_writes_less_than_the_text(spark, monkeypatch):
+    """Scratch tables and shuffles beside the texts themselves; small blocks, so that every window leaves its block."""
+    written, plain = [], chunks.stage
+
+    def staged(*args):
+        out = plain(*args)
+        written.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    def shuffled():
+        jvm = spark.sparkContext._jvm
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(chunks, "stage", staged)
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(900)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffled()
+    keyed = docs.withColumn("row_key", chunks._row_key())
+    assert chunks.repeated_windows(keyed).count() == 0
+    size = sum(map(len, texts))
+    time.sleep(1)  # the status store follows the tasks
+    assert sum(written) < 0.6 * size and shuffled() - before < 0.9 * size, (sum(written) / size, (shuffled() - before) / size)
+
+
+def test_packed_numbers():
+    for kind, values in (("<u4", [0, 5, 3, 2**32 - 1, 0]), ("<u8", [2**63, 0, 7, 2**64 - 1]), ("<u4", [])):
+        assert chunks.unpacked(chunks.packed(np.array(values, kind)), kind).tolist() == values
+
+
 def test_windows_cover_every_long_passage():
     r = random.Random(12)
     for seed in range(30):
